@@ -3,11 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from archspan.llm import leakage, mixture, splitting
+from archspan.llm import handwritten, leakage, mixture, splitting
 from archspan.runtime import Scratch, load
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.found(load(spark, sf_dir, "source_files"), load(spark, sf_dir, "thirdparty_files"))
+
+
+def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by language and reason; reason '' is hand-written source."""
+    judged = handwritten.judged(load(spark, sf_dir, "source_files"), load(spark, sf_dir, "thirdparty_files"))
+    return judged.groupBy("lang", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def p4_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per repository the code nodes whose file is hand-written and those whose file is not."""
+    files = load(spark, sf_dir, "source_files")
+    path = F.regexp_replace(F.regexp_replace(F.trim("file_path"), r"[\\/]+", "/"), r"^\./", "")
+    bad = files.join(p4_found(spark, sf_dir), "file_id", "left_semi").select("repo_id", path.alias("path")).distinct().withColumn("made", F.lit(1))
+    nodes = load(spark, sf_dir, "fqn_nodes").where(F.col("file_path").isNotNull()).select("repo_id", path.alias("path"))
+    return nodes.join(bad, ["repo_id", "path"], "left").groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.count("made").alias("n_made"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
@@ -29,5 +49,5 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_items, p9_mixture, p9_shares, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_reasons, p4_by_repo, p8_found, p8_items, p9_mixture, p9_shares, p10_pieces)}
 SQL: dict[str, str] = {}
