@@ -110,3 +110,16 @@ def at_or_under(fqn: Column | str, top: Column | str) -> Column:
 def specificity(pattern: Column | str) -> Column:
     """Segments of the pattern without ``.*``; one more when it is exact."""
     return (depth(base(pattern)) + F.when(is_wildcard(pattern), 0.0).otherwise(1.0)).cast("double")
+
+
+def matching_patterns(fqn: Column | str) -> Column:
+    """Every pattern that matches a name: itself, and ``A.*`` for each proper ancestor A.
+
+    Turns pattern matching into an equality of strings, so rules and names meet in a hash join.
+    """
+    return F.concat(F.array(col(fqn)), F.transform(ancestors(fqn, proper=True), lambda a: F.concat(a, F.lit(".*"))))
+
+
+def covering_patterns(fqn: Column | str) -> Column:
+    """Patterns whose subject covers a name: the matching ones and ``X.*`` for the name X itself."""
+    return F.concat(matching_patterns(fqn), F.array(F.concat(col(fqn), F.lit(".*"))))
