@@ -32,13 +32,13 @@ LEAST_FILL = 0.5
 FLUSH_BYTES = 4 << 20
 
 
-def pieces(text: str, limit: int, overlap: int, tokenizer: Tokenizer) -> list[tuple[int, int, int, int, int, str]]:
+def pieces(text: str, limit: int, overlap: int, tokenizer: Tokenizer, lengths: np.ndarray | None = None) -> list[tuple[int, int, int, int, int, str]]:
     """(first byte, end byte, first token, end token, tokens, boundary) of each piece; none if the text fits.
 
-    Cuts lie between tokens and between characters. Tokens of a piece are counted
+    ``lengths`` are the text's token lengths, if the caller has them. Cuts lie between tokens and between characters. Tokens of a piece are counted
     anew on its own text; where a hard cut gives it more than the limit, it is shortened.
     """
-    ends = np.concatenate([[0], np.cumsum(tokenizer.lengths(text))])
+    ends = np.concatenate([[0], np.cumsum(tokenizer.lengths(text) if lengths is None else lengths)])
     total = len(ends) - 1
     if total <= limit:
         return []
@@ -130,12 +130,12 @@ def split_documents(documents: DataFrame, limits: DataFrame, vocabulary: str = V
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                raw = None
+                lengths = tokenizer.lengths(text)
+                raw = text.encode("utf-8")
                 for limit, overlap in wanted:
-                    if len(text) * 4 < limit or tokenizer.count(text) <= limit:
-                        continue
-                    raw = raw or text.encode("utf-8")
-                    for i, (lo, hi, first, end, n, kind) in enumerate(pieces(text, limit, overlap, tokenizer)):
+                    if len(lengths) <= limit:
+                        break
+                    for i, (lo, hi, first, end, n, kind) in enumerate(pieces(text, limit, overlap, tokenizer, lengths)):
                         rows.append((doc_id, limit, overlap, i, lo, hi, first, end, n, kind, raw[lo:hi].decode("utf-8", "replace")))
                         held += hi - lo
                     if held > FLUSH_BYTES:
