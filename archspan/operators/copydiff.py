@@ -21,17 +21,18 @@ KEYS_PER_BUCKET = 50_000
 def _collapse(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """One row per key: per field the least value, the number of values and a digest of the set of values."""
     rows = df.select(*keys, *fields).distinct()
-    cells = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in fields])).alias("_c")).groupBy(*keys, "_c.f", "_c.v").agg(F.lit(1).alias("_one"))
-    digest = F.bit_xor(F.xxhash64("v", F.col("v").isNull()))
-    sets = cells.groupBy(*keys, "f").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"), digest.alias("d"))
-    picked = [F.first(F.when(F.col("f") == f, F.struct("v", "n", "d")), ignorenulls=True).alias(f) for f in fields]
+    cells = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in fields])).alias("__c"))
+    cells = cells.select(*keys, F.col("__c.f").alias("__f"), F.col("__c.v").alias("__v")).distinct()
+    digest = F.bit_xor(F.xxhash64("__v", F.col("__v").isNull()))
+    sets = cells.groupBy(*keys, "__f").agg(F.struct(F.min("__v").alias("v"), F.count(F.lit(1)).alias("n"), digest.alias("d")).alias("__s"))
+    picked = [F.first(F.when(F.col("__f") == f, F.col("__s")), ignorenulls=True).alias(f"__{i}") for i, f in enumerate(fields)]
     return sets.groupBy(*keys).agg(*picked)
 
 
 def _packed(df: DataFrame, keys: list[str], fields: list[str], buckets: int) -> DataFrame:
     """Key as one string (nulls marked), its bucket, and the flat cells."""
     text = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
-    cells = [F.col(f)[part].alias(f"{part}{i}") for i, f in enumerate(fields) for part in ("v", "n", "d")]
+    cells = [F.col(f"__{i}")[part].alias(f"{part}{i}") for i in range(len(fields)) for part in ("v", "n", "d")]
     return df.select(text.alias("key"), *cells).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
 
 

@@ -11,6 +11,8 @@ from archspan.runtime import Scratch
 
 #: Rounds after which a closure fails loudly instead of being cut short.
 MAX_ROUNDS = 2000
+#: Steps followed per written round.
+UNROLL = 4
 
 
 def family_of(predicate: Column | str) -> Column:
@@ -54,24 +56,38 @@ def reverse_candidates(targets: DataFrame, edges: DataFrame, scratch: Scratch) -
 
 
 def _closure(seeds: DataFrame, steps: DataFrame, group: list[str], scratch: Scratch) -> DataFrame:
-    """Seeds and all that the steps (fqn -> up) reach from them, per group; one written frontier per round."""
+    """Seeds and all that the steps (fqn -> up) reach from them, per group.
+
+    Each written round follows the steps UNROLL times, which saves jobs on deep graphs.
+    """
     on = [c for c in ("repo_id", "family") if c in group]
     frontier = scratch.cut(seeds.select(*group, "fqn"))
     parts = [frontier]
     for _ in range(MAX_ROUNDS):
-        reached = frontier.join(steps, [*on, "fqn"]).select(*group, F.col("up").alias("fqn")).distinct()
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionByName(p)
-        frontier = scratch.cut(reached.join(known, [*group, "fqn"], "left_anti"))
+        now, reached = frontier, None
+        for _ in range(UNROLL):
+            now = now.join(steps, [*on, "fqn"]).select(*group, F.col("up").alias("fqn")).distinct()
+            reached = now if reached is None else reached.unionByName(now)
+        known = _union(parts)
+        frontier = scratch.cut(reached.distinct().join(known, [*group, "fqn"], "left_anti"))
         if frontier.isEmpty():
             return known
-        parts.append(frontier)
-        if len(parts) > 16:
-            parts = [scratch.cut(known.unionByName(frontier))]
+        parts = _merged([*parts, frontier], scratch)
     raise RuntimeError(f"closure not complete after {MAX_ROUNDS} rounds")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _merged(parts: list[DataFrame], scratch: Scratch) -> list[DataFrame]:
+    """Many written parts become one, so that plans stay short."""
+    return [scratch.cut(_union(parts))] if len(parts) > 12 else parts
+
+
 def forward_paths(starts: DataFrame, edges: DataFrame, dev: DataFrame, modules: DataFrame, scratch: Scratch) -> DataFrame:
     """(repo_id, family, start, target, path): the first path, in breadth-first order, from each start to each target.
 
@@ -80,7 +96,8 @@ def forward_paths(starts: DataFrame, edges: DataFrame, dev: DataFrame, modules:
     inside a module also sees the module's other edges, ahead of its own, except into
     the module itself. ``path`` is the array of edge ords (the least in order among
     shortest ones); its first element is lowered by SEED for an edge of the module.
-    All starts advance together, one round per length.
+    All starts advance together; a round keeps what is new or better than before,
+    so the least label of every state stands at the end.
     """
     typed = families(edges).join(dev.select("repo_id", F.col("fqn").alias("target")), ["repo_id", "target"], "left_anti").select("repo_id", "family", F.col("source").alias("node"), "target", "kind", "ord")
     typed = scratch.cut(typed)
@@ -93,28 +110,31 @@ def forward_paths(starts: DataFrame, edges: DataFrame, dev: DataFrame, modules:
         .where(~names.at_or_under("target", "node"))
         .select("repo_id", "family", "start", F.col("target").alias("node"), F.lit(False).alias("descending"), F.array(F.col("ord") - SEED).alias("path"))
     )
-    frontier = own
-    seen = scratch.cut(own)
-    parts = [seen]
-    for length in range(1, MAX_ROUNDS):
-        step = frontier.join(typed, ["repo_id", "family", "node"]).where((F.col("kind") != "CONTAINS") | F.col("descending"))
-        onward = step.select("repo_id", "family", "start", F.col("target").alias("node"), (F.col("descending") & (F.col("kind") == "CONTAINS")).alias("descending"), F.concat("path", F.array("ord")).alias("path"))
-        if length == 1:
-            onward = onward.unionByName(seeded)
-        fresh = onward.groupBy(*key).agg(F.min("path").alias("path"))
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionByName(p)
-        frontier = scratch.cut(fresh.join(known.select(*key), key, "left_anti"))
+    label = F.struct(F.size("path").alias("len"), "path")
+    frontier = scratch.cut(own)
+    first = own.where("false").unionByName(seeded)
+    parts = [frontier]
+    for _ in range(MAX_ROUNDS):
+        now, reached = frontier, None
+        for _ in range(UNROLL):
+            step = now.join(typed, ["repo_id", "family", "node"]).where((F.col("kind") != "CONTAINS") | F.col("descending"))
+            onward = step.select("repo_id", "family", "start", F.col("target").alias("node"), (F.col("descending") & (F.col("kind") == "CONTAINS")).alias("descending"), F.concat("path", F.array("ord")).alias("path"))
+            if first is not None:
+                onward, first = onward.unionByName(first), None
+            now = onward.groupBy(*key).agg(F.min(label)["path"].alias("path"))
+            reached = now if reached is None else reached.unionByName(now)
+        known = _union(parts)
+        best = reached.groupBy(*key).agg(F.min(label).alias("_b"))
+        held = known.groupBy(*key).agg(F.min(label).alias("_k"))
+        fresh = best.join(held, key, "left").where(F.col("_k").isNull() | (F.col("_b") < F.col("_k"))).select(*key, F.col("_b.path").alias("path"))
+        frontier = scratch.cut(fresh)
         if frontier.isEmpty():
             break
-        parts.append(frontier)
-        if len(parts) > 16:
-            parts = [scratch.cut(known.unionByName(frontier))]
+        parts = _merged([*parts, frontier], scratch)
     else:
         raise RuntimeError(f"search not complete after {MAX_ROUNDS} rounds")
     found = known.where(F.size("path") > 0)
-    best = found.groupBy("repo_id", "family", "start", F.col("node").alias("target")).agg(F.min(F.struct(F.size("path").alias("len"), "path")).alias("_p"))
+    best = found.groupBy("repo_id", "family", "start", F.col("node").alias("target")).agg(F.min(label).alias("_p"))
     return best.select("repo_id", "family", "start", "target", "_p.len", "_p.path")
 
 
