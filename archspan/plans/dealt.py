@@ -139,6 +139,46 @@ found AS (
   FROM p FULL JOIN n ON p.line_id = n.line_id AND p.to_sha = n.to_sha AND p.fqn = n.fqn WHERE p.h IS DISTINCT FROM n.h)
 """
 
+_ITEMS = "CASE json_type({x}) WHEN 'ARRAY' THEN {x} WHEN 'OBJECT' THEN json_array({x}) WHEN 'VARCHAR' THEN CASE json_type(CAST({x}->>'$' AS JSON)) WHEN 'OBJECT' THEN json_array(CAST({x}->>'$' AS JSON)) ELSE CAST({x}->>'$' AS JSON) END ELSE CAST('[]' AS JSON) END"
+
+
+def _list(x: str) -> str:
+    return _ITEMS.format(x=f"({x})")
+
+
+def _each(source: str, keep: str, value: str, number: str) -> str:
+    """Elements of a list-like JSON value with their position."""
+    return f"(SELECT {keep}, i AS {number}, json_extract(a, '$[' || i || ']') AS x FROM (SELECT {keep}, {_list(value)} AS a FROM {source}), unnest(range(0, CAST(json_array_length(a) AS BIGINT))) AS u(i))"
+
+
+_SHRED = f"""
+WITH d AS (SELECT DISTINCT report_id, payload FROM eval_reports WHERE json_valid(payload)),
+o AS (SELECT report_id, coalesce(CAST(payload AS JSON)->'report', CAST(payload AS JSON)) AS x FROM d),
+cases AS {_each("o", "report_id", "x->'detection'->'cases'", "case_no")},
+violations AS {_each("cases", "report_id, case_no", "x->'violations'", "violation_no")},
+hops AS {_each("violations", "report_id, case_no, violation_no", "coalesce(nullif(x->'path_hops', 'null'), x->'pathHops')", "item_no")},
+snaps AS {_each("violations", "report_id, case_no, violation_no", "coalesce(nullif(x->'scope_snapshots', 'null'), x->'scopeSnapshots')", "snapshot_no")},
+outs AS {_each("snaps", "report_id, case_no, violation_no, snapshot_no", "x->'outgoing'", "item_no")},
+fps AS {_each("o", "report_id", "x->'ingestion'->'false_positive_edges'", "item_no")}
+"""
+_DRIFT = r"""
+WITH rec AS (SELECT DISTINCT stream_id, file_no, record_key, payload FROM wire_records),
+lf AS (SELECT stream_id, file_no, record_key, substr(t.fullkey, 3) AS path, CASE t.type WHEN 'VARCHAR' THEN 1 WHEN 'BOOLEAN' THEN 4 WHEN 'ARRAY' THEN 8 ELSE 2 END AS bit, replace(CAST(t.value AS VARCHAR), ' ', '') AS v
+  FROM rec, json_tree(rec.payload) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND NOT contains(t.fullkey, '[')),
+fs AS (SELECT DISTINCT stream_id, file_no FROM rec), pairs AS (SELECT a.* FROM fs a JOIN fs b ON b.stream_id = a.stream_id AND b.file_no = a.file_no - 1),
+fd AS (SELECT stream_id, file_no, path, bit_or(bit) AS types FROM lf GROUP BY 1, 2, 3),
+ch AS (SELECT p.stream_id, p.file_no, f.path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'type_changed' END AS change_kind FROM pairs p
+  JOIN (SELECT stream_id, file_no, path FROM fd UNION SELECT stream_id, file_no + 1, path FROM fd) f ON f.stream_id = p.stream_id AND f.file_no = p.file_no
+  LEFT JOIN fd n ON n.stream_id = p.stream_id AND n.file_no = p.file_no AND n.path = f.path LEFT JOIN fd o ON o.stream_id = p.stream_id AND o.file_no = p.file_no - 1 AND o.path = f.path WHERE n.types IS DISTINCT FROM o.types),
+ks AS (SELECT DISTINCT stream_id, file_no, record_key FROM rec), sh AS (SELECT a.* FROM ks a JOIN ks b ON b.stream_id = a.stream_id AND b.file_no = a.file_no - 1 AND b.record_key = a.record_key),
+va AS (SELECT DISTINCT c.stream_id, c.file_no, c.path, l.record_key, l.v FROM ch c JOIN lf l ON l.stream_id = c.stream_id AND l.file_no = c.file_no - 1 AND l.path = c.path SEMI JOIN sh ON sh.stream_id = c.stream_id AND sh.file_no = c.file_no AND sh.record_key = l.record_key WHERE c.change_kind = 'removed'),
+vb AS (SELECT DISTINCT c.stream_id, c.file_no, c.path, l.record_key, l.v FROM ch c JOIN lf l ON l.stream_id = c.stream_id AND l.file_no = c.file_no AND l.path = c.path SEMI JOIN sh ON sh.stream_id = c.stream_id AND sh.file_no = c.file_no AND sh.record_key = l.record_key WHERE c.change_kind = 'added'),
+ma AS (SELECT a.stream_id, a.file_no, a.path, b.path AS new_name, count(DISTINCT a.record_key) AS n FROM va a JOIN vb b ON b.stream_id = a.stream_id AND b.file_no = a.file_no AND b.record_key = a.record_key AND b.v = a.v GROUP BY 1, 2, 3, 4),
+rn AS (SELECT m.* FROM ma m WHERE n = (SELECT count(DISTINCT record_key) FROM va WHERE va.stream_id = m.stream_id AND va.file_no = m.file_no AND va.path = m.path) AND n = (SELECT count(DISTINCT record_key) FROM vb WHERE vb.stream_id = m.stream_id AND vb.file_no = m.file_no AND vb.path = m.new_name))
+SELECT stream_id, file_no, path AS field_name, 'renamed' AS change_kind, new_name FROM rn
+UNION SELECT stream_id, file_no, path, change_kind, '' FROM ch WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.stream_id = ch.stream_id AND rn.file_no = ch.file_no AND ((ch.change_kind = 'removed' AND rn.path = ch.path) OR (ch.change_kind = 'added' AND rn.new_name = ch.path)))
+"""
+
 SQL = {
     "p1_found": _ORPHANS + "SELECT * FROM found",
     "p1_report": _ORPHANS + "SELECT 'constraint_edges' AS table_name, field_name, ref_month, reason, count(*) AS n_orphans FROM found GROUP BY ALL",
@@ -151,6 +191,14 @@ WHERE matches_gold = EXISTS (SELECT 1 FROM f WHERE f.repo_id = s.repo_id AND f.a
     "p3_descendants": _WALK + "SELECT n.repo_id, n.fqn, CASE WHEN w.fqn IS NOT NULL THEN count(a.fqn) END AS n_descendants, w.fqn IS NULL AS on_cycle FROM n LEFT JOIN w USING (repo_id, fqn) LEFT JOIN a ON a.repo_id = n.repo_id AND a.ancestor = n.fqn GROUP BY n.repo_id, n.fqn, w.fqn",
     "p3_pairs": _WALK + "SELECT repo_id, ancestor, fqn, distance FROM a",
     "p3_paths": _WALK + "SELECT repo_id, fqn, path, depth FROM w",
+    "p5_found": _DRIFT,
+    "p6_found": _SHRED
+    + """SELECT report_id, CAST(case_no AS INT) AS case_no, CAST(violation_no AS INT) AS violation_no, 'hop' AS item, -1 AS snapshot_no, CAST(item_no AS INT) AS item_no, coalesce(x->>'target', '') AS target FROM hops
+UNION ALL SELECT report_id, CAST(case_no AS INT), CAST(violation_no AS INT), 'outgoing', CAST(snapshot_no AS INT), CAST(item_no AS INT), coalesce(x->>'target', '') FROM outs
+UNION ALL SELECT report_id, -1, -1, 'fp_edge', -1, CAST(item_no AS INT), coalesce(x->>'object', '') FROM fps""",
+    "p6_case": _SHRED + "SELECT report_id, CAST(case_no AS INT) AS case_no, x->>'case_id' AS case_id, x->>'exact' AS exact, x->>'miss' AS miss FROM cases",
+    "p6_violation": _SHRED + "SELECT report_id, CAST(case_no AS INT) AS case_no, CAST(violation_no AS INT) AS violation_no, x->>'changed_fqn' AS changed_fqn, x->>'matched_fqn' AS matched_fqn, x->>'change_type' AS change_type, x->'constraint'->>'adr_id' AS adr_id, x->>'code_fingerprint' AS code_fingerprint FROM violations",
+    "p6_snapshot": _SHRED + "SELECT report_id, CAST(case_no AS INT) AS case_no, CAST(violation_no AS INT) AS violation_no, CAST(snapshot_no AS INT) AS snapshot_no, x->>'fqn' AS fqn, x->>'scope' AS scope FROM snaps",
     "p7_found": _SNAPS + "SELECT * FROM found",
     "p7_totals": _SNAPS + "SELECT line_id, to_sha, change_kind, count(*) AS n FROM found GROUP BY ALL",
 }
