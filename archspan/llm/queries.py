@@ -50,4 +50,15 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_reasons, p4_by_repo, p8_found, p8_items, p9_mixture, p9_shares, p10_pieces)}
-SQL: dict[str, str] = {}
+
+_LEAKS = """
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)) AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_transform(regexp_extract_all(passage, '[A-Za-z0-9]+'), lambda w: lower(w)) AS w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS u(k)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM i, unnest(range(1, len(w) - 10)) AS u(k)),
+f AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
+"""
+SQL: dict[str, str] = {
+    "p8_found": _LEAKS + "SELECT doc_id, item_id FROM f",
+    "p8_items": _LEAKS + "SELECT item_id, case_id, count(f.doc_id) AS n_docs FROM eval_items LEFT JOIN f USING (item_id) GROUP BY 1, 2",
+}
