@@ -105,9 +105,13 @@ def _limit(name: str) -> Column:
 
 
 def _shingles(norm: Column) -> Column:
-    """Hashes of every run of SHINGLE_LINES lines, each once; a shorter file is one run."""
+    """Hashes of every run of SHINGLE_LINES lines, each once; a shorter file is one run.
+
+    The array is zipped with itself shifted, so the work is linear in the lines.
+    """
     last = F.greatest(F.size(norm) - SHINGLE_LINES + 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(norm, i, F.lit(SHINGLE_LINES)), "\n"))))
+    runs = F.arrays_zip(*[F.slice(norm, F.lit(i + 1), last).alias(f"l{i}") for i in range(SHINGLE_LINES)])
+    return F.array_distinct(F.transform(runs, lambda r: F.xxhash64(F.concat_ws("\n", *[r[f"l{i}"] for i in range(SHINGLE_LINES)]))))
 
 
 def copied(stats: DataFrame, known: DataFrame) -> DataFrame:
