@@ -49,9 +49,9 @@ def reverse_candidates(targets: DataFrame, edges: DataFrame, scratch: Scratch) -
     ends = edges.select("repo_id", F.col("source").alias("fqn")).unionByName(edges.select("repo_id", F.col("target").alias("fqn"))).distinct()
     under = ends.select("repo_id", "fqn", F.explode(names.ancestors("fqn")).alias("object"))
     seeds = targets.join(under, ["repo_id", "object"]).select("repo_id", "family", "object", "fqn").distinct()
-    back = typed.where(F.col("kind") != "CONTAINS").select("repo_id", "family", F.col("target").alias("fqn"), F.col("source").alias("up")).distinct()
+    back = scratch.cut(typed.where(F.col("kind") != "CONTAINS").select("repo_id", "family", F.col("target").alias("fqn"), F.col("source").alias("up")).distinct())
     closed = _closure(seeds, back, ["repo_id", "family", "object"], scratch)
-    contains = typed.where(F.col("kind") == "CONTAINS").select("repo_id", "family", F.col("target").alias("fqn"), F.col("source").alias("up")).distinct()
+    contains = scratch.cut(typed.where(F.col("kind") == "CONTAINS").select("repo_id", "family", F.col("target").alias("fqn"), F.col("source").alias("up")).distinct())
     return _closure(closed, contains, ["repo_id", "family", "object"], scratch)
 
 

@@ -71,6 +71,16 @@ class Scratch:
                 target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than half the task slots is dealt out over all of them.
+
+    For work that is heavy per row. A large table has more partitions than that and
+    stays as it is, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() * 2 <= slots else df
+
+
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
     """Row counts per key, named ``n``."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

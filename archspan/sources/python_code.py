@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archspan.functions import names
+from archspan.runtime import spread
 
 FACTS = "file_id bigint, repo_id string, module string, fact string, owner string, name string, kind string, line_start int, line_end int"
 
@@ -75,7 +76,7 @@ def code_facts(files: DataFrame) -> DataFrame:
     """
     path = F.regexp_replace(F.regexp_replace(F.trim("file_path"), r"[\\/]+", "/"), r"^\./", "")
     py = files.where(path.endswith(".py")).select("file_id", "repo_id", names.path_to_fqn(path).alias("module"), path.endswith("__init__.py").alias("package"), "content")
-    return py.mapInArrow(_read, FACTS)
+    return spread(py).mapInArrow(_read, FACTS)
 
 
 def definitions(facts: DataFrame) -> DataFrame:
