@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archspan.runtime import spread
+
 #: Per language: mean line and share of white space of minified code, share of numeric literals of data,
 #: share of encoded runs of data, most line shapes per line of generated code.
 LIMITS: dict[str, dict[str, float]] = {
@@ -74,7 +76,7 @@ def layout(files: DataFrame) -> DataFrame:
     shares of null.
     """
     text = F.regexp_replace(F.regexp_replace("content", "^\ufeff", ""), r"\r\n?", "\n")
-    base = files.select("file_id", F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)\s*$", 1)).alias("lang"), text.alias("text"))
+    base = spread(files.select("file_id", "file_path", "content")).select("file_id", F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)\s*$", 1)).alias("lang"), text.alias("text"))
     base = base.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0))
     lengths = F.transform("lines", lambda x: F.length(x))
     head, tail = _block(F.col("lines")), _block(F.reverse("lines"))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archspan.runtime import spread
+
 MIN_WORDS = 12
 #: Items whose patterns are broadcast at once; further items go in further blocks.
 ITEMS_PER_BLOCK = 20_000
@@ -102,7 +104,7 @@ def leaked(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, i
     each of which is searched against all documents.
     """
     spark = documents.sparkSession
-    texts = documents.where(F.length("text") > 0).select("doc_id", "text")
+    texts = spread(documents.where(F.length("text") > 0).select("doc_id", "text"))
     found = None
     block: list[tuple[int, str]] = []
 

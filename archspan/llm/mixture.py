@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from archspan.llm.tokens import VOCABULARY, counter
-from archspan.runtime import Scratch
+from archspan.runtime import Scratch, spread
 
 #: Buckets of the random order per source, for the two-level prefix sum.
 BUCKETS = 4096
@@ -32,7 +32,7 @@ def measured(documents: DataFrame, scratch: Scratch, vocabulary: str = VOCABULAR
     number drawn from the text's hash, the same in every run.
     """
     texts = documents.where(F.length("text") > 0).select("doc_id", _source("source").alias("source"), F.sha2("text", 256).alias("h"), "text")
-    counted = texts.mapInArrow(counter(vocabulary, "text", ["doc_id", "source", "h"]), "doc_id bigint, source string, h string, n_tokens bigint")
+    counted = spread(texts).mapInArrow(counter(vocabulary, "text", ["doc_id", "source", "h"]), "doc_id bigint, source string, h string, n_tokens bigint")
     first = counted.groupBy("h").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("_t"))
     u = (F.pmod(F.xxhash64("h", F.lit("mixture")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     return scratch.cut(first.select("_t.*", u.alias("u")).where("n_tokens > 0"))

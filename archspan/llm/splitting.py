@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archspan.llm.tokens import VOCABULARY, Tokenizer
+from archspan.runtime import spread
 
 #: Kinds of boundary, best first; a cut lies after the match.
 BOUNDARIES = (
@@ -145,4 +146,4 @@ def split_documents(documents: DataFrame, limits: DataFrame, vocabulary: str = V
         yield flush()
 
     long = documents.where(F.octet_length("text") > F.lit(least)).select("doc_id", "text") if wanted else documents.where("false").select("doc_id", "text")
-    return long.mapInArrow(run, "doc_id bigint, max_tokens int, overlap_tokens int, piece_no int, first_byte bigint, end_byte bigint, first_token bigint, end_token bigint, n_tokens int, boundary string, piece string")
+    return spread(long).mapInArrow(run, "doc_id bigint, max_tokens int, overlap_tokens int, piece_no int, first_byte bigint, end_byte bigint, first_token bigint, end_token bigint, n_tokens int, boundary string, piece string")
