@@ -76,8 +76,8 @@ def pieces(text: str, limit: int, overlap: int, tokenizer: Tokenizer, lengths: n
         out.append((int(ends[start]), int(ends[stop]), start, stop, n, name))
         if stop >= total:
             return out
-        back = int(safe[np.searchsorted(safe, stop - overlap, "right") - 1])
-        start = back if back > start else stop
+        back = int(safe[np.searchsorted(safe, max(stop - overlap, 0), "right") - 1])
+        start = back if back > start else int(safe[np.searchsorted(safe, start, "right")])
 
 
 def _cut(cuts: list, safe: np.ndarray, start: int, stop: int, overlap: int, limit: int) -> tuple[int, str]:
@@ -110,7 +110,7 @@ def split_documents(documents: DataFrame, limits: DataFrame, vocabulary: str = V
     For each row of ``limits`` (a few; the driver reads them) every text above
     max_tokens gives ordered pieces of at most max_tokens; the next piece starts
     overlap_tokens before the end of the last, or up to three more where that would
-    cut a character: its first_token is the last end_token less the overlap. n_tokens
+    cut a character (fewer where the piece itself is no longer): its first_token is the last end_token less the overlap. n_tokens
     is counted on the piece alone. Texts that fit, null and empty texts give no rows. A text has at
     most as many tokens as bytes, so shorter ones aren't tokenised.
     """

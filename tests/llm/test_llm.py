@@ -50,6 +50,11 @@ def test_pieces_cover_and_fit(tokenizer, text, limit, overlap):
         assert tokenizer.count(raw[lo:hi].decode()) == n
 
 
+def test_piece_shorter_than_the_overlap(tokenizer):
+    got = splitting.pieces("9Z漢", 4, 3, tokenizer)
+    assert [g[:2] for g in got] == [(0, 2), (1, 5)]
+
+
 def test_pieces_keep_the_overlap_and_cut_at_paragraphs(tokenizer):
     text = "\n\n".join(f"Paragraph {i} holds a handful of plain words." for i in range(60))
     got = splitting.pieces(text, 100, 10, tokenizer)
