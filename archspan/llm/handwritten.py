@@ -32,6 +32,8 @@ SHINGLE_LINES = 4
 #: Share of a file's shingles found in third-party files from which it is a copy.
 COPY_SHARE = 0.3
 
+#: The characters of ``\s``; ``trim`` alone takes off only the space.
+_BLANKS = " \t\n\x0b\f\r"
 _NUMBER = r"(?<![A-Za-z_0-9])-?(?:0[xX][0-9a-fA-F]+|[0-9]+(?:\.[0-9]+)?)(?![A-Za-z_0-9])"
 _RUN = r"[A-Za-z0-9+/=]{40,}|(?:\\x[0-9a-fA-F]{2}){16,}|(?:[0-9a-fA-F]{2}){24,}"
 _COMMENT = r"^\s*(?:#|//|/\*|\*|\"\"\"|'''|<!--|;)|^\s*$"
@@ -77,11 +79,11 @@ def layout(files: DataFrame) -> DataFrame:
     """
     text = F.regexp_replace(F.regexp_replace("content", "^\ufeff", ""), r"\r\n?", "\n")
     base = spread(files.select("file_id", "file_path", "content")).select("file_id", F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)\s*$", 1)).alias("lang"), text.alias("text"))
-    base = base.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0))
+    base = base.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S")))
     lengths = F.transform("lines", lambda x: F.length(x))
     head, tail = _block(F.col("lines")), _block(F.reverse("lines"))
     total = F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
-    shape = F.transform("lines", lambda x: F.regexp_replace(F.trim(x), "[0-9]+", "0"))
+    shape = F.transform("lines", lambda x: F.regexp_replace(F.btrim(x, F.lit(_BLANKS)), "[0-9]+", "0"))
     return base.select(
         "file_id",
         "lang",
@@ -95,7 +97,7 @@ def layout(files: DataFrame) -> DataFrame:
         F.try_divide(F.size(F.array_distinct(shape)), F.size("lines")).alias("shapes"),
         ((_found(head, _MADE) & ~_found(head, _HAND)) | (_found(tail, _MADE) & ~_found(tail, _HAND))).alias("made"),
         (_found(head, _UPSTREAM) & ~_found(head, _HAND)).alias("upstream"),
-        F.filter(F.transform("lines", lambda x: F.regexp_replace(F.trim(x), r"\s+", " ")), lambda x: ~x.startswith("#")).alias("norm"),
+        F.filter(F.transform("lines", lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: ~x.startswith("#")).alias("norm"),
     )
 
 

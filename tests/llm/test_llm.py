@@ -207,6 +207,14 @@ def test_files_by_reason(spark):
     assert got == [None, "generated", "generated", None, None, None, "minified", None, "data", "data", "generated", "vendored", "vendored", "vendored", None, None, None, None]
 
 
+def test_copy_indented_with_tabs(spark):
+    tabs = "\n".join("\t" * ((len(x) - len(x.lstrip())) // 4) + x.lstrip() for x in LIB.split("\n"))
+    assert "\n\t" in tabs and judged(spark, [("a/core.py", tabs), ("a/hand.py", HAND.replace("    ", "\t"))], [LIB]) == ["vendored", None]
+    f = spark.createDataFrame([(1, "a.py", "\tx = 1\n\t\n  x  =  2 \n \x0b\n\f# c\n")], "file_id bigint, file_path string, content string")
+    row = handwritten.layout(f).first()
+    assert row.norm == ["x = 1", "x = 2"] and row.n_lines == 3
+
+
 def test_files_empty_tables(spark):
     assert judged(spark, [("a.py", HAND)]) == [None]
     f = spark.createDataFrame([], "file_id bigint, file_path string, content string")
