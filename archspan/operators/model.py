@@ -87,11 +87,13 @@ def enclosing_modules(nodes: DataFrame) -> DataFrame:
     return inner.join(modules, ["repo_id", "module"]).groupBy("repo_id", "fqn").agg(F.max_by("module", F.length("module")).alias("module"))
 
 
-def changed_nodes(nodes: DataFrame, days: int = 60) -> DataFrame:
-    """(repo_id, fqn, change_type): current nodes loaded in the last ``days`` of their repository; ``modified`` if an older row exists."""
+def changed_nodes(nodes: DataFrame, days: int | None = 60) -> DataFrame:
+    """(repo_id, fqn, change_type): current nodes loaded in the last ``days`` of their repository, or all; ``modified`` if an older row exists."""
     last = nodes.groupBy("repo_id").agg(F.max("loaded_at").alias("_end"))
     older = nodes.groupBy("repo_id", "fqn").agg(F.count(F.lit(1)).alias("_n"))
-    recent = current_nodes(nodes).join(last, "repo_id").where(F.col("loaded_at") >= F.col("_end") - F.expr(f"INTERVAL {days} DAYS"))
+    recent = current_nodes(nodes)
+    if days is not None:
+        recent = recent.join(last, "repo_id").where(F.col("loaded_at") >= F.col("_end") - F.expr(f"INTERVAL {days} DAYS"))
     return recent.join(older, ["repo_id", "fqn"]).select("repo_id", "fqn", F.when(F.col("_n") > 1, "modified").otherwise("added").alias("change_type"))
 
 

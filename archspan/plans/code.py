@@ -41,21 +41,27 @@ def diff_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("module", names.path_to_fqn("file_path"))
 
 
-def changed_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current nodes at or under the subject of any rule of the ten latest days: the scopes a partial check starts from."""
+def changed_scopes(spark: SparkSession, sf_dir: str, days: int | None = 10) -> DataFrame:
+    """Current nodes at or under the subject of any rule of the latest ``days`` (or of any rule): the scopes a partial check starts from."""
     n = model.current_nodes(load(spark, sf_dir, "fqn_nodes"))
-    c = load(spark, sf_dir, "constraint_edges")
-    end = c.agg(F.max("recorded_at").alias("end"))
-    late = c.crossJoin(F.broadcast(end)).where(F.col("recorded_at") >= F.col("end") - F.expr("INTERVAL 10 DAYS")).select("repo_id", names.base(F.trim("subject")).alias("top")).where("length(top) > 0").distinct()
+    late = load(spark, sf_dir, "constraint_edges")
+    if days is not None:
+        end = late.agg(F.max("recorded_at").alias("end"))
+        late = late.crossJoin(F.broadcast(end)).where(F.col("recorded_at") >= F.col("end") - F.expr(f"INTERVAL {days} DAYS"))
+    late = late.select("repo_id", names.base(F.trim("subject")).alias("top")).where("length(top) > 0").distinct()
     up = n.select("repo_id", "fqn", F.explode(names.ancestors("fqn")).alias("top"))
     return up.join(late, ["repo_id", "top"], "left_semi").select("repo_id", "fqn").distinct()
 
 
+def all_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changed_scopes(spark, sf_dir, None)
+
+
 def stream_daily_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.run_once(spark, incremental.daily_edges(incremental.stream_table(spark, sf_dir, "dep_edges")))
 
 
-QUERIES = {f.__name__: f for f in (code_definitions, code_edges, code_hashes, code_same_text, diff_modules, changed_scopes, stream_daily_edges)}
+QUERIES = {f.__name__: f for f in (code_definitions, code_edges, code_hashes, code_same_text, diff_modules, changed_scopes, all_scopes, stream_daily_edges)}
 
 _HASH = r"SELECT file_id, repo_id, sha256(trim(regexp_replace(regexp_replace(content, '(?m)^[ \t]*#.*$', '', 'g'), '[ \t\r\n\x0b\f]+', ' ', 'g'))) AS code_hash FROM source_files"
 
@@ -68,6 +74,9 @@ regexp_replace(regexp_replace(regexp_replace(file_path, '\.py$', ''), '[/\\]', '
 FROM found JOIN (SELECT line_id, fqn, arg_max(file_path, row_no) AS file_path FROM node_snapshots GROUP BY 1, 2) USING (line_id, fqn) GROUP BY 1, 2, 3""",
     "changed_scopes": r"""WITH n AS (SELECT DISTINCT repo_id, fqn FROM fqn_nodes WHERE deleted_at IS NULL),
 t AS (SELECT DISTINCT repo_id, regexp_replace(trim(subject), '\.\*$', '') AS top FROM constraint_edges WHERE recorded_at >= (SELECT max(recorded_at) FROM constraint_edges) - INTERVAL 10 DAYS)
+SELECT DISTINCT n.repo_id, n.fqn FROM n JOIN t ON n.repo_id = t.repo_id AND (n.fqn = t.top OR starts_with(n.fqn, t.top || '.')) WHERE t.top <> ''""",
+    "all_scopes": r"""WITH n AS (SELECT DISTINCT repo_id, fqn FROM fqn_nodes WHERE deleted_at IS NULL),
+t AS (SELECT DISTINCT repo_id, regexp_replace(trim(subject), '\.\*$', '') AS top FROM constraint_edges)
 SELECT DISTINCT n.repo_id, n.fqn FROM n JOIN t ON n.repo_id = t.repo_id AND (n.fqn = t.top OR starts_with(n.fqn, t.top || '.')) WHERE t.top <> ''""",
     "stream_daily_edges": "SELECT CAST(loaded_at AS DATE) AS day, upper(trim(kind)) AS kind, count(*) AS n FROM dep_edges GROUP BY 1, 2",
 }

@@ -23,13 +23,13 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.rules(load(spark, sf_dir, "constraint_edges"))
 
 
-def graph(spark: SparkSession, sf_dir: str, scratch: Scratch) -> violations.Graph:
-    """The written inputs of a check."""
+def graph(spark: SparkSession, sf_dir: str, scratch: Scratch, days: int | None = 60) -> violations.Graph:
+    """The written inputs of a check; requires rules are judged at the names loaded in the last ``days``, or at all."""
     return violations.Graph(
         scratch.cut(_nodes(spark, sf_dir)),
         scratch.cut(_edges(spark, sf_dir)),
         scratch.cut(_rules(spark, sf_dir)),
-        scratch.cut(model.changed_nodes(load(spark, sf_dir, "fqn_nodes"))),
+        scratch.cut(model.changed_nodes(load(spark, sf_dir, "fqn_nodes"), days)),
     )
 
 
@@ -83,27 +83,40 @@ def g_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.forward_paths(starts, g.edges, g.dev, g.modules, scratch).select("repo_id", "family", "start", "target", "len")
 
 
-def check_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def check_raw(spark: SparkSession, sf_dir: str, days: int | None = 60) -> DataFrame:
     scratch = Scratch(spark, "check")
-    raw, _, _ = violations.check(graph(spark, sf_dir, scratch), scratch)
+    raw, _, _ = violations.check(graph(spark, sf_dir, scratch, days), scratch)
     return raw.select("constraint_id", "changed_fqn", "matched_fqn", "status", "evidence", "change_type")
 
 
-def check_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def check_found(spark: SparkSession, sf_dir: str, days: int | None = 60) -> DataFrame:
     scratch = Scratch(spark, "check")
-    _, kept, _ = violations.check(graph(spark, sf_dir, scratch), scratch)
+    _, kept, _ = violations.check(graph(spark, sf_dir, scratch, days), scratch)
     return kept.select("constraint_id", "repo_id", "adr", "predicate", "changed_fqn", "matched_fqn", "status", "evidence", "change_type")
 
 
-def check_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def check_provenance(spark: SparkSession, sf_dir: str, days: int | None = 60) -> DataFrame:
     """Findings with location, fingerprint, identity, governed file and fan-in."""
     scratch = Scratch(spark, "check")
-    g = graph(spark, sf_dir, scratch)
+    g = graph(spark, sf_dir, scratch, days)
     _, kept, _ = violations.check(g, scratch)
     full = violations.governed(violations.code_fingerprint(kept, g.nodes), g.edges, g.nodes)
     return full.select("constraint_id", "matched_fqn", "file_path", "line_start", "line_end", "fingerprint", "identity", "short_id", "governed_fqn", "governed_file_path", "fan_in")
 
 
+def check_all_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check with requires rules judged at every current node, whenever it was loaded."""
+    return check_raw(spark, sf_dir, None)
+
+
+def check_all_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_found(spark, sf_dir, None)
+
+
+def check_all_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_provenance(spark, sf_dir, None)
+
+
 def check_orphan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = _rules(spark, sf_dir)
     matches = reach.rule_matches(model.enforced(rules), _nodes(spark, sf_dir))
@@ -156,7 +169,7 @@ def rule_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rules(spark, sf_dir).select("constraint_id", h.alias("identity"), F.substring(h, 1, 5).alias("short_id"))
 
 
-QUERIES = {f.__name__: f for f in (g_nodes, g_edges, g_rules, g_rule_states, g_rule_matches, g_modules, g_fan_in, g_children, g_changed, g_dev_tools, g_paths, check_raw, check_found, check_provenance, check_orphan_rules, check_object_scope, fn_names, fn_patterns, name_ancestors, rule_identity)}
+QUERIES = {f.__name__: f for f in (g_nodes, g_edges, g_rules, g_rule_states, g_rule_matches, g_modules, g_fan_in, g_children, g_changed, g_dev_tools, g_paths, check_raw, check_found, check_provenance, check_all_raw, check_all_found, check_all_provenance, check_orphan_rules, check_object_scope, fn_names, fn_patterns, name_ancestors, rule_identity)}
 
 _TOOLS = ", ".join(f"'{t}'" for t in model.DEV_TOOLS)
 _B = graph_sql.BASE.replace("{tools}", _TOOLS)
@@ -175,6 +188,12 @@ idn AS (SELECT *, sha256(concat_ws('|', subject, predicate, object, adr, coalesc
 SELECT i.constraint_id, i.matched_fqn, i.file_path, i.line_start, i.line_end, i.fingerprint, i.identity, substr(i.identity, 1, 5) AS short_id, i.governed_fqn, c.file_path AS governed_file_path, coalesce(fan.fan_in, 0) AS fan_in
 FROM idn i LEFT JOIN code c ON c.repo_id = i.repo_id AND c.fqn = i.governed_fqn LEFT JOIN fan ON fan.repo_id = i.repo_id AND fan.fqn = i.governed_fqn"""
 
+
+def _every_node(sql: str) -> str:
+    """The same SQL without the window of the changed names."""
+    return sql.replace(" WHERE n.loaded_at >= l.e - INTERVAL 60 DAYS)", ")", 1)
+
+
 SQL = {
     "g_nodes": _B + " SELECT repo_id, fqn, kind, file_path, role, code_hash, node_id FROM n",
     "g_edges": _B + " SELECT repo_id, source, target, kind, ord FROM e",
@@ -193,6 +212,9 @@ SEMI JOIN (SELECT DISTINCT m.repo_id, regexp_extract(a.predicate, '_(dependency|
     "check_raw": _B + graph_sql.RAW + " SELECT constraint_id, changed_fqn, matched_fqn, status, evidence, change_type FROM raw",
     "check_found": _FINAL + " SELECT constraint_id, repo_id, adr, predicate, changed_fqn, matched_fqn, status, evidence, change_type FROM kept",
     "check_provenance": _FINAL + _PROVENANCE,
+    "check_all_raw": _every_node(_B + graph_sql.RAW + " SELECT constraint_id, changed_fqn, matched_fqn, status, evidence, change_type FROM raw"),
+    "check_all_found": _every_node(_FINAL + " SELECT constraint_id, repo_id, adr, predicate, changed_fqn, matched_fqn, status, evidence, change_type FROM kept"),
+    "check_all_provenance": _every_node(_FINAL + _PROVENANCE),
     "check_orphan_rules": _B + " SELECT constraint_id, repo_id, subject, object FROM r WHERE scope <> 'tooling' AND constraint_id NOT IN (SELECT constraint_id FROM m)",
     "check_object_scope": _B + graph_sql.RAW + " SELECT constraint_id, changed_fqn, status, evidence FROM raw WHERE phase = 2",
     "fn_names": r"""SELECT node_id, regexp_replace(regexp_replace(regexp_replace(file_path, '\.py$', ''), '[/\\]', '.', 'g'), '\.__init__$', '') AS path_fqn,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from archspan.functions import names
 from archspan.operators import grounding, model, reach, scoring, vectors, violations
+from archspan.plans import code, rulecheck
 
 NODE = "repo_id string, fqn string, kind string, file_path string, line_start int, line_end int, role string, code_hash string, object_parameters array<string>, guards array<struct<symbol:string,scopes_object:boolean,covers:array<string>>>"
 EDGE = "repo_id string, source string, target string, kind string, ord bigint"
@@ -67,6 +68,20 @@ def test_requires_and_higher_specificity(spark, scratch):
     assert kept.count() == 0
 
 
+def test_whole_check_judges_nodes_of_any_age(spark, tmp_path):
+    times = {"app": "2024-01-01", "app.old": "2024-01-02", "app.new": "2025-01-01", "db": "2024-01-01"}
+    n = spark.createDataFrame([node(f) for f in times], NODE).withColumn("deleted_at", F.lit(None).cast("timestamp_ntz")).withColumn("node_id", F.crc32("fqn"))
+    at = F.create_map(*[F.lit(x) for pair in times.items() for x in pair])
+    n.withColumn("loaded_at", at[F.col("fqn")].cast("timestamp_ntz")).write.parquet(str(tmp_path / "fqn_nodes.parquet"))
+    spark.createDataFrame([("r", "app.dep", "db", "IMPORTS", 0)], EDGE).write.parquet(str(tmp_path / "dep_edges.parquet"))
+    rules = spark.createDataFrame([(1, "r", "ADR-1", "app.*", "requires_dependency", "db", None, "", ""), (2, "r", "ADR-2", "db", "requires_dependency", "app", None, "", "")], RULE)
+    rules.withColumn("recorded_at", F.when(F.col("constraint_id") == 1, "2024-01-01").otherwise("2025-01-01").cast("timestamp_ntz")).write.parquet(str(tmp_path / "constraint_edges.parquet"))
+    found = lambda q: sorted((r.constraint_id, r.changed_fqn) for r in q(spark, str(tmp_path)).collect())
+    assert found(rulecheck.check_raw) == [(1, "app.new")]
+    assert found(rulecheck.check_all_raw) == [(1, "app"), (1, "app.new"), (1, "app.old"), (2, "db")]
+    assert sorted(r.fqn for r in code.all_scopes(spark, str(tmp_path)).collect()) == sorted(times)
+
+
 def test_object_scope(spark, scratch):
     cover = lambda *c, scopes=True: ("g", scopes, list(c))
     nodes = [
