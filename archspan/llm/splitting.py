@@ -81,11 +81,12 @@ def pieces(text: str, limit: int, overlap: int, tokenizer: Tokenizer, lengths: n
 
 
 def _cut(cuts: list, safe: np.ndarray, start: int, stop: int, overlap: int, limit: int) -> tuple[int, str]:
-    """The last boundary of the best kind that fills the piece enough, else the last word end that moves on, else a hard cut."""
-    for name, at in cuts:
-        k = np.searchsorted(at, stop, "right") - 1
-        if k >= 0 and at[k] >= start + max(int(limit * LEAST_FILL), overlap + 1):
-            return int(at[k]), name
+    """The last boundary of the best kind that fills the piece enough, else of the best kind that moves on, else a hard cut."""
+    for least in (max(int(limit * LEAST_FILL), overlap + 1), overlap + 1):
+        for name, at in cuts:
+            k = np.searchsorted(at, stop, "right") - 1
+            if k >= 0 and at[k] >= start + least:
+                return int(at[k]), name
     hard = int(safe[np.searchsorted(safe, stop, "right") - 1])
     if hard <= start:  # one character of more tokens than the limit: it stays whole
         hard = int(safe[np.searchsorted(safe, start, "right")])

@@ -62,6 +62,14 @@ def test_pieces_keep_the_overlap_and_cut_at_paragraphs(tokenizer):
     assert all(a[3] - b[2] == 10 for a, b in zip(got, got[1:], strict=False))
 
 
+def test_early_boundary_comes_before_a_hard_cut(tokenizer):
+    head = "A few plain words.\n\n"
+    got = splitting.pieces(head + "QUJD,REVG" * 200, 100, 3, tokenizer)
+    assert got[0][1] == len(head) and got[0][5] == "paragraph"
+    assert all(b[2] > a[2] and b[1] > a[1] for a, b in zip(got, got[1:], strict=False))
+    assert {g[5] for g in got[1:-1]} == {"mark"}
+
+
 def test_split_documents(spark):
     docs = spark.createDataFrame([(1, "w " * 400, "clash"), (2, "short", "c"), (3, None, "c"), (4, "", "c"), (5, "x" * 3000, "c"), (6, "漢字" * 300, "c"), (1, "w " * 400, "clash")], "doc_id bigint, text string, piece string")
     limits = spark.createDataFrame([(100, 10), (50, None), (None, 5)], "max_tokens int, overlap_tokens int")
