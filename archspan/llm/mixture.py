@@ -16,8 +16,6 @@ from archspan.runtime import Scratch, spread
 
 #: Buckets of the random order per source, for the two-level prefix sum.
 BUCKETS = 4096
-#: Passes that fill what a text too long for the rest of the budget leaves.
-FILL_PASSES = 6
 
 
 def _source(c: str) -> F.Column:
@@ -93,15 +91,13 @@ def mixture(documents: DataFrame, targets: DataFrame, scratch: Scratch, total_to
     open_ = ranked.where("pi > 0").select("doc_id", "source", "n_tokens", "u", "q")
     left = {r.source: r.rest for r in rows if r.rest > 0}
     drawn = None
-    for _ in range(FILL_PASSES):
-        if not left:
-            break
+    while left:  # each pass takes a text or is the last, and drops what is too long for the rest of the budget
         pool = open_ if drawn is None else open_.join(drawn.select("doc_id"), "doc_id", "left_anti")
         step = scratch.cut(_taken(pool, left, spark))
         used = {r.source: r.used for r in step.groupBy("source").agg(F.sum("n_tokens").alias("used")).collect()}
-        drawn = step if drawn is None else drawn.unionByName(step)
         if not used:
             break
+        drawn = step if drawn is None else drawn.unionByName(step)
         left = {s: b - used.get(s, 0) for s, b in left.items() if b > used.get(s, 0)}
     picked = (drawn if drawn is not None else open_.where("false")).select("doc_id", F.lit(1).alias("extra"))
     copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int")

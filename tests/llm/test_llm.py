@@ -174,6 +174,15 @@ def test_mixture_hot_source_buckets(spark, scratch):
     assert shares["hot"] == pytest.approx(0.5, abs=0.005)
 
 
+def test_mixture_fills_the_budget_however_many_passes_it_takes(spark, scratch, monkeypatch):
+    sizes = [n for k in range(9) for n in (1, 100 - k)] + [1] * 120
+    texts = spark.createDataFrame([(i, "s", n, (i + 0.5) / len(sizes)) for i, n in enumerate(sizes)], "doc_id bigint, source string, n_tokens bigint, u double")
+    monkeypatch.setattr(mixture, "measured", lambda *_: texts)
+    targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
+    mixed = mixture.mixture(texts, targets, scratch, total_tokens=100).collect()
+    assert sum(r.n_tokens * r.copies for r in mixed) == 100
+
+
 # -- source files --------------------------------------------------------------
 
 HAND = "".join(f'def load_{w}(value):\n    """Reads the {w}; see the guide."""\n    if value is {i}:\n        return {w}_table[value]\n    return check_{w}(value, {i})\n\n\n' for i, w in enumerate(["row", "page", "token", "ledger", "route", "scope"]))
