@@ -1,8 +1,11 @@
 """Mixing sources to target weights (problem 9).
 
 Every text of a source gets the same number of certain whole copies; the rest of
-the source's tokens is drawn by Pareto order sampling: texts are ranked by random
-odds over inclusion odds and taken in that order up to the token budget.
+the source's tokens is drawn with equal chances: texts are put in random order, by a
+hash of the text and whatever its length, and taken up to the token budget. A text
+longer than what is left of the budget is passed over, so near the end short texts
+come in more often. This is no sampling with unequal inclusion probabilities, as
+neither shares nor caps ask for weights among the texts of a source.
 """
 
 from __future__ import annotations
@@ -60,9 +63,9 @@ def plan(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None)
 
 
 def _taken(ranked: DataFrame, budgets: dict[str, int], spark) -> DataFrame:
-    """The texts of each source whose running token sum, in ascending order of ``q``, stays within the budget.
+    """The texts of each source whose running token sum, in ascending order of ``u``, stays within the budget.
 
-    The order is cut into buckets of ``u``, along which ``q`` grows; bucket sums are
+    The order is cut into buckets of ``u``; bucket sums are
     prefixed per source and texts within a bucket, so no task orders a whole source.
     """
     table = spark.createDataFrame([(s, int(b)) for s, b in budgets.items()], "source string, budget bigint")
@@ -70,7 +73,7 @@ def _taken(ranked: DataFrame, budgets: dict[str, int], spark) -> DataFrame:
     sums = fits.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
     base = sums.withColumn("base", F.coalesce(F.sum("bucket_tokens").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     near = fits.join(base, ["source", "bucket"]).where(F.col("base") < F.col("budget"))
-    running = F.col("base") + F.sum("n_tokens").over(W.partitionBy("source", "bucket").orderBy("q", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    running = F.col("base") + F.sum("n_tokens").over(W.partitionBy("source", "bucket").orderBy("u", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
     return near.withColumn("running", running).where(F.col("running") <= F.col("budget")).select("doc_id", "source", "n_tokens")
 
 
@@ -84,11 +87,9 @@ def mixture(documents: DataFrame, targets: DataFrame, scratch: Scratch, total_to
     spark = documents.sparkSession
     texts = measured(documents, scratch, vocabulary)
     rows = plan(texts, targets, total_tokens)
-    schema = "source string, whole bigint, pi double"
-    shares = spark.createDataFrame([(r.source, int(r.whole), r.rest / r.available if r.available else 0.0) for r in rows if r.wanted], schema)
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))
-    ranked = texts.join(F.broadcast(shares), "source").withColumn("q", F.when(F.col("pi") > 0, odds))
-    open_ = ranked.where("pi > 0").select("doc_id", "source", "n_tokens", "u", "q")
+    shares = spark.createDataFrame([(r.source, int(r.whole)) for r in rows if r.wanted], "source string, whole bigint")
+    ranked = texts.join(F.broadcast(shares), "source")
+    open_ = ranked.select("doc_id", "source", "n_tokens", "u")
     left = {r.source: r.rest for r in rows if r.rest > 0}
     drawn = None
     while left:  # each pass takes a text or is the last, and drops what is too long for the rest of the budget

@@ -183,6 +183,11 @@ def test_mixture_fills_the_budget_however_many_passes_it_takes(spark, scratch, m
     assert sum(r.n_tokens * r.copies for r in mixed) == 100
 
 
+def test_taken_is_the_random_order_cut_at_the_budget(spark):
+    texts = spark.createDataFrame([(1, "s", 5, 0.9), (2, "s", 3, 0.1), (3, "s", 4, 0.5), (4, "s", 50, 0.2)], "doc_id bigint, source string, n_tokens bigint, u double")
+    assert sorted(r.doc_id for r in mixture._taken(texts, {"s": 8}, spark).collect()) == [2, 3]
+
+
 # -- source files --------------------------------------------------------------
 
 HAND = "".join(f'def load_{w}(value):\n    """Reads the {w}; see the guide."""\n    if value is {i}:\n        return {w}_table[value]\n    return check_{w}(value, {i})\n\n\n' for i, w in enumerate(["row", "page", "token", "ledger", "route", "scope"]))
