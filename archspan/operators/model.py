@@ -13,17 +13,9 @@ DEPENDENCY = ("IMPORTS", "CALLS", "INHERITS")
 FAMILIES = {"dependency": ("CONTAINS", "IMPORTS", "CALLS", "INHERITS"), "implementation": ("CONTAINS", "CALLS", "INHERITS")}
 #: Top-level packages that are development tools.
 DEV_TOOLS = (
-    *("pytest", "py", "nose", "nose2", "unittest"),
-    *("black", "autopep8", "yapf"),
-    *("mypy", "pyre", "pytype"),
-    *("flake8", "pylint", "pyflakes", "pydocstyle", "ruff"),
-    *("isort", "bandit"),
-    *("tox", "nox"),
-    *("coverage", "pytest_cov"),
-    *("sphinx", "mkdocs"),
-    *("setuptools", "wheel", "pip", "build"),
-    *("twine", "pre_commit"),
-)
+    "pytest", "py", "nose", "nose2", "unittest", "black", "autopep8", "yapf", "mypy", "pyre", "pytype", "flake8", "pylint", "pyflakes", "pydocstyle", "ruff",
+    "isort", "bandit", "tox", "nox", "coverage", "pytest_cov", "sphinx", "mkdocs", "setuptools", "wheel", "pip", "build", "twine", "pre_commit",
+)
 #: Scripts that every repository has; hidden from listings.
 ENTRY_POINT_ROOTS = ("manage", "setup", "noxfile", "conftest")
 

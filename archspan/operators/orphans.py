@@ -1,8 +1,11 @@
 """References to records that do not exist (problem 1).
 
 A Bloom filter of the parent keys is built by Spark (one 64-bit word per block,
-``bit_or`` per block) and broadcast: a reference whose bits are not all set is a
-definite orphan. Only filter-positive references are joined with the parents.
+``bit_or`` per block): a reference whose bits are not all set is a definite orphan.
+Only filter-positive references are joined with the parents. The filter has a word
+for every few keys, however many there are. It is broadcast up to a fixed size;
+beyond it the words are joined with the references by block, so that every task
+holds the words of its own blocks and the share of false positives stays.
 """
 
 from __future__ import annotations
@@ -12,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from archspan.functions import names
+from archspan.runtime import Scratch
 
-#: The broadcast filter holds at most this many 64-bit words (8 MB of bits), whatever
-#: the number of parent keys. A filter that is too full only lets more references
-#: through to the exact join.
-MAX_BLOCKS = 1 << 20
-KEYS_PER_BLOCK = 4
+#: A filter of at most this many words is broadcast: 8 MB of bits, as a hash relation of
+#: (block, word) rows some 40 MB in each executor.
+BROADCAST_WORDS = 1 << 20
+KEYS_PER_WORD = 4
 BITS_PER_KEY = 4
 
 
@@ -34,32 +37,32 @@ def _block(keys: list[Column], blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("block"), *keys), F.lit(blocks))
 
 
-def bloom_filter(parents: DataFrame, keys: list[str], max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, int]:
-    """(block, word) rows of a blocked Bloom filter over the parents' keys, and its number of blocks.
+def bloom_filter(parents: DataFrame, keys: list[str], n_keys: int) -> tuple[DataFrame, int]:
+    """(block, word) rows of a blocked Bloom filter over the parents' keys, and its number of blocks, one per KEYS_PER_WORD keys.
 
-    The number of blocks follows the (approximate) number of distinct keys and never
-    passes ``max_blocks``, which bounds what is broadcast. Null keys are left out.
+    Null keys are left out.
     """
     cols = [F.col(k) for k in keys]
-    known = parents.dropna(subset=keys)
-    n = known.agg(F.approx_count_distinct(F.xxhash64(*cols), 0.05)).first()[0]
-    blocks = 64
-    while blocks * KEYS_PER_BLOCK < n and blocks < max_blocks:
-        blocks *= 2
-    words = (
-        known.select(_block(cols, blocks).alias("block"), _word_mask(F.xxhash64(F.lit("bits"), *cols)).alias("mask"))
-        .groupBy("block")
-        .agg(F.bit_or("mask").alias("word"))
-    )
-    return words, blocks
+    blocks = max(64, -(-n_keys // KEYS_PER_WORD))
+    words = parents.dropna(subset=keys).select(_block(cols, blocks).alias("block"), _word_mask(F.xxhash64(F.lit("bits"), *cols)).alias("mask"))
+    return words.groupBy("block").agg(F.bit_or("mask").alias("word")), blocks
+
 
+def probe(refs: DataFrame, words: DataFrame, blocks: int, keys: list[str], broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """``refs`` with the flag ``maybe``: false proves that no parent has the key.
 
-def probe(refs: DataFrame, words: DataFrame, blocks: int, keys: list[str]) -> DataFrame:
-    """``refs`` with the flag ``maybe``: false proves that no parent has the key."""
+    A filter of more blocks than ``broadcast_words`` is joined by block instead of
+    broadcast. References of one key all go to one block, so they are counted once per
+    key and the flag is joined back; a hot key is split by the adaptive skew join.
+    """
     cols = [F.col(k) for k in keys]
-    probed = refs.withColumn("_block", _block(cols, blocks)).withColumn("_mask", _word_mask(F.xxhash64(F.lit("bits"), *cols)))
+    sized = words.withColumnRenamed("block", "_block")
     hit = F.coalesce(F.col("word").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
-    return probed.join(F.broadcast(words.withColumnRenamed("block", "_block")), "_block", "left").withColumn("maybe", hit).drop("_block", "_mask", "word")
+    asked = refs if blocks <= broadcast_words else refs.select(*keys).distinct()
+    probed = asked.withColumn("_block", _block(cols, blocks)).withColumn("_mask", _word_mask(F.xxhash64(F.lit("bits"), *cols)))
+    small = blocks <= broadcast_words
+    flagged = probed.join(F.broadcast(sized) if small else sized, "_block", "left").withColumn("maybe", hit).drop("_block", "_mask", "word")
+    return flagged if small else refs.join(flagged, keys)
 
 
 def references(constraints: DataFrame) -> DataFrame:
@@ -100,7 +103,7 @@ def parent_keys(nodes: DataFrame) -> DataFrame:
 KEY = ["repo_id", "kind", "name"]
 
 
-def orphan_references(constraints: DataFrame, nodes: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def orphan_references(constraints: DataFrame, nodes: DataFrame, scratch: Scratch | None = None, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Every reference of ``constraints`` that names no living node: (constraint_id, field_name, ref_month, reason).
 
     reason is ``late`` if a row of that name was loaded after recorded_at, else
@@ -110,24 +113,28 @@ def orphan_references(constraints: DataFrame, nodes: DataFrame, max_blocks: int
     Repeated rows give one row. Rows deleted at or before they were loaded never
     lived, but count for ``late`` and ``deleted``.
 
-    Hot names: parents are aggregated per key before the shuffle, and the exact
-    time line of a key is cut into days (`_living_by_day`), so no task holds all rows of a key.
+    Parents are aggregated per key before the shuffle and written once; the filter,
+    its size and the exact join read that table. The time line of a hot key is cut
+    into days (`_living_by_day`), so no task holds all rows of a key.
     """
-    refs = references(constraints).distinct()
+    scratch = scratch or Scratch(nodes.sparkSession, "orphans")
     parents = parent_keys(nodes)
-    words, blocks = bloom_filter(parents, KEY, max_blocks)
-    probed = probe(refs, words, blocks, KEY)
-
-    per_key = parents.groupBy(*KEY).agg(
-        F.max("loaded_at").alias("last_load"),
-        F.min(F.when(F.col("deleted_at").isNull(), F.col("loaded_at"))).alias("open_since"),
+    per_key, n_keys = scratch.cut_counting(
+        parents.groupBy(*KEY).agg(F.max("loaded_at").alias("last_load"), F.min(F.when(F.col("deleted_at").isNull(), F.col("loaded_at"))).alias("open_since")),
+        F.lit(True),
     )
-    joined = probed.where("maybe").join(per_key, KEY, "left")
-    joined = joined.where(F.col("open_since").isNull() | (F.col("open_since") > F.col("recorded_at")))
-    alive = _alive_in_spans(joined.where(F.col("last_load").isNotNull()).select(*KEY, "recorded_at").distinct(), parents)
-    verified = joined.join(alive, [*KEY, "recorded_at"], "left_anti")
+    words, blocks = bloom_filter(per_key, KEY, n_keys)
+    probed = scratch.cut(probe(references(constraints).distinct(), words, blocks, KEY, broadcast_words))
+
+    joined = probed.where("maybe").drop("maybe").join(per_key, KEY, "left")
+    doubtful, n_asked = scratch.cut_counting(joined.where(F.col("open_since").isNull() | (F.col("open_since") > F.col("recorded_at"))).drop("open_since"), F.col("last_load").isNotNull())
+    verified = doubtful
+    if n_asked:
+        alive = _alive_in_spans(doubtful.where(F.col("last_load").isNotNull()).select(*KEY, "recorded_at").distinct(), parents)
+        verified = doubtful.join(alive, [*KEY, "recorded_at"], "left_anti")
     reason = F.when(F.col("last_load").isNull(), "missing").when(F.col("last_load") > F.col("recorded_at"), "late").otherwise("deleted")
-    out = verified.withColumn("reason", reason).unionByName(probed.where(~F.col("maybe")).withColumn("reason", F.lit("missing")), allowMissingColumns=True)
+    sure = probed.where(~F.col("maybe")).withColumn("reason", F.lit("missing"))
+    out = verified.withColumn("reason", reason).drop("last_load").unionByName(sure.drop("maybe"))
     return out.select("constraint_id", "field_name", F.date_format("recorded_at", "yyyy-MM").alias("ref_month"), "reason").distinct()
 
 
@@ -156,6 +163,22 @@ def _living_by_day(asked: DataFrame, steps: DataFrame) -> DataFrame:
     return living.select(*KEY, F.col("at").alias("recorded_at"))
 
 
-def orphan_report(found: DataFrame, table: str = "constraint_edges") -> DataFrame:
-    """Orphans counted per table, field, month and reason."""
-    return found.groupBy(F.lit(table).alias("table_name"), "field_name", "ref_month", "reason").agg(F.count(F.lit(1)).alias("n_orphans"))
+def orphan_report(found: dict[str, DataFrame]) -> DataFrame:
+    """Orphans of each table (by its name) counted per field, month and reason."""
+    parts = [df.groupBy("field_name", "ref_month", "reason").agg(F.count(F.lit(1)).alias("n_orphans")).select(F.lit(table).alias("table_name"), "*") for table, df in found.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def edge_orphans(edges: DataFrame, nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Ends of dependency edges that name no node of their repository living at loaded_at, as `orphan_references` has them.
+
+    (ord, field_name, ref_month, reason) with field_name ``source`` or ``target``; an
+    end holds if a node has this name or one below it.
+    """
+    named = edges.select(F.col("ord").alias("constraint_id"), "repo_id", F.col("source").alias("subject"), F.col("target").alias("object"), F.lit(None).cast("struct<label:string,resolved_fqn:string>").alias("object_grounding"), F.col("loaded_at").alias("recorded_at"))
+    found = orphan_references(named, nodes, scratch)
+    field = F.when(F.col("field_name") == "subject", "source").otherwise("target")
+    return found.select(F.col("constraint_id").alias("ord"), field.alias("field_name"), "ref_month", "reason")

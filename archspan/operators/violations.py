@@ -14,6 +14,7 @@ from archspan.runtime import Scratch
 
 RULE = ["constraint_id", "repo_id", "adr", "subject", "predicate", "object", "specificity"]
 COLUMNS = [*RULE, "changed_fqn", "matched_fqn", "status", "evidence", "change_type", "hops", "phase", "ord1", "ord2", "ord3"]
+#: The wording of evidence.
 LABELS = {"prohibits_dependency": "has dependency path to", "prohibits_implementation": "implements", "requires_dependency": "has no dependency on any module matching", "requires_implementation": "does not implement any module matching"}
 
 
@@ -93,7 +94,7 @@ def _excused(hits: DataFrame, g: Graph, matches: DataFrame) -> DataFrame:
     active = g.rules.join(matches.select("constraint_id").distinct(), "constraint_id", "left_semi")
     needs = active.where(F.col("predicate").isin("requires_dependency", "requires_implementation")).select("repo_id", reach.family_of("predicate").alias("family"), F.col("subject").alias("src_pattern"), F.col("object").alias("obj_pattern")).distinct()
     relevant = hits.where("len > 1").join(needs.select("repo_id", "family").distinct(), ["repo_id", "family"], "left_semi")
-    steps = relevant.select("constraint_id", "repo_id", "family", "start", "object_fqn", "target", "len", F.posexplode(F.slice("path", 2, 1_000_000)).alias("at", "ord"))
+    steps = relevant.select("constraint_id", "repo_id", "family", "start", "object_fqn", "target", "len", F.posexplode(F.slice("path", F.lit(2), F.size("path"))).alias("at", "ord"))
     via = steps.join(g.edges.select("repo_id", "ord", "source"), ["repo_id", "ord"])
     asked = via.select("repo_id", "family", "object_fqn", "source").distinct()
     keyed = asked.select("*", F.explode(names.matching_patterns("object_fqn")).alias("obj_pattern")).select("*", F.explode(names.matching_patterns("source")).alias("src_pattern"))

@@ -58,7 +58,8 @@ def all_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_daily_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.run_once(spark, incremental.daily_edges(incremental.stream_table(spark, sf_dir, "dep_edges")))
+    """The table as an arriving stream: partial counts per micro-batch, summed on reading."""
+    return incremental.accumulate(spark, incremental.stream_table(spark, sf_dir, "dep_edges"))
 
 
 QUERIES = {f.__name__: f for f in (code_definitions, code_edges, code_hashes, code_same_text, diff_modules, changed_scopes, all_scopes, stream_daily_edges)}

@@ -14,7 +14,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.orphan_report(p1_found(spark, sf_dir))
+    """Orphans of rules and of dependency edges per table, field, month and reason."""
+    edges = orphans.edge_orphans(load(spark, sf_dir, "dep_edges"), load(spark, sf_dir, "fqn_nodes"))
+    return orphans.orphan_report({"constraint_edges": p1_found(spark, sf_dir), "dep_edges": edges})
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +183,12 @@ UNION SELECT stream_id, file_no, path, change_kind, '' FROM ch WHERE NOT EXISTS
 
 SQL = {
     "p1_found": _ORPHANS + "SELECT * FROM found",
-    "p1_report": _ORPHANS + "SELECT 'constraint_edges' AS table_name, field_name, ref_month, reason, count(*) AS n_orphans FROM found GROUP BY ALL",
+    "p1_report": _ORPHANS
+    + """, ed AS (SELECT ord, repo_id, loaded_at AS loaded, unnest(['source', 'target']) AS field_name, regexp_replace(trim(unnest([source, target])), '\\.\\*$', '') AS name FROM dep_edges),
+ej AS (SELECT ed.ord, ed.loaded, ed.field_name, bool_or(k.loaded_at <= ed.loaded AND (k.deleted_at IS NULL OR k.deleted_at > ed.loaded)) AS alive, bool_or(k.loaded_at > ed.loaded) AS late, count(k.name) AS n
+  FROM ed LEFT JOIN k ON k.repo_id = ed.repo_id AND k.name = ed.name AND k.kind = 'P' WHERE ed.name IS NOT NULL GROUP BY 1, 2, 3)
+SELECT 'constraint_edges' AS table_name, field_name, ref_month, reason, count(*) AS n_orphans FROM found GROUP BY ALL
+UNION ALL SELECT 'dep_edges', field_name, ref_month, reason, count(*) FROM (SELECT DISTINCT ord, field_name, strftime(loaded, '%Y-%m') AS ref_month, CASE WHEN late THEN 'late' WHEN n > 0 THEN 'deleted' ELSE 'missing' END AS reason FROM ej WHERE NOT coalesce(alive, false)) GROUP BY ALL""",
     "p2_found": _DIFFS
     + """SELECT DISTINCT repo_id, adr_no, subject, predicate, object, field_name FROM f
 UNION SELECT s.repo_id, s.n, '', '', '', 'matches_gold' FROM (SELECT DISTINCT repo_id, CAST(regexp_extract(adr_id, '[0-9]+') AS BIGINT) AS n, matches_gold FROM seed_checks WHERE matches_gold IS NOT NULL) s

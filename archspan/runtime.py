@@ -1,7 +1,8 @@
 """Table access and lineage cuts.
 
 Iterative operators write their intermediate state to the shared folder named
-by ``spark.checkpoint.dir`` so that a lost executor costs one round, not all.
+by ``spark.checkpoint.dir`` so that a lost executor costs one round, not all. Their
+rounds run when the operator is called, not when its result is used.
 """
 
 from __future__ import annotations
@@ -9,9 +10,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of files that a task of work that is heavy per row should hold, about.
+TASK_BYTES = 32 << 20
+
 
 def session(app: str = "archspan", cpus: str = "*", **conf: str) -> SparkSession:
     """Local session with the settings that tests and the bench use."""
@@ -38,17 +42,23 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured."""
+    """The folder all executors share, ``spark.checkpoint.dir``.
+
+    A local session without the setting gets a temporary folder; on a cluster its
+    absence is an error, as a folder of one machine is none of the others'.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir isn't set: name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
     return f"file://{made}"
 
 
 class Scratch:
-    """Written tables of one operator run; a superseded table can be dropped early."""
+    """Written tables of one operator run; superseded ones can be dropped early, the rest go when the application ends."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
@@ -59,26 +69,44 @@ class Scratch:
         """Writes ``df`` and reads it back, so later plans start from files."""
         path = f"{self.root}/{len(self._written):03d}"
         df.write.parquet(path)
+        if not self._written:
+            root, files = self._at(self.root)
+            files.deleteOnExit(root)
         back = self.spark.read.schema(df.schema).parquet(path)
         self._written.append((back, path))
         return back
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table of this run that nothing reads any more."""
+    def cut_counting(self, df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+        """``cut``, and how many rows meet the condition, counted by the job that writes."""
+        seen = Observation()
+        back = self.cut(df.observe(seen, F.count(F.when(condition, 1)).alias("n")))
+        return back, seen.get["n"]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables of this run that nothing reads any more."""
         for back, path in self._written:
-            if back is df:
-                target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            if any(back is df for df in tables):
+                target, files = self._at(path)
+                files.delete(target, True)
+
+    def _at(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def table_bytes(table: DataFrame) -> int:
+    """Bytes of a table's files as Spark's own statistics have them (no job; an estimate where it isn't a plain scan)."""
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than half the task slots is dealt out over all of them.
+def spread(df: DataFrame, source: DataFrame | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``df`` with at least one partition per ``task_bytes`` of its source table's files, and per task slot.
 
-    For work that is heavy per row. A large table has more partitions than that and
-    stays as it is, without a shuffle.
+    For work that is heavy per row: neither few files nor large row groups leave it
+    to few tasks. A scan that has as many partitions already isn't shuffled.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() * 2 <= slots else df
+    wanted = max(-(-table_bytes(df if source is None else source) // task_bytes), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:

@@ -9,7 +9,8 @@ from archspan.runtime import count_by
 
 GOLD_SCHEMA = "adr_id string, adr_path string, note string, constraints array<struct<subject:string,predicate:string,object:string,justification:string,scope:string>>"
 TRACE_SCHEMA = "adr_id string, edges array<struct<subject:string,object:string,predicate:string,scope:string>>, hit_cap boolean, parse_failed boolean, wall_seconds double"
-TESTS = r"(^|/)(tests?|testing)/|(^|/)(test_[^/]*|[^/]*_test|conftest)\.py$"
+#: Files of tests: below a folder tests or test, or test_*.py and *_test.py.
+TESTS = r"(^|/)tests?/|(^|/)(test_[^/]*|[^/]*_test\.py)$"
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:

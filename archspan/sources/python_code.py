@@ -76,7 +76,7 @@ def code_facts(files: DataFrame) -> DataFrame:
     """
     path = F.regexp_replace(F.regexp_replace(F.trim("file_path"), r"[\\/]+", "/"), r"^\./", "")
     py = files.where(path.endswith(".py")).select("file_id", "repo_id", names.path_to_fqn(path).alias("module"), path.endswith("__init__.py").alias("package"), "content")
-    return spread(py).mapInArrow(_read, FACTS)
+    return spread(py, files).mapInArrow(_read, FACTS)
 
 
 def definitions(facts: DataFrame) -> DataFrame:

@@ -60,12 +60,14 @@ def test_orphans_reasons_and_edges(spark):
         ],
         key=repr,
     )
-    # a full filter (one word for all keys) only sends more references to the exact join
-    assert rows(orphans.orphan_references(df, nodes, max_blocks=64)) == got
+    # a filter too large to be broadcast is joined by block
+    assert rows(orphans.orphan_references(df, nodes, broadcast_words=0)) == got
     assert orphans.orphan_references(df.limit(0), nodes).count() == 0
     assert {r[3] for r in rows(orphans.orphan_references(df, nodes.limit(0)))} == {"missing"}
-    report = orphans.orphan_report(orphans.orphan_references(df, nodes))
-    assert report.agg(F.sum("n_orphans")).first()[0] == 7
+    report = orphans.orphan_report({"rules": orphans.orphan_references(df, nodes), "none": orphans.orphan_references(df.limit(0), nodes)})
+    assert report.agg(F.sum("n_orphans")).first()[0] == 7 and {r.table_name for r in report.collect()} == {"rules"}
+    edges = spark.createDataFrame([(1, "r", "a", "a.b.c", T(9)), (2, "r", "zz", None, T(9)), (3, None, "a", "a", T(9))], "ord bigint, repo_id string, source string, target string, loaded_at timestamp_ntz")
+    assert (2, "source", "2025-01", "missing") in rows(orphans.edge_orphans(edges, nodes))
 
 
 def test_orphans_random(spark):
@@ -87,11 +89,13 @@ def test_orphans_random(spark):
 
 def test_bloom_has_no_false_negative(spark):
     parents = spark.range(5000).select(F.col("id").cast("string").alias("k"))
-    words, blocks = orphans.bloom_filter(parents, ["k"])
     refs = spark.range(20000).select(F.col("id").cast("string").alias("k"))
-    out = orphans.probe(refs, words, blocks, ["k"]).where("maybe")
-    assert out.where("cast(k as int) < 5000").count() == 5000
-    assert out.count() < 5000 + 15000 * 0.15
+    for n, limit in ((5000, orphans.BROADCAST_WORDS), (5000, 10)):
+        words, blocks = orphans.bloom_filter(parents, ["k"], n)
+        assert blocks * orphans.KEYS_PER_WORD >= n
+        out = orphans.probe(refs, words, blocks, ["k"], limit).where("maybe")
+        assert out.where("cast(k as int) < 5000").count() == 5000
+        assert out.count() < 5000 + 15000 * 0.15
 
 
 # -- copies --------------------------------------------------------------------

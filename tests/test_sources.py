@@ -36,10 +36,10 @@ def test_traces_and_reports(spark, tmp_path):
 
 
 def test_python_tree(spark, tmp_path):
-    for p in ("pkg/a.py", "pkg/test_a.py", "tests/b.py", ".venv/c.py", "pkg/conftest.py", "pkg/d.txt"):
+    for p in ("pkg/a.py", "pkg/test_a.py", "tests/b.py", ".venv/c.py", "pkg/conftest.py", "testing/e.py", "pkg/b_test.py", "pkg/d.txt"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("x = 1\n")
-    assert [r.file_path for r in files.python_tree(spark, str(tmp_path)).collect()] == ["pkg/a.py"]
+    assert sorted(r.file_path for r in files.python_tree(spark, str(tmp_path)).collect()) == ["pkg/a.py", "pkg/conftest.py", "testing/e.py"]
 
 
 def test_store_operations(spark):
@@ -107,8 +107,15 @@ def test_streams(spark, tmp_path):
     at = lambda d: dt.datetime(2025, 1, d)
     edges = spark.createDataFrame([("r", "a", "b", "CALLS", at(1)), ("r", "a", "b", " calls", at(1)), ("r", "a", "c", "IMPORTS", at(2))], "repo_id string, source string, target string, kind string, loaded_at timestamp_ntz")
     edges.write.parquet(str(tmp_path / "dep_edges.parquet"))
-    got = incremental.run_once(spark, incremental.daily_edges(incremental.stream_table(spark, str(tmp_path), "dep_edges")))
+    root = str(tmp_path / "counts")
+    got = incremental.accumulate(spark, incremental.stream_table(spark, str(tmp_path), "dep_edges"), root)
     assert sorted((r.day.day, r.kind, r.n) for r in got.collect()) == [(1, "CALLS", 2), (2, "IMPORTS", 1)]
+    edges.where("kind = 'CALLS'").write.parquet(str(tmp_path / "dep_edges_late.parquet"))  # a day late, after day 2 was counted
+    got = incremental.accumulate(spark, incremental.stream_table(spark, str(tmp_path), "dep_edges"), root)
+    assert sorted((r.day.day, r.kind, r.n) for r in got.collect()) == [(1, "CALLS", 3), (2, "IMPORTS", 1)]
+    shown = incremental.windowed_edges(incremental.stream_table(spark, str(tmp_path), "dep_edges"), "2 days").writeStream.format("memory").queryName("windowed").outputMode("update").trigger(availableNow=True).start()
+    shown.awaitTermination()
+    assert {(r.day.day, r.kind, r.n) for r in spark.table("windowed").collect()} >= {(2, "IMPORTS", 1)}
     rules = spark.createDataFrame([(1, "r", "zz", "a", None, at(3))], "constraint_id bigint, repo_id string, subject string, object string, object_grounding struct<label:string,resolved_fqn:string,package:string>, recorded_at timestamp_ntz")
     rules.write.parquet(str(tmp_path / "constraint_edges.parquet"))
     nodes = spark.createDataFrame([("r", "a", at(1), None)], "repo_id string, fqn string, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
