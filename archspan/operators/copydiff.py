@@ -1,43 +1,57 @@
 """Differences between two copies of data (problem 2).
 
-Both copies are collapsed to one row per key, cogrouped by hash bucket as Arrow
-tables, aligned by sorted search and compared through null-aware masks.
+Both copies are collapsed to one row per key and written, cogrouped by hash bucket
+as Arrow tables, aligned by sorted search over key hashes and compared through
+null-aware masks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys of both copies per bucket, about; the number of buckets follows the row count.
+from archspan.runtime import Scratch
+
+#: Keys of both copies per bucket, about; the number of buckets follows the number of keys.
 KEYS_PER_BUCKET = 50_000
 
 
 def _collapse(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """One row per key: per field the least value, the number of values and a digest of the set of values."""
-    rows = df.select(*keys, *fields).distinct()
-    cells = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in fields])).alias("__c"))
-    cells = cells.select(*keys, F.col("__c.f").alias("__f"), F.col("__c.v").alias("__v")).distinct()
-    digest = F.bit_xor(F.xxhash64("__v", F.col("__v").isNull()))
-    sets = cells.groupBy(*keys, "__f").agg(F.struct(F.min("__v").alias("v"), F.count(F.lit(1)).alias("n"), digest.alias("d")).alias("__s"))
-    picked = [F.first(F.when(F.col("__f") == f, F.col("__s")), ignorenulls=True).alias(f"__{i}") for i, f in enumerate(fields)]
-    return sets.groupBy(*keys).agg(*picked)
+    """One row per key (as one text, nulls marked, and its hash): per field i the least value (v), the number of values (n, null included) and a digest of the set of values (d).
+
+    Rows become cells, and equal cells of a key meet before the key does: a key with
+    very many rows is spread over its values.
+    """
+    key = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
+    cells = df.select(key.alias("key"), F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).cast("string").alias("v")) for i, f in enumerate(fields)])).alias("c"))
+    distinct = cells.select("key", "c.f", "c.v").distinct()
+    out = []
+    for i in range(len(fields)):
+        mine = F.col("f") == i
+        out += [F.min(F.when(mine, F.col("v"))).alias(f"v{i}"), F.count(F.when(mine, 1)).alias(f"n{i}"), F.bit_xor(F.when(mine, F.xxhash64("v", F.col("v").isNull()))).alias(f"d{i}")]
+    return distinct.groupBy("key").agg(*out).withColumn("hash", F.xxhash64("key"))
+
 
+def _aligned(lt: pa.Table, rt: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the keys in both (left, right), only left and only right; keys are unique within a side.
 
-def _packed(df: DataFrame, keys: list[str], fields: list[str], buckets: int) -> DataFrame:
-    """Key as one string (nulls marked), its bucket, and the flat cells."""
-    text = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
-    cells = [F.col(f"__{i}")[part].alias(f"{part}{i}") for i in range(len(fields)) for part in ("v", "n", "d")]
-    return df.select(text.alias("key"), *cells).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    Hashes are aligned; the texts decide. Where two keys share a hash, the rows are
+    aligned anew by the numbers of a dictionary over the texts.
+    """
+    lh, rh = lt["hash"].to_numpy(), rt["hash"].to_numpy()
+    il, ir, ol, orr = _align(lh, rh)
+    unique = len(np.unique(lh)) == len(lh) and len(np.unique(rh)) == len(rh)
+    if unique and pc.all(pc.equal(lt["key"].take(pa.array(il)), rt["key"].take(pa.array(ir)))).as_py() is not False:
+        return il, ir, ol, orr
+    codes = pa.chunked_array([*lt["key"].chunks, *rt["key"].chunks], pa.string()).combine_chunks().dictionary_encode().indices.to_numpy()
+    return _align(codes[: len(lt)], codes[len(lt) :])
 
 
 def _align(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the keys in both (left, right), only left and only right; keys are unique within a side."""
+    """Sorted search of the left numbers among the right ones."""
     order = np.argsort(right, kind="stable")
     if not len(order):
         none = np.array([], dtype=np.int64)
@@ -60,7 +74,12 @@ def _differs(a: pa.Table, b: pa.Table, i: int) -> np.ndarray:
     return np.where(many, sets, (na != nb) | unequal)
 
 
-def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], only_left: str = "missing_in_right", only_right: str = "missing_in_left", buckets: int | None = None) -> DataFrame:
+def _cells(key: pa.ChunkedArray, name: str, left: pa.ChunkedArray | None, right: pa.ChunkedArray | None) -> pa.Table:
+    none = pa.nulls(len(key), pa.string())
+    return pa.table({"key": key, "field_name": pa.array([name] * len(key), pa.string()), "left_value": none if left is None else left, "right_value": none if right is None else right})
+
+
+def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], only_left: str = "missing_in_right", only_right: str = "missing_in_left", buckets: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per difference: the keys, ``field_name``, ``left_value`` and ``right_value`` (strings).
 
     Keys compare null-safe. Repeated rows count once; where a key has several rows
@@ -69,33 +88,21 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     compare by their string form. An empty copy makes every key of the other missing.
     """
     types = {k: dict(left.select(*keys).dtypes)[k] for k in keys}
+    scratch = scratch or Scratch(left.sparkSession, "copies")
+    (a, n_left), (b, n_right) = (scratch.cut_counting(_collapse(df, keys, fields), F.lit(True)) for df in (left, right))
     if buckets is None:
-        buckets = max(8, -(-(left.count() + right.count()) // KEYS_PER_BUCKET))
-    a, b = (_packed(_collapse(df, keys, fields), keys, fields, buckets) for df in (left, right))
+        buckets = max(8, -(-(n_left + n_right) // KEYS_PER_BUCKET))
 
     def compare(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        lk = np.array(lt["key"].to_pylist(), dtype=object)
-        rk = np.array(rt["key"].to_pylist(), dtype=object)
-        il, ir, ol, orr = _align(lk, rk)
-        cells = [(lk[ol], only_left, None, None), (rk[orr], only_right, None, None)]
+        il, ir, ol, orr = _aligned(lt, rt)
         at, bt = lt.take(pa.array(il)), rt.take(pa.array(ir))
+        cells = [_cells(lt["key"].take(pa.array(ol)), only_left, None, None), _cells(rt["key"].take(pa.array(orr)), only_right, None, None)]
         for i, f in enumerate(fields):
             mask = pa.array(_differs(at, bt, i))
-            cells.append((at["key"].filter(mask).to_pylist(), f, at[f"v{i}"].filter(mask).to_pylist(), bt[f"v{i}"].filter(mask).to_pylist()))
-
-        def column(pick: int) -> Iterable:
-            for c in cells:
-                yield from c[pick] if c[pick] is not None else [None] * len(c[0])
-
-        return pa.table(
-            {
-                "key": pa.array(column(0), pa.string()),
-                "field_name": pa.array([c[1] for c in cells for _ in range(len(c[0]))], pa.string()),
-                "left_value": pa.array(column(2), pa.string()),
-                "right_value": pa.array(column(3), pa.string()),
-            }
-        )
+            cells.append(_cells(at["key"].filter(mask), f, at[f"v{i}"].filter(mask), bt[f"v{i}"].filter(mask)))
+        return pa.concat_tables(cells)
 
+    a, b = (df.withColumn("bucket", F.pmod("hash", F.lit(buckets))) for df in (a, b))
     found = a.groupBy("bucket").cogroup(b.groupBy("bucket")).applyInArrow(compare, "key string, field_name string, left_value string, right_value string")
     parsed = F.from_json("key", ", ".join(f"k{i} string" for i in range(len(keys))))
     return found.withColumn("_k", parsed).select(*[F.col(f"_k.k{i}").cast(types[k]).alias(k) for i, k in enumerate(keys)], "field_name", "left_value", "right_value")
@@ -130,9 +137,9 @@ def gold_rules(gold: DataFrame) -> DataFrame:
     return flat.select("repo_id", "adr_id", "adr_path", *[F.col(f"_r.{f}").alias(f) for f in ("subject", "predicate", "object", "justification", "scope")])
 
 
-def rule_differences(gold: DataFrame, store: DataFrame) -> DataFrame:
+def rule_differences(gold: DataFrame, store: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Differences between the gold rules and the store's copy, with both values."""
-    return diff_copies(normal_rules(gold_rules(gold)), normal_rules(store), RULE, TEXTS, only_left="missing_in_store", only_right="missing_in_gold")
+    return diff_copies(normal_rules(gold_rules(gold)), normal_rules(store), RULE, TEXTS, only_left="missing_in_store", only_right="missing_in_gold", scratch=scratch)
 
 
 def contradicted_flags(seeds: DataFrame, differences: DataFrame) -> DataFrame:
@@ -145,7 +152,8 @@ def contradicted_flags(seeds: DataFrame, differences: DataFrame) -> DataFrame:
 
 def found(gold: DataFrame, store: DataFrame, seeds: DataFrame) -> DataFrame:
     """All differences and contradicted flags in one list, distinct."""
-    diffs = rule_differences(gold, store)
+    scratch = Scratch(store.sparkSession, "differences")
+    diffs = scratch.cut(rule_differences(gold, store, scratch))
     blank = F.lit("")
     flags = contradicted_flags(seeds, diffs).select("repo_id", "adr_no", blank.alias("subject"), blank.alias("predicate"), blank.alias("object"), F.lit("matches_gold").alias("field_name"))
     return diffs.select(*RULE, "field_name").unionByName(flags).distinct()

@@ -111,6 +111,19 @@ def test_diff_copies(spark):
     assert {r[2] for r in rows(copydiff.diff_copies(a, b.limit(0), ["k", "n"], ["v"]))} == {"missing_in_right"}
     assert copydiff.diff_copies(a.limit(0), b.limit(0), ["k", "n"], ["v"]).count() == 0
     assert rows(copydiff.diff_copies(a, b, ["k", "n"], ["v", "w"], buckets=1)) == got
+    clash = {"k": "key", "n": "hash", "v": "v0", "w": "bucket"}
+    other = [df.drop("bucket").withColumnsRenamed(clash) for df in (a, b)]
+    assert rows(copydiff.diff_copies(*other, ["key", "hash"], ["v0", "bucket"])) == sorted([(*r[:2], clash.get(r[2], r[2]), *r[3:]) for r in got], key=repr)
+
+
+def test_keys_that_share_a_hash_are_told_apart():
+    import pyarrow as pa
+
+    side = lambda keys, hashes: pa.table({"key": pa.array(keys, pa.string()), "hash": pa.array(hashes, pa.int64())})
+    for left, right in (((["a", "b"], [1, 1]), (["b"], [1])), ((["b"], [1]), (["c"], [1])), ((["a", "b"], [1, 2]), (["b", "a"], [2, 1])), (([], []), (["a"], [1]))):
+        il, ir, ol, orr = copydiff._aligned(side(*left), side(*right))
+        assert [left[0][i] for i in il] == [right[0][i] for i in ir] and set(left[0]) & set(right[0]) == {left[0][i] for i in il}
+        assert {left[0][i] for i in ol} == set(left[0]) - set(right[0]) and {right[0][i] for i in orr} == set(right[0]) - set(left[0])
 
 
 def test_contradicted_flags(spark):
