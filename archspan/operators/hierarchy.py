@@ -1,10 +1,11 @@
 """Parent-child links to full hierarchies (problem 3).
 
 Subtree sizes are summed upward, siblings get preorder ranges by prefix sums, and
-the ranges are carried downward; ancestors and descendants then follow from nested
-ranges. Both directions go by doubling (every round doubles the distance that a
-pointer spans), so a tree of depth d takes log2(d) rounds and not d. Nodes whose
-pointer never reaches a root are unprocessed: they lie on or below a cycle.
+the ranges are carried downward with root and depth; ancestors and descendants
+then follow from nested ranges. Both directions go by doubling (every round doubles
+the distance that a pointer spans), so a tree of depth d takes log2(d) rounds and not
+d. Nodes whose pointer never reaches a root are unprocessed: they lie on or below a
+cycle. The rounds run when `hierarchy` is called.
 """
 
 from __future__ import annotations
@@ -22,46 +23,52 @@ SIBLINGS_PER_BLOCK = 4096
 def contains_links(edges: DataFrame) -> DataFrame:
     """(repo_id, parent, fqn) of CONTAINS edges (kind without case and outer blanks), distinct.
 
-    Rows with a null repo_id, source or target are ignored. If an FQN has several
-    parents, the least holds, so that the result is a forest.
+    Rows with a null repo_id, source or target are ignored.
     """
     kind = F.lower(F.trim("kind")) == "contains"
-    links = edges.where(kind).select("repo_id", F.col("source").alias("parent"), F.col("target").alias("fqn")).dropna()
+    return edges.where(kind).select("repo_id", F.col("source").alias("parent"), F.col("target").alias("fqn")).dropna().distinct()
+
+
+def _kept(links: DataFrame) -> DataFrame:
     return links.groupBy("repo_id", "fqn").agg(F.min("parent").alias("parent"))
 
 
+def dropped_links(links: DataFrame) -> DataFrame:
+    """(repo_id, fqn, parent) of links that a forest can't hold: all but the least parent of an FQN."""
+    return links.select("repo_id", "fqn", "parent").distinct().join(_kept(links), ["repo_id", "fqn", "parent"], "left_anti")
+
+
 def numbered(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, parent, repo_id, fqn): nodes at either end of a link, with written ids; parent is null at a root."""
-    ends = links.select("repo_id", "fqn").unionByName(links.select("repo_id", F.col("parent").alias("fqn"))).distinct()
+    ends = links.select("repo_id", F.explode(F.array("fqn", "parent")).alias("fqn")).distinct()
     ids = scratch.cut(ends.withColumn("id", F.monotonically_increasing_id()))
     parents = ids.select("repo_id", F.col("fqn").alias("parent"), F.col("id").alias("parent_id"))
-    withp = ids.join(links, ["repo_id", "fqn"], "left").join(parents, ["repo_id", "parent"], "left")
+    withp = ids.join(_kept(links), ["repo_id", "fqn"], "left").join(parents, ["repo_id", "parent"], "left")
     return scratch.cut(withp.select("id", F.col("parent_id").alias("parent"), "repo_id", "fqn"))
 
 
-def _upward(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(id, size, depth, root) of processed nodes, and the ids of unprocessed ones.
+def _upward(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, ptr, size): ptr is null where the node's root was reached, size is then the size of the subtree.
 
     In round k ``ptr`` is the ancestor 2^k links up (null above a root) and ``size``
     counts the subtree down to 2^k - 1 links; adding the sizes of the nodes that
     point at a node doubles its reach. A round in which no further node reaches its
     root ends the loop: all that is left circles.
     """
-    state = scratch.cut(nodes.select("id", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("size"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.coalesce("parent", "id").alias("root")))
-    left = state.where(F.col("ptr").isNotNull()).count()
+    open_ = F.col("ptr").isNotNull()
+    state, left = scratch.cut_counting(nodes.select("id", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("size")), open_)
     while left:
-        gained = state.where(F.col("ptr").isNotNull()).groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain"))
-        far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
-        jumped = state.where(F.col("ptr").isNotNull()).join(far, "ptr").select("id", F.col("ptr2").alias("ptr"), "size", (F.col("depth") + F.col("depth2")).alias("depth"), F.col("root2").alias("root"))
-        grown = state.where(F.col("ptr").isNull()).unionByName(jumped).join(gained, "id", "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0))).drop("gain")
-        new = scratch.cut(grown)
+        gained = state.where(open_).groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain"))
+        far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
+        jumped = state.where(open_).join(far, "ptr").select("id", F.col("ptr2").alias("ptr"), "size")
+        grown = state.where(~open_).unionByName(jumped).join(gained, "id", "left").select("id", "ptr", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
+        new, now = scratch.cut_counting(grown, open_)
         scratch.drop(state)
         state = new
-        now = state.where(F.col("ptr").isNotNull()).count()
         if now == left:
             break
         left = now
-    return state.where(F.col("ptr").isNull()).drop("ptr"), state.where(F.col("ptr").isNotNull()).select("id")
+    return state
 
 
 def _offsets(placed: DataFrame) -> DataFrame:
@@ -79,36 +86,46 @@ def _offsets(placed: DataFrame) -> DataFrame:
     return dealt.withColumn("within", within).join(prefix, ["parent", "block"]).select("id", "parent", (F.col("base") + F.col("within")).alias("offset"))
 
 
-def _downward(placed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, lft): preorder position within the tree, the sum of 1 + offset over the links up to the root."""
-    state = scratch.cut(placed.select("id", F.lit(None).cast("bigint").alias("ptr"), F.lit(0).cast("bigint").alias("lft")).where("false").unionByName(_offsets(placed).select("id", F.col("parent").alias("ptr"), (F.col("offset") + 1).alias("lft"))).unionByName(placed.where(F.col("parent").isNull()).select("id", F.lit(None).cast("bigint").alias("ptr"), F.lit(0).cast("bigint").alias("lft"))))
-    while not state.where(F.col("ptr").isNotNull()).isEmpty():
-        far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("lft").alias("lft2"))
-        jumped = state.where(F.col("ptr").isNotNull()).join(far, "ptr").select("id", F.col("ptr2").alias("ptr"), (F.col("lft") + F.col("lft2")).alias("lft"))
-        new = scratch.cut(state.where(F.col("ptr").isNull()).unionByName(jumped))
-        scratch.drop(state)
-        state = new
-    return state.drop("ptr")
+def _downward(placed: DataFrame, scratch: Scratch, paths: bool) -> DataFrame:
+    """(id, lft, depth, root, path): preorder position within the tree, links up to the root, the root's FQN and, if asked, the names on the way.
+
+    lft is the sum of 1 + offset over the links up to the root. Each round writes
+    only the nodes that are still on their way; those that arrived stay where they are.
+    """
+    open_ = F.col("ptr").isNotNull()
+    top = F.col("parent").isNull()
+    path = F.array("fqn") if paths else F.lit(None).cast("array<string>")
+    begin = placed.join(_offsets(placed).select("id", "offset"), "id", "left")
+    start = begin.select("id", F.col("parent").alias("ptr"), F.when(top, F.lit(0).cast("bigint")).otherwise(F.col("offset") + 1).alias("lft"), F.when(top, 0).otherwise(1).alias("depth"), F.when(top, F.col("fqn")).alias("root"), path.alias("path"))
+    last, left = scratch.cut_counting(start, open_)
+    done = last.where(~open_)
+    while left:
+        far = done.unionByName(last.where(open_)).select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("lft").alias("lft2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"), F.col("path").alias("path2"))
+        moved = last.where(open_).join(far, "ptr").select("id", F.col("ptr2").alias("ptr"), (F.col("lft") + F.col("lft2")).alias("lft"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("root2").alias("root"), F.concat("path2", "path").alias("path"))
+        last, left = scratch.cut_counting(moved, open_)
+        done = done.unionByName(last.where(~open_))
+    return done.drop("ptr")
 
 
-def hierarchy(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(repo_id, fqn, parent, root, depth, lft, rgt, n_descendants, on_cycle) per FQN at either end of a link.
+def hierarchy(links: DataFrame, scratch: Scratch, paths: bool = False) -> DataFrame:
+    """(repo_id, fqn, parent, root, depth, lft, rgt, n_descendants, on_cycle, path) per FQN at either end of a link.
 
     lft is the preorder position in the node's tree and rgt the last position below
     it: b lies below a exactly if both have one root and a.lft < b.lft <= a.rgt. FQNs
     on a cycle or below one have root '', depth -1, null positions and ``on_cycle``
-    true. A link from an FQN to itself is a cycle. No links give an empty table.
+    true. A link from an FQN to itself is a cycle. ``path`` holds the FQNs from the root
+    down if ``paths``, else null. An FQN with several parents hangs under the least;
+    `dropped_links` lists the other links, whose ends are nodes all the same. No links
+    give an empty table.
     """
     nodes = numbered(links, scratch)
-    done, stuck = _upward(nodes, scratch)
-    placed = scratch.cut(nodes.select("id", "parent").join(done, "id"))
-    order = _downward(placed, scratch)
-    named = nodes.select(F.col("id").alias("root"), F.col("fqn").alias("root_fqn"))
-    known = placed.join(order, "id").join(named, "root").select("id", F.col("root_fqn").alias("root"), "depth", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_descendants"), F.lit(False).alias("on_cycle"))
-    lost = stuck.select("id", F.lit("").alias("root"), F.lit(-1).alias("depth"), *[F.lit(None).cast("bigint").alias(c) for c in ("lft", "rgt", "n_descendants")], F.lit(True).alias("on_cycle"))
-    both = known.unionByName(lost)
-    parent_names = links.select("repo_id", "fqn", "parent")
-    return nodes.select("id", "repo_id", "fqn").join(both, "id").join(parent_names, ["repo_id", "fqn"], "left").select("repo_id", "fqn", "parent", "root", "depth", "lft", "rgt", "n_descendants", "on_cycle")
+    sizes = _upward(nodes, scratch)
+    placed = scratch.cut(nodes.select("id", "parent", "fqn").join(sizes.where(F.col("ptr").isNull()).drop("ptr"), "id"))
+    order = _downward(placed, scratch, paths)
+    known = placed.select("id", "size").join(order, "id").select("id", "root", "depth", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_descendants"), F.lit(False).alias("on_cycle"), "path")
+    lost = sizes.where(F.col("ptr").isNotNull()).select("id", F.lit("").alias("root"), F.lit(-1).alias("depth"), *[F.lit(None).cast("bigint").alias(c) for c in ("lft", "rgt", "n_descendants")], F.lit(True).alias("on_cycle"), F.lit(None).cast("array<string>").alias("path"))
+    above = _kept(links)
+    return nodes.select("id", "repo_id", "fqn").join(known.unionByName(lost), "id").join(above, ["repo_id", "fqn"], "left").select("repo_id", "fqn", "parent", "root", "depth", "lft", "rgt", "n_descendants", "on_cycle", "path")
 
 
 def descendant_pairs(tree: DataFrame) -> DataFrame:
@@ -138,8 +155,5 @@ def descendant_pairs(tree: DataFrame) -> DataFrame:
 
 
 def full_paths(tree: DataFrame) -> DataFrame:
-    """(repo_id, fqn, path, depth): the FQNs from the root down, joined by `` > ``; FQNs on or below a cycle have none."""
-    pairs = descendant_pairs(tree).select("repo_id", "fqn", F.struct(F.col("distance"), F.col("ancestor")).alias("_s"))
-    above = pairs.groupBy("repo_id", "fqn").agg(F.sort_array(F.collect_list("_s"), asc=False).alias("_a"))
-    path = F.concat(F.transform(F.coalesce("_a", F.array()), lambda s: s["ancestor"]), F.array("fqn"))
-    return tree.where(~F.col("on_cycle")).select("repo_id", "fqn", "depth").join(above, ["repo_id", "fqn"], "left").select("repo_id", "fqn", F.array_join(path, " > ").alias("path"), "depth")
+    """(repo_id, fqn, path, depth) of a tree with paths: the FQNs from the root down, joined by `` > ``; FQNs on or below a cycle have none."""
+    return tree.where(~F.col("on_cycle")).select("repo_id", "fqn", F.array_join("path", " > ").alias("path"), "depth")

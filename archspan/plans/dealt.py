@@ -27,8 +27,8 @@ def p2_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copydiff.rule_differences(load(spark, sf_dir, "gold_adrs"), load(spark, sf_dir, "constraint_edges"))
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.hierarchy(hierarchy.contains_links(load(spark, sf_dir, "dep_edges")), Scratch(spark, "hierarchy"))
+def _tree(spark: SparkSession, sf_dir: str, paths: bool = False) -> DataFrame:
+    return hierarchy.hierarchy(hierarchy.contains_links(load(spark, sf_dir, "dep_edges")), Scratch(spark, "hierarchy"), paths)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,17 +39,16 @@ def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).select("repo_id", "fqn", "n_descendants", "on_cycle")
 
 
-def _written_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "tree")
-    return scratch.cut(_tree(spark, sf_dir))
-
-
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.descendant_pairs(_written_tree(spark, sf_dir))
+    return hierarchy.descendant_pairs(Scratch(spark, "tree").cut(_tree(spark, sf_dir)))
 
 
 def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.full_paths(_written_tree(spark, sf_dir))
+    return hierarchy.full_paths(_tree(spark, sf_dir, paths=True))
+
+
+def p3_dropped_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.dropped_links(hierarchy.contains_links(load(spark, sf_dir, "dep_edges")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +84,7 @@ def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("line_id", "to_sha", "change_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cells, p3_found, p3_descendants, p3_pairs, p3_paths, p5_found, p5_table, p5_conflicts, p6_found, p7_found, p7_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cells, p3_found, p3_descendants, p3_pairs, p3_paths, p3_dropped_links, p5_found, p5_table, p5_conflicts, p6_found, p7_found, p7_totals)}
 QUERIES |= {f"p6_{t}": _flat(t) for t in ("case", "violation", "snapshot")}
 
 _ORPHANS = r"""
@@ -123,7 +122,7 @@ f AS (
 """
 _WALK = """
 WITH RECURSIVE c AS (SELECT repo_id, target AS fqn, min(source) AS parent FROM dep_edges WHERE lower(trim(kind)) = 'contains' GROUP BY 1, 2),
-n AS (SELECT repo_id, fqn FROM c UNION SELECT repo_id, parent FROM c),
+n AS (SELECT DISTINCT repo_id, unnest([source, target]) AS fqn FROM dep_edges WHERE lower(trim(kind)) = 'contains'),
 w AS (
   SELECT repo_id, fqn, fqn AS root, 0 AS depth, fqn AS path FROM n ANTI JOIN c USING (repo_id, fqn)
   UNION ALL SELECT c.repo_id, c.fqn, w.root, w.depth + 1, w.path || ' > ' || c.fqn FROM w JOIN c ON c.repo_id = w.repo_id AND c.parent = w.fqn),
@@ -197,6 +196,7 @@ WHERE matches_gold = EXISTS (SELECT 1 FROM f WHERE f.repo_id = s.repo_id AND f.a
     "p3_found": _WALK + "SELECT n.repo_id, n.fqn, coalesce(w.root, '') AS root, coalesce(w.depth, -1) AS depth FROM n LEFT JOIN w USING (repo_id, fqn)",
     "p3_descendants": _WALK + "SELECT n.repo_id, n.fqn, CASE WHEN w.fqn IS NOT NULL THEN count(a.fqn) END AS n_descendants, w.fqn IS NULL AS on_cycle FROM n LEFT JOIN w USING (repo_id, fqn) LEFT JOIN a ON a.repo_id = n.repo_id AND a.ancestor = n.fqn GROUP BY n.repo_id, n.fqn, w.fqn",
     "p3_pairs": _WALK + "SELECT repo_id, ancestor, fqn, distance FROM a",
+    "p3_dropped_links": _WALK + "SELECT DISTINCT d.repo_id, d.target AS fqn, d.source AS parent FROM dep_edges d JOIN c ON c.repo_id = d.repo_id AND c.fqn = d.target WHERE lower(trim(d.kind)) = 'contains' AND d.source <> c.parent",
     "p3_paths": _WALK + "SELECT repo_id, fqn, path, depth FROM w",
     "p5_found": _DRIFT,
     "p6_found": _SHRED

@@ -155,10 +155,11 @@ def test_hierarchy_random(spark, scratch, seed):
     rnd = random.Random(seed)
     n = 60
     links = {(f"n{rnd.randrange(i)}" if rnd.random() < 0.9 else f"n{rnd.randrange(n)}", f"n{i}") for i in range(1, n)}
-    links |= {("s", "s"), *((f"c{i}", f"c{i + 1}") for i in range(40))}
+    links |= {("s", "s"), *((f"c{i}", f"c{i + 1}") for i in range(40)), ("z1", "n5"), ("z2", "n5")}
     edges = spark.createDataFrame([("r", p, c, rnd.choice(["CONTAINS", " contains"]), 1) for p, c in links] * 2 + [("r", None, "x", "CONTAINS", 1), ("r", "q", "w", "CALLS", 1)], "repo_id string, source string, target string, kind string, fqn int")
-    tree = scratch.cut(hierarchy.hierarchy(hierarchy.contains_links(edges), scratch))
+    tree = scratch.cut(hierarchy.hierarchy(hierarchy.contains_links(edges), scratch, paths=True))
     parent, want = brute_tree(links)
+    assert {(r.parent, r.fqn) for r in hierarchy.dropped_links(hierarchy.contains_links(edges)).collect()} == {(p, c) for p, c in links if parent[c] != p}
     got = {r.fqn: r for r in tree.collect()}
     assert {k: (r.root, r.depth) for k, r in got.items()} == want
     above = {}
