@@ -51,18 +51,44 @@ def p3_dropped_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.dropped_links(hierarchy.contains_links(load(spark, sf_dir, "dep_edges")))
 
 
+def _drift(spark: SparkSession, sf_dir: str, distinct: bool = False) -> tuple[DataFrame, DataFrame, Scratch]:
+    """Written records with their tagged cells, and the changes between files."""
+    scratch = Scratch(spark, "drift")
+    tagged = scratch.cut(drift.tagged_records(load(spark, sf_dir, "wire_records"), distinct))
+    return tagged, drift.schema_changes(tagged, scratch), scratch
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = load(spark, sf_dir, "wire_records")
-    leaves = Scratch(spark, "leaves").cut(drift.tagged_leaves(records))
-    return drift.schema_changes(records, leaves)
+    return _drift(spark, sf_dir)[1].select("stream_id", "file_no", "field_name", "change_kind", "new_name")
+
+
+def p5_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change with the types before and after it."""
+    return _drift(spark, sf_dir)[1]
 
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.union_table(drift.tagged_leaves(load(spark, sf_dir, "wire_records")))
+    """The consistent table, its typed branches as lines ``field=value``, of lists the length."""
+    tagged, changes, scratch = _drift(spark, sf_dir, distinct=True)
+    table = drift.union_table(tagged, changes, scratch)
+
+    def lines(column: str, text) -> F.Column:
+        return F.array_join(F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit("="), text(e["value"]))), "\n").alias(column)
+
+    numbers = F.map_filter("canonical", lambda k, _: k.endswith("#number"))
+    plain = table.withColumn("numbers", F.transform_keys(numbers, lambda k, _: F.regexp_replace(k, "#number$", "")))
+    same = lambda v: v.cast("string")
+    return plain.select(*drift.RECORD, lines("strings", same), lines("numbers", same), lines("booleans", same), lines("arrays", lambda v: F.size(v).cast("string")))
+
+
+def p5_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that the consistent table replaces, by family."""
+    tagged, changes, scratch = _drift(spark, sf_dir)
+    return drift.field_names(tagged, changes, scratch)
 
 
 def p5_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.conflicts(drift.tagged_leaves(load(spark, sf_dir, "wire_records")))
+    return drift.conflicts(drift.tagged_records(load(spark, sf_dir, "wire_records")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +110,7 @@ def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("line_id", "to_sha", "change_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cells, p3_found, p3_descendants, p3_pairs, p3_paths, p3_dropped_links, p5_found, p5_table, p5_conflicts, p6_found, p7_found, p7_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cells, p3_found, p3_descendants, p3_pairs, p3_paths, p3_dropped_links, p5_found, p5_types, p5_table, p5_names, p5_conflicts, p6_found, p7_found, p7_totals)}
 QUERIES |= {f"p6_{t}": _flat(t) for t in ("case", "violation", "snapshot")}
 
 _ORPHANS = r"""
@@ -163,22 +189,32 @@ outs AS {_each("snaps", "report_id, case_no, violation_no, snapshot_no", "x->'ou
 fps AS {_each("o", "report_id", "x->'ingestion'->'false_positive_edges'", "item_no")}
 """
 _DRIFT = r"""
-WITH rec AS (SELECT DISTINCT stream_id, file_no, record_key, payload FROM wire_records),
-lf AS (SELECT stream_id, file_no, record_key, substr(t.fullkey, 3) AS path, CASE t.type WHEN 'VARCHAR' THEN 1 WHEN 'BOOLEAN' THEN 4 WHEN 'ARRAY' THEN 8 ELSE 2 END AS bit, replace(CAST(t.value AS VARCHAR), ' ', '') AS v
+WITH RECURSIVE rec AS (SELECT DISTINCT family, stream_id, file_no, record_key, payload FROM wire_records),
+lf AS (SELECT family, stream_id, file_no, record_key, payload, substr(t.fullkey, 3) AS path, CASE t.type WHEN 'VARCHAR' THEN 1 WHEN 'BOOLEAN' THEN 4 WHEN 'ARRAY' THEN 8 ELSE 2 END AS bit, replace(CAST(t.value AS VARCHAR), ' ', '') AS v, t.value AS raw
   FROM rec, json_tree(rec.payload) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND NOT contains(t.fullkey, '[')),
 fs AS (SELECT DISTINCT stream_id, file_no FROM rec), pairs AS (SELECT a.* FROM fs a JOIN fs b ON b.stream_id = a.stream_id AND b.file_no = a.file_no - 1),
 fd AS (SELECT stream_id, file_no, path, bit_or(bit) AS types FROM lf GROUP BY 1, 2, 3),
-ch AS (SELECT p.stream_id, p.file_no, f.path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'type_changed' END AS change_kind FROM pairs p
+ch AS (SELECT p.stream_id, p.file_no, f.path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'type_changed' END AS change_kind, o.types AS old, n.types AS now FROM pairs p
   JOIN (SELECT stream_id, file_no, path FROM fd UNION SELECT stream_id, file_no + 1, path FROM fd) f ON f.stream_id = p.stream_id AND f.file_no = p.file_no
   LEFT JOIN fd n ON n.stream_id = p.stream_id AND n.file_no = p.file_no AND n.path = f.path LEFT JOIN fd o ON o.stream_id = p.stream_id AND o.file_no = p.file_no - 1 AND o.path = f.path WHERE n.types IS DISTINCT FROM o.types),
 ks AS (SELECT DISTINCT stream_id, file_no, record_key FROM rec), sh AS (SELECT a.* FROM ks a JOIN ks b ON b.stream_id = a.stream_id AND b.file_no = a.file_no - 1 AND b.record_key = a.record_key),
-va AS (SELECT DISTINCT c.stream_id, c.file_no, c.path, l.record_key, l.v FROM ch c JOIN lf l ON l.stream_id = c.stream_id AND l.file_no = c.file_no - 1 AND l.path = c.path SEMI JOIN sh ON sh.stream_id = c.stream_id AND sh.file_no = c.file_no AND sh.record_key = l.record_key WHERE c.change_kind = 'removed'),
-vb AS (SELECT DISTINCT c.stream_id, c.file_no, c.path, l.record_key, l.v FROM ch c JOIN lf l ON l.stream_id = c.stream_id AND l.file_no = c.file_no AND l.path = c.path SEMI JOIN sh ON sh.stream_id = c.stream_id AND sh.file_no = c.file_no AND sh.record_key = l.record_key WHERE c.change_kind = 'added'),
-ma AS (SELECT a.stream_id, a.file_no, a.path, b.path AS new_name, count(DISTINCT a.record_key) AS n FROM va a JOIN vb b ON b.stream_id = a.stream_id AND b.file_no = a.file_no AND b.record_key = a.record_key AND b.v = a.v GROUP BY 1, 2, 3, 4),
-rn AS (SELECT m.* FROM ma m WHERE n = (SELECT count(DISTINCT record_key) FROM va WHERE va.stream_id = m.stream_id AND va.file_no = m.file_no AND va.path = m.path) AND n = (SELECT count(DISTINCT record_key) FROM vb WHERE vb.stream_id = m.stream_id AND vb.file_no = m.file_no AND vb.path = m.new_name))
-SELECT stream_id, file_no, path AS field_name, 'renamed' AS change_kind, new_name FROM rn
-UNION SELECT stream_id, file_no, path, change_kind, '' FROM ch WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.stream_id = ch.stream_id AND rn.file_no = ch.file_no AND ((ch.change_kind = 'removed' AND rn.path = ch.path) OR (ch.change_kind = 'added' AND rn.new_name = ch.path)))
-"""
+va AS (SELECT c.stream_id, c.file_no, c.path, l.record_key, list_sort(list(DISTINCT l.v)) AS v FROM ch c JOIN lf l ON l.stream_id = c.stream_id AND l.file_no = c.file_no - 1 AND l.path = c.path SEMI JOIN sh ON sh.stream_id = c.stream_id AND sh.file_no = c.file_no AND sh.record_key = l.record_key WHERE c.change_kind = 'removed' GROUP BY 1, 2, 3, 4),
+vb AS (SELECT c.stream_id, c.file_no, c.path, l.record_key, list_sort(list(DISTINCT l.v)) AS v FROM ch c JOIN lf l ON l.stream_id = c.stream_id AND l.file_no = c.file_no AND l.path = c.path SEMI JOIN sh ON sh.stream_id = c.stream_id AND sh.file_no = c.file_no AND sh.record_key = l.record_key WHERE c.change_kind = 'added' GROUP BY 1, 2, 3, 4),
+ma AS (SELECT a.stream_id, a.file_no, a.path, b.path AS new_name, count(*) AS n FROM va a JOIN vb b ON b.stream_id = a.stream_id AND b.file_no = a.file_no AND b.record_key = a.record_key AND b.v = a.v GROUP BY 1, 2, 3, 4),
+rn AS (SELECT m.* FROM ma m WHERE n = (SELECT count(*) FROM va WHERE va.stream_id = m.stream_id AND va.file_no = m.file_no AND va.path = m.path) AND n = (SELECT count(*) FROM vb WHERE vb.stream_id = m.stream_id AND vb.file_no = m.file_no AND vb.path = m.new_name)),
+dr AS (SELECT r.stream_id, r.file_no, r.path AS field_name, 'renamed' AS change_kind, r.new_name, o.old, w.now FROM rn r JOIN ch o ON o.stream_id = r.stream_id AND o.file_no = r.file_no AND o.path = r.path JOIN ch w ON w.stream_id = r.stream_id AND w.file_no = r.file_no AND w.path = r.new_name
+  UNION SELECT stream_id, file_no, path, change_kind, '', old, now FROM ch WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.stream_id = ch.stream_id AND rn.file_no = ch.file_no AND ((ch.change_kind = 'removed' AND rn.path = ch.path) OR (ch.change_kind = 'added' AND rn.new_name = ch.path))))"""
+_TYPES = "array_to_string(list_filter([CASE WHEN {m} & 8 > 0 THEN 'array' END, CASE WHEN {m} & 4 > 0 THEN 'boolean' END, CASE WHEN {m} & 2 > 0 THEN 'number' END, CASE WHEN {m} & 1 > 0 THEN 'string' END], lambda x: x IS NOT NULL), ',')"
+_NAMES = _DRIFT + r""",
+pr AS (SELECT DISTINCT f.family, d.field_name AS a, d.new_name AS b FROM dr d JOIN (SELECT DISTINCT family, stream_id FROM rec) f USING (stream_id) WHERE change_kind = 'renamed'),
+lk AS (SELECT family, a, b FROM pr UNION SELECT family, b, a FROM pr),
+rc AS (SELECT family, a, b FROM lk UNION SELECT rc.family, rc.a, lk.b FROM rc JOIN lk ON lk.family = rc.family AND lk.a = rc.b),
+gp AS (SELECT family, a AS path, least(a, min(b)) AS g FROM rc GROUP BY family, a),
+ff AS (SELECT DISTINCT family, stream_id, file_no, path FROM lf),
+bs AS (SELECT DISTINCT family, g FROM (SELECT gp.family, g, stream_id, file_no FROM ff JOIN gp USING (family, path) GROUP BY ALL HAVING count(*) > 1)),
+wh AS (SELECT gp.*, n FROM gp ANTI JOIN bs USING (family, g) JOIN (SELECT family, path, count(*) AS n FROM ff GROUP BY 1, 2) USING (family, path)),
+nm AS (SELECT wh.family, wh.path, b.field FROM wh JOIN (SELECT family, g, arg_min(path, struct_pack(n := -n, p := path)) AS field FROM wh GROUP BY 1, 2) b USING (family, g) WHERE wh.path <> b.field)"""
+_LINES = "coalesce(string_agg(field || '=' || {v}, chr(10) ORDER BY field) FILTER (bit = {b}), '')"
 
 SQL = {
     "p1_found": _ORPHANS + "SELECT * FROM found",
@@ -198,7 +234,14 @@ WHERE matches_gold = EXISTS (SELECT 1 FROM f WHERE f.repo_id = s.repo_id AND f.a
     "p3_pairs": _WALK + "SELECT repo_id, ancestor, fqn, distance FROM a",
     "p3_dropped_links": _WALK + "SELECT DISTINCT d.repo_id, d.target AS fqn, d.source AS parent FROM dep_edges d JOIN c ON c.repo_id = d.repo_id AND c.fqn = d.target WHERE lower(trim(d.kind)) = 'contains' AND d.source <> c.parent",
     "p3_paths": _WALK + "SELECT repo_id, fqn, path, depth FROM w",
-    "p5_found": _DRIFT,
+    "p5_found": _DRIFT + " SELECT stream_id, file_no, field_name, change_kind, new_name FROM dr",
+    "p5_types": _DRIFT + f" SELECT stream_id, file_no, field_name, change_kind, new_name, {_TYPES.format(m='coalesce(old, 0)')} AS old_types, {_TYPES.format(m='coalesce(now, 0)')} AS new_types FROM dr",
+    "p5_names": _NAMES + " SELECT * FROM nm",
+    "p5_table": _NAMES
+    + f""", ce AS (SELECT lf.*, coalesce(nm.field, lf.path) AS field FROM lf LEFT JOIN nm ON nm.family = lf.family AND nm.path = lf.path)
+SELECT rec.family, rec.stream_id, rec.file_no, rec.record_key, {_LINES.format(b=1, v="(raw->>'$')")} AS strings, {_LINES.format(b=2, v=r"regexp_replace(CAST(raw AS VARCHAR), '\.0$', '')")} AS numbers, {_LINES.format(b=4, v="CAST(raw AS VARCHAR)")} AS booleans, {_LINES.format(b=8, v="CAST(json_array_length(raw) AS VARCHAR)")} AS arrays
+FROM rec LEFT JOIN ce ON ce.stream_id = rec.stream_id AND ce.file_no = rec.file_no AND ce.record_key = rec.record_key AND ce.payload = rec.payload GROUP BY rec.family, rec.stream_id, rec.file_no, rec.record_key, rec.payload""",
+    "p5_conflicts": _DRIFT + f" SELECT family, path, {_TYPES.format(m='mask')} AS types, n_files FROM (SELECT family, path, bit_or(types) AS mask, count(*) AS n_files FROM (SELECT family, stream_id, file_no, path, bit_or(bit) AS types FROM lf GROUP BY ALL) GROUP BY 1, 2) WHERE bit_count(mask) > 1",
     "p6_found": _SHRED
     + """SELECT report_id, CAST(case_no AS INT) AS case_no, CAST(violation_no AS INT) AS violation_no, 'hop' AS item, -1 AS snapshot_no, CAST(item_no AS INT) AS item_no, coalesce(x->>'target', '') AS target FROM hops
 UNION ALL SELECT report_id, CAST(case_no AS INT), CAST(violation_no AS INT), 'outgoing', CAST(snapshot_no AS INT), CAST(item_no AS INT), coalesce(x->>'target', '') FROM outs

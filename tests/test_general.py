@@ -195,7 +195,7 @@ def test_hierarchy_wide_parent(spark, scratch, monkeypatch):
 WIRE = "stream_id bigint, family string, file_no int, record_key string, payload string, path string"
 
 
-def test_drift(spark):
+def test_drift(spark, scratch):
     r = lambda n, k, **o: (1, "f", n, k, json.dumps(o), "clash")
     data = [
         r(1, "a", x=1, same="s", gone=[1], t="1", o={"k": 5}),
@@ -210,8 +210,9 @@ def test_drift(spark):
         (1, "f", 2, None, "[1]", None),
     ]
     df = spark.createDataFrame(data, WIRE)
-    leaves = drift.tagged_leaves(df)
-    got = rows(drift.schema_changes(df, leaves))
+    tagged = scratch.cut(drift.tagged_records(df, distinct=True))
+    changes = scratch.cut(drift.schema_changes(tagged, scratch))
+    got = rows(changes.select("stream_id", "file_no", "field_name", "change_kind", "new_name"))
     assert got == sorted(
         [
             (1, 2, "x", "renamed", "y"),
@@ -223,11 +224,31 @@ def test_drift(spark):
         ],
         key=repr,
     )
-    table = {(x.file_no, x.record_key): x for x in drift.union_table(leaves).collect()}
-    assert table[(1, "a")].numbers == {"x": 1.0, "o.k": 5.0} and table[(2, "a")].booleans == {"new": True} and table[(1, "a")].arrays == {"gone": ["1"]} and table[(1, "b")].strings == {"same": "t", "t": "2"}
-    assert rows(drift.conflicts(leaves)) == [("f", "t", "number,string", 2)]
-    empty = df.limit(0)
-    assert drift.schema_changes(empty, drift.tagged_leaves(empty)).count() == 0
+    types = {r.field_name: (r.old_types, r.new_types) for r in changes.collect()}
+    assert types == {"x": ("number", "number"), "gone": ("array", ""), "new": ("", "boolean"), "t": ("string", "number,string"), "o.k": ("number", ""), "o2.k": ("", "number")}
+    for limit in (drift.BROADCAST_NAMES, 0):
+        table = {(x.file_no, x.record_key): x for x in drift.union_table(tagged, changes, scratch, limit).collect()}
+        assert table[(1, "a")].numbers == {"x": 1.0, "o.k": 5.0} and table[(2, "a")].booleans == {"new": True} and table[(1, "a")].arrays == {"gone": ["1"]} and table[(1, "b")].strings == {"same": "t", "t": "2"}
+        assert table[(2, "b")].numbers == {"x": 2.0, "o2.k": 7.0} and table[(2, "a")].canonical["t#number"] == "1" and table[(2, "d")].strings == {}
+        assert len(table) == 9
+    assert rows(drift.conflicts(tagged)) == [("f", "t", "number,string", 2)]
+    empty = drift.tagged_records(df.limit(0))
+    assert drift.schema_changes(empty, scratch).count() == 0 and drift.field_names(empty, drift.schema_changes(empty, scratch), scratch).count() == 0
+
+
+def test_drift_of_keys_with_several_payloads(spark, scratch):
+    """A field is renamed only if a key's whole set of values moved."""
+    r = lambda n, k, **o: (1, "f", n, k, json.dumps(o), "")
+    data = [r(1, "a", p=1, q="u"), r(1, "a", p=2, q="u"), r(2, "a", p2=2, q2="u"), r(2, "a", p2=1, q2="u"), r(3, "a", p3=1, q3="u"), r(3, "b", p3=9)]
+    changes = drift.schema_changes(drift.tagged_records(spark.createDataFrame(data, WIRE)), scratch)
+    assert rows(changes.select("file_no", "field_name", "change_kind", "new_name")) == sorted([(2, "p", "renamed", "p2"), (2, "q", "renamed", "q2"), (3, "q2", "renamed", "q3"), (3, "p2", "removed", ""), (3, "p3", "added", "")], key=repr)
+
+
+def test_names_that_stand_side_by_side_stay_apart(spark, scratch):
+    r = lambda s, n, k, **o: (s, "f", n, k, json.dumps(o), "")
+    data = [r(1, 1, "a", x=1), r(1, 2, "a", y=1), r(1, 3, "a", z=1), r(2, 1, "a", c=1), r(2, 2, "a", d=1), r(3, 1, "a", c=1, d=2), r(1, 4, "a", z=3)]
+    tagged = drift.tagged_records(spark.createDataFrame(data, WIRE))
+    assert rows(drift.field_names(tagged, drift.schema_changes(tagged, scratch), scratch)) == [("f", "x", "z"), ("f", "y", "z")]
 
 
 # -- shredding -----------------------------------------------------------------
