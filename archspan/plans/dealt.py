@@ -95,6 +95,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shredding.innermost(load(spark, sf_dir, "eval_reports"))
 
 
+def p6_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf of the reports and how often it has a value."""
+    return shredding.leaf_counts(load(spark, sf_dir, "eval_reports"))
+
+
+def p6_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that stand in none of the flat tables."""
+    return shredding.flat_tables(load(spark, sf_dir, "eval_reports"), Scratch(spark, "flat"))["other"]
+
+
 def _flat(table: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return shredding.flat_table(load(spark, sf_dir, "eval_reports"), table)
@@ -110,8 +120,8 @@ def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("line_id", "to_sha", "change_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cells, p3_found, p3_descendants, p3_pairs, p3_paths, p3_dropped_links, p5_found, p5_types, p5_table, p5_names, p5_conflicts, p6_found, p7_found, p7_totals)}
-QUERIES |= {f"p6_{t}": _flat(t) for t in ("case", "violation", "snapshot")}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cells, p3_found, p3_descendants, p3_pairs, p3_paths, p3_dropped_links, p5_found, p5_types, p5_table, p5_names, p5_conflicts, p6_found, p6_leaves, p6_other, p7_found, p7_totals)}
+QUERIES |= {f"p6_{t}": _flat(t) for t in shredding.TABLES}
 
 _ORPHANS = r"""
 WITH r AS (
@@ -181,6 +191,8 @@ def _each(source: str, keep: str, value: str, number: str) -> str:
 _SHRED = f"""
 WITH d AS (SELECT DISTINCT report_id, payload FROM eval_reports WHERE json_valid(payload)),
 o AS (SELECT report_id, coalesce(CAST(payload AS JSON)->'report', CAST(payload AS JSON)) AS x FROM d),
+m AS (SELECT report_id, CAST(payload AS JSON)->'_meta' AS x FROM d),
+seconds AS {_each("o", "report_id", "x->'cost'->'per_case_detect_seconds'", "item_no")},
 cases AS {_each("o", "report_id", "x->'detection'->'cases'", "case_no")},
 violations AS {_each("cases", "report_id, case_no", "x->'violations'", "violation_no")},
 hops AS {_each("violations", "report_id, case_no, violation_no", "coalesce(nullif(x->'path_hops', 'null'), x->'pathHops')", "item_no")},
@@ -188,6 +200,28 @@ snaps AS {_each("violations", "report_id, case_no, violation_no", "coalesce(null
 outs AS {_each("snaps", "report_id, case_no, violation_no, snapshot_no", "x->'outgoing'", "item_no")},
 fps AS {_each("o", "report_id", "x->'ingestion'->'false_positive_edges'", "item_no")}
 """
+_NO = {"case_no": "CAST(case_no AS INT) AS case_no", "violation_no": "CAST(violation_no AS INT) AS violation_no", "snapshot_no": "CAST(snapshot_no AS INT) AS snapshot_no", "item_no": "CAST(item_no AS INT) AS item_no"}
+
+
+def _columns(links: str, **paths: str) -> str:
+    return ", ".join([*[_NO[k] for k in links.split()], *[f"x->>'$.{path}' AS {name}" for name, path in paths.items()]])
+
+
+_PLACE = {"adr_id": "constraint.adr_id", "subject": "constraint.subject", "predicate": "constraint.predicate", "object": "constraint.object", "file_path": "location.file_path", "line_start": "location.span.line_start", "line_end": "location.span.line_end"}
+_SPLIT = {"presence_exact": "presence.exact", "presence_miss": "presence.miss", "scope_exact": "scope.exact", "scope_miss": "scope.miss", "scope_unknown": "scope.by_label.unknown"}
+#: Per flat table of problem 6 the relation of _SHRED and the columns.
+_FLAT = {
+    "meta": ("m", _columns("", arm="arm", generated_at="generated_at", git_commit="git_commit", search_version="versions.search", resolver_model="versions.resolver.model")),
+    "ingestion": ("o", _columns("", **{c: f"ingestion.{c}" for c in ("exact", "partial", "miss", "total", "false_positives")}, **{c: f"ingestion.class_split.{p}" for c, p in _SPLIT.items()})),
+    "report": ("o", _columns("", repo_id="repo_id", arm="arm", run_index="run_index", pin_commit="pin_commit", detected_exact="detection.exact", detected_total="detection.total", parse_seconds="cost.parse_seconds")),
+    "case_cost": ("seconds", "CAST(item_no AS INT) AS item_no, x->>'$' AS seconds"),
+    "fp_edge": ("fps", _columns("item_no", adr_id="adr_id", subject="subject", predicate="predicate", object="object")),
+    "case": ("cases", _columns("case_no", case_id="case_id", exact="exact", miss="miss", overlap="diagnostics.overlap")),
+    "violation": ("violations", _columns("case_no violation_no", **{c: c for c in ("changed_fqn", "matched_fqn", "change_type", "match_status", "evidence", "fan_in", "code_fingerprint")}, **_PLACE)),
+    "hop": ("hops", _columns("case_no violation_no item_no", kind="kind", target="target", file_path="file_path")),
+    "snapshot": ("snaps", _columns("case_no violation_no snapshot_no", fqn="fqn", scope="scope")),
+    "outgoing": ("outs", _columns("case_no violation_no snapshot_no item_no", kind="kind", target="target")),
+}
 _DRIFT = r"""
 WITH RECURSIVE rec AS (SELECT DISTINCT family, stream_id, file_no, record_key, payload FROM wire_records),
 lf AS (SELECT family, stream_id, file_no, record_key, payload, substr(t.fullkey, 3) AS path, CASE t.type WHEN 'VARCHAR' THEN 1 WHEN 'BOOLEAN' THEN 4 WHEN 'ARRAY' THEN 8 ELSE 2 END AS bit, replace(CAST(t.value AS VARCHAR), ' ', '') AS v, t.value AS raw
@@ -246,9 +280,7 @@ FROM rec LEFT JOIN ce ON ce.stream_id = rec.stream_id AND ce.file_no = rec.file_
     + """SELECT report_id, CAST(case_no AS INT) AS case_no, CAST(violation_no AS INT) AS violation_no, 'hop' AS item, -1 AS snapshot_no, CAST(item_no AS INT) AS item_no, coalesce(x->>'target', '') AS target FROM hops
 UNION ALL SELECT report_id, CAST(case_no AS INT), CAST(violation_no AS INT), 'outgoing', CAST(snapshot_no AS INT), CAST(item_no AS INT), coalesce(x->>'target', '') FROM outs
 UNION ALL SELECT report_id, -1, -1, 'fp_edge', -1, CAST(item_no AS INT), coalesce(x->>'object', '') FROM fps""",
-    "p6_case": _SHRED + "SELECT report_id, CAST(case_no AS INT) AS case_no, x->>'case_id' AS case_id, x->>'exact' AS exact, x->>'miss' AS miss FROM cases",
-    "p6_violation": _SHRED + "SELECT report_id, CAST(case_no AS INT) AS case_no, CAST(violation_no AS INT) AS violation_no, x->>'changed_fqn' AS changed_fqn, x->>'matched_fqn' AS matched_fqn, x->>'change_type' AS change_type, x->'constraint'->>'adr_id' AS adr_id, x->>'code_fingerprint' AS code_fingerprint FROM violations",
-    "p6_snapshot": _SHRED + "SELECT report_id, CAST(case_no AS INT) AS case_no, CAST(violation_no AS INT) AS violation_no, CAST(snapshot_no AS INT) AS snapshot_no, x->>'fqn' AS fqn, x->>'scope' AS scope FROM snaps",
+    **{f"p6_{t}": _SHRED + f"SELECT report_id, {c} FROM {f}" for t, (f, c) in _FLAT.items()},
     "p7_found": _SNAPS + "SELECT * FROM found",
     "p7_totals": _SNAPS + "SELECT line_id, to_sha, change_kind, count(*) AS n FROM found GROUP BY ALL",
 }

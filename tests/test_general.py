@@ -275,6 +275,19 @@ def test_shredding(spark):
     hops = {(r.report_id, r.case_no, r.violation_no, r.item_no): (r.kind, r.target) for r in shredding.flat_table(df, "hop").collect()}
     assert hops[(1, 1, 0, 1)] == ("CALLS", None) and len(hops) == 4
     assert shredding.flat_table(df, "case").count() == 3
+    assert {r.report_id for r in shredding.flat_table(df, "meta").collect()} == {1, 4, 5, 6}
+
+
+def test_no_leaf_is_lost(spark, scratch):
+    one = {"_meta": {"arm": "on", "odd": {"deep": True}}, "report": {"cost": {"per_case_detect_seconds": [1.5, 2], "other": [{"a": 1}, {"b": [["x"], []]}]}, "detection": {"cases": [{"caseId": "c", "note": "n"}]}}}
+    df = spark.createDataFrame([(1, json.dumps(one)), (2, '{"run_index": 3, "runIndex": 4, "cases": "[{\\"exact\\": 1}]"}')], "report_id bigint, payload string")
+    tables = shredding.flat_tables(df, scratch)
+    assert set(tables) == {*shredding.TABLES, "other"}
+    assert rows(tables["case_cost"]) == [(1, 0, "1.5"), (1, 1, "2")]
+    assert {(r.report_id, r.case_no, r.case_id, r.exact) for r in tables["case"].collect()} == {(1, 0, "c", None), (2, 0, None, "1")}
+    assert {r.report_id: (r.run_index, r.parse_seconds) for r in tables["report"].collect()} == {1: (None, None), 2: ("3", None)}
+    assert rows(tables["other"].select("levels", "leaf", "value")) == sorted([("", "meta.odd.deep", "true"), ("cases", "note", "n"), ("cost.other", "a", "1"), ("cost.other/b/item", "", "x")], key=repr)
+    assert shredding.leaf_counts(df).agg(F.sum("n_values")).first()[0] == 10
 
 
 def test_shredding_round_trip(spark):
