@@ -1,4 +1,7 @@
-"""Rule matching and typed reachability (the graph joins)."""
+"""Rule matching and typed reachability (the graph joins).
+
+The searches run when they are called, in rounds that are written.
+"""
 
 from __future__ import annotations
 
@@ -38,42 +41,62 @@ def families(edges: DataFrame) -> DataFrame:
     return edges.withColumn("family", F.explode(follows))
 
 
-def reverse_candidates(targets: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(repo_id, family, object, fqn): nodes from which something at or under the object can be reached.
+def steps(edges: DataFrame, dev: DataFrame) -> DataFrame:
+    """(repo_id, family, node, target, kind, ord): the edges that a search follows; development tools are not entered."""
+    open_ = families(edges).join(dev.select("repo_id", F.col("fqn").alias("target")), ["repo_id", "target"], "left_anti")
+    return open_.select("repo_id", "family", F.col("source").alias("node"), "target", "kind", "ord")
 
-    ``targets`` holds (repo_id, family, object). Dependency edges are followed
-    backwards to a fixpoint, then CONTAINS edges; a forward search from any other
-    node finds nothing, so this is a filter that changes no result.
-    """
-    typed = families(edges)
-    ends = edges.select("repo_id", F.col("source").alias("fqn")).unionByName(edges.select("repo_id", F.col("target").alias("fqn"))).distinct()
-    under = ends.select("repo_id", "fqn", F.explode(names.ancestors("fqn")).alias("object"))
-    seeds = targets.join(under, ["repo_id", "object"]).select("repo_id", "family", "object", "fqn").distinct()
-    back = scratch.cut(typed.where(F.col("kind") != "CONTAINS").select("repo_id", "family", F.col("target").alias("fqn"), F.col("source").alias("up")).distinct())
-    closed = _closure(seeds, back, ["repo_id", "family", "object"], scratch)
-    contains = scratch.cut(typed.where(F.col("kind") == "CONTAINS").select("repo_id", "family", F.col("target").alias("fqn"), F.col("source").alias("up")).distinct())
-    return _closure(closed, contains, ["repo_id", "family", "object"], scratch)
+
+def at_or_under(objects: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, repo_id, family, node): ends of edges that are an object of the group or lie under it; ``objects`` holds (g, repo_id, family, object_fqn)."""
+    ends = edges.select("repo_id", F.explode(F.array("source", "target")).alias("node")).distinct()
+    under = ends.select("repo_id", "node", F.explode(names.ancestors("node")).alias("object_fqn"))
+    return objects.join(under, ["repo_id", "object_fqn"]).select("g", "repo_id", "family", "node").distinct()
 
 
-def _closure(seeds: DataFrame, steps: DataFrame, group: list[str], scratch: Scratch) -> DataFrame:
-    """Seeds and all that the steps (fqn -> up) reach from them, per group.
+def reverse_sets(seeds: DataFrame, typed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, repo_id, family, node, dep): per group all nodes from which a search can come to a seed.
 
-    Each written round follows the steps UNROLL times, which saves jobs on deep graphs.
+    A search descends from its start by CONTAINS and then follows dependency edges
+    alone, so backwards a node is reached by dependency edges (``dep``), and from
+    there on by CONTAINS (not ``dep``). One search for all groups and all starts.
     """
-    on = [c for c in ("repo_id", "family") if c in group]
-    frontier = scratch.cut(seeds.select(*group, "fqn"))
+    back = scratch.cut(typed.select("repo_id", "family", F.col("target").alias("node"), F.col("node").alias("up"), (F.col("kind") != "CONTAINS").alias("dep_edge")).distinct())
+    key = ["g", "repo_id", "family", "node", "dep"]
+    frontier, left = scratch.cut_counting(seeds.withColumn("dep", F.lit(True)), F.lit(True))
     parts = [frontier]
-    for _ in range(MAX_ROUNDS):
+    rounds = 0
+    while left:
         now, reached = frontier, None
         for _ in range(UNROLL):
-            now = now.join(steps, [*on, "fqn"]).select(*group, F.col("up").alias("fqn")).distinct()
+            step = now.join(back, ["repo_id", "family", "node"]).where(F.col("dep") | ~F.col("dep_edge"))
+            now = step.select("g", "repo_id", "family", F.col("up").alias("node"), F.col("dep_edge").alias("dep")).distinct()
             reached = now if reached is None else reached.unionByName(now)
         known = _union(parts)
-        frontier = scratch.cut(reached.distinct().join(known, [*group, "fqn"], "left_anti"))
-        if frontier.isEmpty():
-            return known
+        frontier, left = scratch.cut_counting(reached.distinct().join(known, key, "left_anti"), F.lit(True))
         parts = _merged([*parts, frontier], scratch)
-    raise RuntimeError(f"closure not complete after {MAX_ROUNDS} rounds")
+        rounds += 1
+        if rounds > MAX_ROUNDS:
+            raise RuntimeError(f"reverse search not complete after {MAX_ROUNDS} rounds")
+    return _union(parts)
+
+
+def inner_steps(sets: DataFrame, typed: DataFrame) -> DataFrame:
+    """(g, node, target, kind, ord): per group the edges on the way to its seeds."""
+    ends = sets.groupBy("g", "repo_id", "family", F.col("node").alias("target")).agg(F.max("dep").alias("dep"))
+    return typed.join(ends, ["repo_id", "family", "target"]).where(F.col("dep") | (F.col("kind") == "CONTAINS")).select("g", "node", "target", "kind", "ord")
+
+
+def arriving(starts: DataFrame, sets: DataFrame, inner: DataFrame, modules: DataFrame) -> DataFrame:
+    """The (g, start) of ``starts`` (g, repo_id, start) whose search comes to a seed by an edge at least, no path needed.
+
+    A start inside a module also sees the module's own edges, except those into the module itself.
+    """
+    own = sets.where(~F.col("dep")).select("g", "node").unionByName(inner.where("kind <> 'CONTAINS'").select("g", "node")).distinct()
+    direct = starts.join(own.withColumnRenamed("node", "start"), ["g", "start"], "left_semi").select("g", "start")
+    inside = starts.join(modules.select("repo_id", F.col("fqn").alias("start"), F.col("module").alias("node")), ["repo_id", "start"])
+    via = inside.join(inner.where("kind <> 'CONTAINS'").select("g", "node", "target"), ["g", "node"]).where(~names.at_or_under("target", "node")).select("g", "start")
+    return direct.unionByName(via).distinct()
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -84,58 +107,58 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _merged(parts: list[DataFrame], scratch: Scratch) -> list[DataFrame]:
-    """Many written parts become one, so that plans stay short."""
-    return [scratch.cut(_union(parts))] if len(parts) > 12 else parts
+    """Many written parts become one, so that plans stay short; the parts are deleted."""
+    if len(parts) <= 12:
+        return parts
+    whole = scratch.cut(_union(parts))
+    scratch.drop(*parts[:-1])
+    return [whole]
 
 
-def forward_paths(starts: DataFrame, edges: DataFrame, dev: DataFrame, modules: DataFrame, scratch: Scratch) -> DataFrame:
-    """(repo_id, family, start, target, path): the first path, in breadth-first order, from each start to each target.
+def first_paths(starts: DataFrame, edges: DataFrame, group: list[str], modules: DataFrame, scratch: Scratch) -> DataFrame:
+    """(group ..., start, target, len, path): the first path, in breadth-first order, from each start to each target.
 
+    ``starts`` holds (group ..., repo_id, start) and ``edges`` (group ..., node, target, kind, ord).
     A node opens its CONTAINS edges only while the path has descended from the start
-    by CONTAINS alone. Targets that are development tools are not entered. A start
-    inside a module also sees the module's other edges, ahead of its own, except into
-    the module itself. ``path`` is the array of edge ords (the least in order among
-    shortest ones); its first element is lowered by SEED for an edge of the module.
-    All starts advance together; a round keeps what is new or better than before,
-    so the least label of every state stands at the end.
+    by CONTAINS alone. A start inside a module also sees the module's other edges,
+    ahead of its own, except into the module itself. ``path`` is the array of edge ords
+    (the least in order among shortest ones); its first element is lowered by SEED for
+    an edge of the module. All starts advance together, level by level, so the first
+    label that a state gets is its least one; a round follows UNROLL levels.
     """
-    typed = families(edges).join(dev.select("repo_id", F.col("fqn").alias("target")), ["repo_id", "target"], "left_anti").select("repo_id", "family", F.col("source").alias("node"), "target", "kind", "ord")
-    typed = scratch.cut(typed)
-    key = ["repo_id", "family", "start", "node", "descending"]
-    begin = starts.select("repo_id", "family", "start").distinct()
-    own = begin.withColumn("node", F.col("start")).withColumn("descending", F.lit(True)).withColumn("path", F.array().cast("array<bigint>"))
+    edges = scratch.cut(edges.select(*group, "node", "target", "kind", "ord"))
+    begin = starts.select(*dict.fromkeys([*group, "repo_id", "start"])).distinct()
+    key = [*group, "start", "node", "descending"]
+    own = begin.select(*group, "start", F.col("start").alias("node"), F.lit(True).alias("descending"), F.array().cast("array<bigint>").alias("path"))
     seeded = (
         begin.join(modules.select("repo_id", F.col("fqn").alias("start"), F.col("module").alias("node")), ["repo_id", "start"])
-        .join(typed.where(F.col("kind") != "CONTAINS"), ["repo_id", "family", "node"])
+        .join(edges.where(F.col("kind") != "CONTAINS"), [*group, "node"])
         .where(~names.at_or_under("target", "node"))
-        .select("repo_id", "family", "start", F.col("target").alias("node"), F.lit(False).alias("descending"), F.array(F.col("ord") - SEED).alias("path"))
+        .select(*group, "start", F.col("target").alias("node"), F.lit(False).alias("descending"), F.array(F.col("ord") - SEED).alias("path"))
     )
     label = F.struct(F.size("path").alias("len"), "path")
-    frontier = scratch.cut(own)
-    first = own.where("false").unionByName(seeded)
+    frontier, left = scratch.cut_counting(own, F.lit(True))
+    first: DataFrame | None = seeded
     parts = [frontier]
-    for _ in range(MAX_ROUNDS):
+    rounds = 0
+    while left:
         now, reached = frontier, None
         for _ in range(UNROLL):
-            step = now.join(typed, ["repo_id", "family", "node"]).where((F.col("kind") != "CONTAINS") | F.col("descending"))
-            onward = step.select("repo_id", "family", "start", F.col("target").alias("node"), (F.col("descending") & (F.col("kind") == "CONTAINS")).alias("descending"), F.concat("path", F.array("ord")).alias("path"))
+            step = now.join(edges, [*group, "node"]).where((F.col("kind") != "CONTAINS") | F.col("descending"))
+            onward = step.select(*group, "start", F.col("target").alias("node"), (F.col("descending") & (F.col("kind") == "CONTAINS")).alias("descending"), F.concat("path", F.array("ord")).alias("path"))
             if first is not None:
                 onward, first = onward.unionByName(first), None
-            now = onward.groupBy(*key).agg(F.min(label)["path"].alias("path"))
+            now = onward.groupBy(*key).agg(F.min("path").alias("path"))
             reached = now if reached is None else reached.unionByName(now)
-        known = _union(parts)
-        best = reached.groupBy(*key).agg(F.min(label).alias("_b"))
-        held = known.groupBy(*key).agg(F.min(label).alias("_k"))
-        fresh = best.join(held, key, "left").where(F.col("_k").isNull() | (F.col("_b") < F.col("_k"))).select(*key, F.col("_b.path").alias("path"))
-        frontier = scratch.cut(fresh)
-        if frontier.isEmpty():
-            break
+        fresh = reached.groupBy(*key).agg(F.min(label)["path"].alias("path")).join(_union(parts), key, "left_anti")
+        frontier, left = scratch.cut_counting(fresh, F.lit(True))
         parts = _merged([*parts, frontier], scratch)
-    else:
-        raise RuntimeError(f"search not complete after {MAX_ROUNDS} rounds")
-    found = known.where(F.size("path") > 0)
-    best = found.groupBy("repo_id", "family", "start", F.col("node").alias("target")).agg(F.min(label).alias("_p"))
-    return best.select("repo_id", "family", "start", "target", "_p.len", "_p.path")
+        rounds += 1
+        if rounds > MAX_ROUNDS:
+            raise RuntimeError(f"search not complete after {MAX_ROUNDS} rounds")
+    found = _union(parts).where(F.size("path") > 0)
+    best = found.groupBy(*group, "start", F.col("node").alias("target")).agg(F.min(label).alias("_p"))
+    return best.select(*group, "start", "target", "_p.len", "_p.path")
 
 
 #: Lowers the ord of a module's edge, so that it sorts before the start's own edges.

@@ -44,23 +44,34 @@ class Graph:
         self.modules = model.enclosing_modules(self.nodes)
 
 
-def _objects(matches: DataFrame, rules: DataFrame, dev: DataFrame) -> DataFrame:
-    """Object matches of dependency and implementation rules that are no development tools."""
-    objs = matches.where(F.col("side") == "object").select("constraint_id", "repo_id", F.col("fqn").alias("object_fqn"), F.col("status").alias("object_status"))
-    return objs.join(dev.select("repo_id", F.col("fqn").alias("object_fqn")), ["repo_id", "object_fqn"], "left_anti").join(rules.select(*RULE), ["constraint_id", "repo_id"])
-
-
-def prohibited(g: Graph, matches: DataFrame, paths: DataFrame) -> DataFrame:
-    """Violations of prohibits rules: the first unexcused path per subject and object."""
-    objs = _objects(matches, g.rules, g.dev).where(F.col("predicate").startswith("prohibits_"))
-    subs = matches.where(F.col("side") == "subject").select("constraint_id", "repo_id", F.col("fqn").alias("start"), F.col("status").alias("subject_status"))
-    pairs = subs.join(objs, ["constraint_id", "repo_id"]).withColumn("family", reach.family_of("predicate"))
-    reached = paths.select("repo_id", "family", "start", "target", "len", "path", F.explode(names.ancestors("target")).alias("object_fqn"))
-    hits = pairs.join(reached, ["repo_id", "family", "start", "object_fqn"])
+def groups(g: Graph, matches: DataFrame) -> DataFrame:
+    """(constraint_id, g, repo_id, family): matched dependency and implementation rules; rules of a repository and family with one object pattern share a group, named by its least rule."""
+    dependency = g.rules.join(matches.select("constraint_id").distinct(), "constraint_id", "left_semi").withColumn("family", reach.family_of("predicate")).where("family <> ''")
+    least = dependency.groupBy("repo_id", "family", "object").agg(F.min("constraint_id").alias("g"))
+    return dependency.join(least, ["repo_id", "family", "object"]).select("constraint_id", "g", "repo_id", "family")
+
+
+def group_objects(g: Graph, matches: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(g, repo_id, family, object_fqn, object_status, is_dev): the nodes that the object pattern of a group matches."""
+    objs = matches.where(F.col("side") == "object").select(F.col("constraint_id").alias("g"), "repo_id", F.col("fqn").alias("object_fqn"), F.col("status").alias("object_status"))
+    tools = g.dev.select("repo_id", F.col("fqn").alias("object_fqn"), F.lit(True).alias("is_dev"))
+    return objs.join(grouped.select("g", "family").distinct(), "g").join(tools, ["repo_id", "object_fqn"], "left").fillna(False, ["is_dev"])
+
+
+def prohibited(g: Graph, matches: DataFrame, subjects: DataFrame, objs: DataFrame, paths: DataFrame, scratch: Scratch) -> DataFrame:
+    """Violations of prohibits rules: the first unexcused path per subject and object.
+
+    ``subjects`` holds (constraint_id, g, repo_id, family, start, subject_status) and
+    ``paths`` (g, start, target, len, path). Paths meet the objects above their target
+    first and then the rules of their start, so no subject meets an object it has no path to.
+    """
+    reached = paths.select("g", "start", "target", "len", "path", F.explode(names.ancestors("target")).alias("object_fqn"))
+    met = reached.join(objs.where(~F.col("is_dev")).select("g", "object_fqn", "object_status"), ["g", "object_fqn"]).join(subjects, ["g", "start"])
+    hits = scratch.cut(met.join(g.rules.select(*[c for c in RULE if c != "repo_id"]), "constraint_id"))
     hits = hits.join(_excused(hits, g, matches), ["constraint_id", "start", "object_fqn", "target"], "left_anti")
-    first = W.partitionBy("constraint_id", "start", "object_fqn").orderBy("len", "path")
-    chosen = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    walked = _with_hops(chosen, g.edges).join(g.modules.select("repo_id", F.col("fqn").alias("start"), "module"), ["repo_id", "start"], "left")
+    rest = ["target", "len", "path", "g", "repo_id", "family", "subject_status", "object_status", *[c for c in RULE if c not in ("constraint_id", "repo_id")]]
+    chosen = hits.groupBy("constraint_id", "start", "object_fqn").agg(F.min_by(F.struct(*rest), F.struct("len", "path", "target")).alias("_h")).select("constraint_id", "start", "object_fqn", "_h.*")
+    walked = _with_hops(scratch.cut(chosen), g.edges).join(g.modules.select("repo_id", F.col("fqn").alias("start"), "module"), ["repo_id", "start"], "left")
     report = F.coalesce("module", "start")
     decisive = F.filter("hops", lambda h: h["kind"] != "CONTAINS")
     owner = F.when(F.get("hops", F.lit(0))["kind"] == "CONTAINS", F.coalesce(F.get(decisive, F.lit(0))["source"], report)).otherwise(report)
@@ -113,16 +124,15 @@ def _requires_subjects(g: Graph, matches: DataFrame) -> DataFrame:
     return wild.unionByName(exact)
 
 
-def required(g: Graph, matches: DataFrame, paths: DataFrame) -> DataFrame:
-    """Violations of requires rules: changed names from which no object of the rule can be reached."""
-    asked = _requires_subjects(g, matches).withColumn("family", reach.family_of("predicate"))
-    all_objs = matches.where(F.col("side") == "object").select("constraint_id", "repo_id", F.col("fqn").alias("object_fqn"), "status")
-    some = all_objs.join(g.dev.select("repo_id", F.col("fqn").alias("object_fqn")), ["repo_id", "object_fqn"], "left_anti").select("constraint_id").distinct()
-    asked = asked.join(some, "constraint_id", "left_semi")
-    reached = paths.select("repo_id", "family", "start", F.explode(names.ancestors("target")).alias("object_fqn")).distinct()
-    met = asked.select("constraint_id", "repo_id", "family", "start").distinct().join(all_objs, ["constraint_id", "repo_id"]).join(reached, ["repo_id", "family", "start", "object_fqn"], "left_semi").select("constraint_id", "start").distinct()
-    best = all_objs.groupBy("constraint_id").agg(F.max((F.col("status") == "EXACT").cast("int")).alias("_exact"))
-    open_ = asked.join(met, ["constraint_id", "start"], "left_anti").join(best, "constraint_id")
+def required(asked: DataFrame, objs: DataFrame, arrived: DataFrame) -> DataFrame:
+    """Violations of requires rules: changed names from which no object of the rule can be reached.
+
+    ``asked`` holds the scopes (`_requires_subjects`) with their group, ``arrived`` the
+    (g, start) that reach one of the group's objects; no path is needed. Rules whose
+    objects are development tools alone are not judged.
+    """
+    best = objs.groupBy("g").agg(F.max((F.col("object_status") == "EXACT").cast("int")).alias("_exact"), F.min(F.col("is_dev").cast("int")).alias("_tools")).where("_tools = 0")
+    open_ = asked.join(arrived, ["g", "start"], "left_anti").join(best, "g")
     status = F.when((F.col("_exact") == 1) | (F.col("subject_status") == "EXACT"), "EXACT").otherwise("WILDCARD")
     return open_.select(
         *RULE,
@@ -233,28 +243,32 @@ def orphan_rules(rules_: DataFrame, matches: DataFrame) -> DataFrame:
     return rules_.where(F.col("scope") != "tooling").join(matches.select("constraint_id").distinct(), "constraint_id", "left_anti")
 
 
-def search_paths(g: Graph, matches: DataFrame, scratch: Scratch) -> DataFrame:
-    """Paths from every scope that a rule is checked from; prohibits subjects that can't reach an object are left out first."""
-    objs = _objects(matches, g.rules, g.dev).withColumn("family", reach.family_of("predicate"))
-    barred = objs.where(F.col("predicate").startswith("prohibits_"))
-    targets = barred.select("repo_id", "family", F.col("object_fqn").alias("object")).distinct()
-    candidates = scratch.cut(reach.reverse_candidates(targets, g.edges, scratch).select("repo_id", "family", "object", "fqn"))
-    subs = matches.where(F.col("side") == "subject").select("constraint_id", "repo_id", F.col("fqn").alias("start"))
-    pairs = subs.join(barred.select("constraint_id", "repo_id", "family", F.col("object_fqn").alias("object")), ["constraint_id", "repo_id"]).select("repo_id", "family", "object", "start").distinct()
-    scoped = pairs.join(g.modules.select("repo_id", F.col("fqn").alias("start"), "module"), ["repo_id", "start"], "left")
-    either = scoped.select("repo_id", "family", "object", "start", F.explode(F.array_compact(F.array("start", "module"))).alias("fqn"))
-    barred_starts = either.join(candidates, ["repo_id", "family", "object", "fqn"], "left_semi").select("repo_id", "family", "start")
-    needed = _requires_subjects(g, matches).select("repo_id", reach.family_of("predicate").alias("family"), "start")
-    return reach.forward_paths(barred_starts.unionByName(needed).distinct(), g.edges, g.dev, g.modules, scratch)
-
-
 def check(g: Graph, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings before resolution, findings after it, rule matches)."""
+    """(findings before resolution, findings after it, rule matches).
+
+    One reverse search from the objects of all rules tells what reaches them, which
+    settles the requires rules; the forward search for the paths of prohibits rules
+    then stays on the edges of the reverse search.
+    """
     live = model.enforced(g.rules)
     g = Graph(g.nodes, g.edges, live, g.changed)
+    g.dev, g.modules = scratch.cut(g.dev), scratch.cut(g.modules)
     matches = scratch.cut(reach.rule_matches(live, g.nodes))
-    paths = scratch.cut(search_paths(g, matches, scratch))
-    raw = scratch.cut(prohibited(g, matches, paths).unionByName(required(g, matches, paths)).unionByName(unscoped(g, matches)))
+    grouped = scratch.cut(groups(g, matches))
+    objs = scratch.cut(group_objects(g, matches, grouped))
+    typed = scratch.cut(reach.steps(g.edges, g.dev))
+    sets = reach.reverse_sets(reach.at_or_under(objs, g.edges), typed, scratch)
+    inner = scratch.cut(reach.inner_steps(sets, typed))
+    of_group = grouped.select("constraint_id", "g", "family")
+    asked = scratch.cut(_requires_subjects(g, matches).join(of_group, "constraint_id"))
+    barred = live.where(F.col("predicate").startswith("prohibits_")).select("constraint_id")
+    subjects = matches.where(F.col("side") == "subject").select("constraint_id", "repo_id", F.col("fqn").alias("start"), F.col("status").alias("subject_status")).join(barred, "constraint_id", "left_semi").join(of_group, "constraint_id")
+    subjects = scratch.cut(subjects)
+    starts = asked.select("g", "repo_id", "start").unionByName(subjects.select("g", "repo_id", "start")).distinct()
+    arrived = scratch.cut(reach.arriving(starts, sets, inner, g.modules))
+    begin = subjects.select("g", "repo_id", "start").distinct().join(arrived, ["g", "start"], "left_semi")
+    paths = reach.first_paths(begin, inner, ["g"], g.modules, scratch)
+    raw = scratch.cut(prohibited(g, matches, subjects, objs, paths, scratch).unionByName(required(asked, objs, arrived)).unionByName(unscoped(g, matches)))
     active = live.join(matches.select("constraint_id").distinct(), "constraint_id", "left_semi")
     kept = outweighed(without_covered_children(deduplicated(raw)), active)
     return raw, kept, matches

@@ -80,7 +80,7 @@ def g_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = model.enforced(g.rules)
     matches = reach.rule_matches(live, g.nodes)
     starts = matches.where("side = 'subject'").join(live.where(F.col("predicate").startswith("prohibits_")).select("constraint_id", reach.family_of("predicate").alias("family")), "constraint_id").select("repo_id", "family", F.col("fqn").alias("start"))
-    return reach.forward_paths(starts, g.edges, g.dev, g.modules, scratch).select("repo_id", "family", "start", "target", "len")
+    return reach.first_paths(starts, reach.steps(g.edges, g.dev), ["repo_id", "family"], g.modules, scratch).select("repo_id", "family", "start", "target", "len")
 
 
 def check_raw(spark: SparkSession, sf_dir: str, days: int | None = 60) -> DataFrame:

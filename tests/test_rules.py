@@ -147,7 +147,7 @@ def test_search_against_plain_search(spark, scratch, seed):
     g = build(spark, [node(n, kinds[n], role="dev_tool" if n == "z" else "internal") for n in names_], edges, [])
     starts = spark.createDataFrame([("r", f, n) for n in names_ for f in ("dependency", "implementation")], "repo_id string, family string, start string")
     got = {}
-    for r in reach.forward_paths(starts, g.edges, g.dev, g.modules, scratch).collect():
+    for r in reach.first_paths(starts, reach.steps(g.edges, g.dev), ["repo_id", "family"], g.modules, scratch).collect():
         got.setdefault((r.family, r.start), {})[r.target] = r.len
     mods = {r.fqn: r.module for r in g.modules.collect()}
     for f, ks in model.FAMILIES.items():
@@ -155,6 +155,14 @@ def test_search_against_plain_search(spark, scratch, seed):
             assert got.get((f, n), {}) == brute_paths(edges, n, set(ks), {"z"}, mods.get(n)), (f, n)
 
 
+def test_a_rule_between_two_packages_makes_no_pairs(spark, scratch):
+    """Every name of a against every name of b would be 16 million pairs; only the edges count."""
+    nodes = [node(x, "module") for p in "ab" for x in (p, *(f"{p}.m{i}" for i in range(4000)))]
+    edges = [("a.m1", "b.m7", "IMPORTS"), ("a.m1", "a.m2", "IMPORTS"), ("a.m2", "b.m8", "CALLS"), ("b.m8", "a.m3", "IMPORTS")]
+    raw, _ = findings(spark, scratch, nodes, edges, [("1", "a.*", "prohibits_dependency", "b.*", None)])
+    assert {(r.changed_fqn, r.evidence.split(" via ")[0].split()[-1]) for r in raw.collect()} == {("a.m1", "b.m7"), ("a.m1", "b.m8"), ("a.m2", "b.m8")}
+
+
 def test_partitions_change_nothing(spark, scratch):
     nodes = [node(f"m{i}") for i in range(8)]
     edges = [(f"m{i}", f"m{(i * 3 + d) % 8}", k) for i in range(8) for d, k in ((1, "IMPORTS"), (2, "CALLS"))]
