@@ -95,8 +95,9 @@ class Scratch:
 
 
 def table_bytes(table: DataFrame) -> int:
-    """Bytes of a table's files as Spark's own statistics have them (no job; an estimate where it isn't a plain scan)."""
-    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """Bytes of a table's files as Spark's own statistics have them (no job; an estimate where it isn't a plain scan, 0 where Spark knows none)."""
+    known = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return known if known < 1 << 60 else 0
 
 
 def spread(df: DataFrame, source: DataFrame | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
