@@ -174,18 +174,32 @@ def test_mixture_hot_source_buckets(spark, scratch):
     assert shares["hot"] == pytest.approx(0.5, abs=0.005)
 
 
-def test_mixture_fills_the_budget_however_many_passes_it_takes(spark, scratch, monkeypatch):
-    sizes = [n for k in range(9) for n in (1, 100 - k)] + [1] * 120
-    texts = spark.createDataFrame([(i, "s", n, (i + 0.5) / len(sizes)) for i, n in enumerate(sizes)], "doc_id bigint, source string, n_tokens bigint, u double")
-    monkeypatch.setattr(mixture, "measured", lambda *_: texts)
-    targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
-    mixed = mixture.mixture(texts, targets, scratch, total_tokens=100).collect()
-    assert sum(r.n_tokens * r.copies for r in mixed) == 100
-
-
-def test_taken_is_the_random_order_cut_at_the_budget(spark):
-    texts = spark.createDataFrame([(1, "s", 5, 0.9), (2, "s", 3, 0.1), (3, "s", 4, 0.5), (4, "s", 50, 0.2)], "doc_id bigint, source string, n_tokens bigint, u double")
-    assert sorted(r.doc_id for r in mixture._taken(texts, {"s": 8}, spark).collect()) == [2, 3]
+def test_inclusion_matches_the_odds(spark, scratch):
+    """200 independent draws (one a source) of texts of very different sizes: how often each is in, against its odds; tokens meet the budget."""
+    rnd = random.Random(5)
+    sizes = [rnd.choice([5, 20, 80, 300, 1200]) for _ in range(80)]
+    draws, rest = 200, sum(sizes) * 2 // 5
+    texts = scratch.cut(spark.createDataFrame([(d * 1000 + i, f"s{d}", n, rnd.random()) for d in range(draws) for i, n in enumerate(sizes)], "doc_id bigint, source string, n_tokens bigint, u double"))
+    rests = {f"s{d}": rest for d in range(draws)}
+    for power in (0.5, 0.0, 1.0):
+        got = mixture.pareto_sample(texts, rests, mixture.inclusion_scales(texts, rests, scratch, power), power).collect()
+        odds = {r.n_tokens: r.inclusion for r in got}
+        assert sum(odds.get(n, 0) * n for n in sizes) == pytest.approx(rest, rel=0.001), "expected tokens"
+        tokens = dict.fromkeys(rests, 0)
+        seen: dict[int, int] = {}
+        for r in got:
+            tokens[r.source] += r.n_tokens
+            seen[r.n_tokens] = seen.get(r.n_tokens, 0) + 1
+        assert all(abs(t - rest) <= 600 for t in tokens.values()), "missed by at most half of the largest text"
+        assert sum(tokens.values()) / draws == pytest.approx(rest, rel=0.01)
+        for n, pi in odds.items():
+            assert seen[n] / (draws * sizes.count(n)) == pytest.approx(pi, abs=0.04), (power, n)
+
+
+def test_certain_texts_are_taken(spark, scratch):
+    texts = scratch.cut(spark.createDataFrame([(1, "s", 1000, 0.999999), (2, "s", 10, 0.5), (3, "s", 10, 0.1), (4, "s", 10, 0.2)], "doc_id bigint, source string, n_tokens bigint, u double"))
+    scales = mixture.inclusion_scales(texts, {"s": 1020}, scratch, 1.0)
+    assert sorted(r.doc_id for r in mixture.pareto_sample(texts, {"s": 1020}, scales, 1.0).collect()) == [1, 3, 4]
 
 
 # -- source files --------------------------------------------------------------
