@@ -9,6 +9,7 @@ grown in both directions to count the common words.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from archspan.runtime import spread
 
 MIN_WORDS = 12
-#: Items whose patterns are broadcast at once; further items go in further blocks.
-ITEMS_PER_BLOCK = 20_000
+#: Bytes of passages in one pattern table; more patterns would leave too few positions to skip.
+TABLE_BYTES = 16 << 20
+#: Pattern tables that are broadcast together and searched in one pass over the texts.
+TABLES_PER_PASS = 4
 #: Characters hashed by the shift table.
 BLOCK = 8
 
@@ -95,40 +98,67 @@ class Patterns:
         return hits
 
 
-def leaked(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+#: Tables of the last pass, kept while a worker process lives: building them takes longer than many a task.
+_BUILT: dict[str, list[Patterns]] = {}
+
+
+def _tables(key: str, blocks: list[list[tuple[int, str]]], min_words: int) -> list[Patterns]:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = [Patterns(items, min_words) for items in blocks]
+    return _BUILT[key]
+
+
+def _blocks(items: DataFrame, table_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, fetched partition by partition, in blocks of bounded size."""
+    block: list[tuple[int, str]] = []
+    held = 0
+    for row in items.select("item_id", "passage").dropna().distinct().toLocalIterator():
+        block.append((row.item_id, row.passage))
+        held += len(row.passage)
+        if held >= table_bytes:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
+def leaked(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, table_bytes: int = TABLE_BYTES, tables_per_pass: int = TABLES_PER_PASS) -> DataFrame:
     """(doc_id, item_id): documents that share ``min_words`` consecutive words with an item's passage.
 
     Words are runs of ASCII letters and digits without case. Null and empty texts
     and passages under ``min_words`` words match nothing. Texts are searched whole.
-    The items are a stated query set; they are broadcast in blocks of bounded size,
-    each of which is searched against all documents.
+    The items are a stated query set; they are broadcast as up to ``tables_per_pass``
+    tables of bounded size, and each such pass searches all documents.
     """
     spark = documents.sparkSession
-    texts = spread(documents.where(F.length("text") > 0).select("doc_id", "text"))
-    found = None
-    block: list[tuple[int, str]] = []
+    texts = spread(documents.where(F.length("text") > 0).select("doc_id", "text"), documents)
 
-    def scan(chosen: list[tuple[int, str]]) -> DataFrame:
-        stated = spark.sparkContext.broadcast(chosen)
+    def scan(blocks: list[list[tuple[int, str]]]) -> DataFrame:
+        stated = spark.sparkContext.broadcast(blocks)
+        key = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search = Patterns(stated.value, min_words).search
+            tables = _tables(key, stated.value, min_words)
             for batch in batches:
                 docs, hits = [], []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    for item in search(normal(text.as_py())):
-                        docs.append(doc_id), hits.append(item)
+                    plain = normal(text.as_py())
+                    for table in tables:
+                        for item in table.search(plain):
+                            docs.append(doc_id), hits.append(item)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "item_id"])
 
         return texts.mapInArrow(run, "doc_id bigint, item_id bigint")
 
-    for row in items.select("item_id", "passage").distinct().toLocalIterator():
-        block.append((row.item_id, row.passage))
-        if len(block) == items_per_block:
-            found = scan(block) if found is None else found.unionByName(scan(block))
-            block = []
-    if block or found is None:
-        found = scan(block) if found is None else found.unionByName(scan(block))
+    found = None
+    waiting: list[list[tuple[int, str]]] = []
+    for block in _blocks(items, table_bytes):
+        waiting.append(block)
+        if len(waiting) == tables_per_pass:
+            found, waiting = scan(waiting) if found is None else found.unionByName(scan(waiting)), []
+    if waiting or found is None:
+        found = scan(waiting) if found is None else found.unionByName(scan(waiting))
     return found.distinct()
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-#: Folder of the vocabulary files and the file used, unless the caller names others.
+#: Vocabulary file used unless the caller names another; it has to stand at this path on every machine.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pattern that splits text before the merges; fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -71,13 +72,19 @@ class Tokenizer:
         return np.fromiter(chain.from_iterable(map(self._lengths.__getitem__, _CHUNKS.findall(text))), dtype=np.int64)
 
 
+@lru_cache(maxsize=2)
+def tokenizer(vocabulary: str = VOCABULARY) -> Tokenizer:
+    """The tokenizer of a vocabulary file, read once per worker process."""
+    return Tokenizer(vocabulary)
+
+
 def counter(vocabulary: str, text: str, keep: list[str]):
     """A mapInArrow function: the columns ``keep`` and ``n_tokens`` (0 for a null text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(vocabulary)
+        count = tokenizer(vocabulary).count
         for batch in batches:
-            counts = [tokenizer.count(t) if t else 0 for t in batch.column(text).to_pylist()]
+            counts = [count(t) if t else 0 for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
 
     return run
