@@ -19,6 +19,8 @@ from archspan.runtime import Scratch, spread
 
 #: Inclusion odds grow with this power of a text's tokens; 0 gives all texts of a source equal odds.
 SIZE_POWER = 0.5
+#: Texts above this share of a source's rest are drawn first; the smaller ones then fill what is left.
+LARGE_SHARE = 0.01
 #: Buckets of the rank order per doubling, for the two-level prefix sum.
 BUCKETS_PER_DOUBLING = 512
 
@@ -110,6 +112,26 @@ def pareto_sample(texts: DataFrame, rests: dict[str, int], scales: dict[str, flo
     return near.withColumn("upto", upto).where((over <= 0) | (over < F.col("n_tokens") - over)).select("doc_id", "source", "n_tokens", "inclusion")
 
 
+def draw(texts: DataFrame, rests: dict[str, int], scratch: Scratch, power: float = SIZE_POWER) -> DataFrame:
+    """(doc_id, source, n_tokens, inclusion): the Pareto sample of each source, large texts first.
+
+    Large texts are sampled to their own expected tokens; the smaller ones get exactly what these
+    left of the rest, with odds scaled to it. So a source with smaller texts misses its rest
+    by at most half a percent of it (LARGE_SHARE / 2), however long its longest texts are.
+    """
+    spark = texts.sparkSession
+    scales = inclusion_scales(texts, rests, scratch, power)
+    table = F.broadcast(spark.createDataFrame([(s, int(r), float(scales[s])) for s, r in rests.items()], "source string, rest bigint, c double"))
+    placed = texts.join(table, "source").withColumn("large", F.col("n_tokens") > F.col("rest") * LARGE_SHARE)
+    part = lambda large: placed.where("large" if large else "NOT large").select(*texts.columns)
+    expected = placed.where("large").groupBy("source").agg(F.sum(F.least(F.lit(1.0), F.col("c") * _weight(power)) * F.col("n_tokens")).alias("tokens"))
+    budget = {r.source: round(r.tokens) for r in expected.collect()}
+    first = scratch.cut(pareto_sample(part(True), budget, scales, power))
+    used = {r.source: r.tokens for r in first.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}
+    left = {s: r - used.get(s, 0) for s, r in rests.items() if r > used.get(s, 0)}
+    return first.unionByName(pareto_sample(part(False), left, inclusion_scales(part(False), left, scratch, power), power))
+
+
 def mixture(documents: DataFrame, targets: DataFrame, scratch: Scratch, total_tokens: int | None = None, vocabulary: str = VOCABULARY, power: float = SIZE_POWER, seed: int = 0) -> DataFrame:
     """(doc_id, source, n_tokens, copies, inclusion): the texts of the mixture and how often each is used.
 
@@ -123,8 +145,7 @@ def mixture(documents: DataFrame, targets: DataFrame, scratch: Scratch, total_to
     shares = spark.createDataFrame([(r.source, int(r.whole)) for r in rows if r.wanted], "source string, whole bigint")
     ranked = texts.join(F.broadcast(shares), "source")
     rests = {r.source: r.rest for r in rows if r.rest > 0}
-    drawn = pareto_sample(texts, rests, inclusion_scales(texts, rests, scratch, power), power)
-    picked = drawn.select("doc_id", F.lit(1).alias("extra"), "inclusion")
+    picked = draw(texts, rests, scratch, power).select("doc_id", F.lit(1).alias("extra"), "inclusion")
     copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int")
     return ranked.join(picked, "doc_id", "left").withColumn("copies", copies).where("copies > 0").select("doc_id", "source", "n_tokens", "copies", "inclusion")
 

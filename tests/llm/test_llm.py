@@ -195,7 +195,8 @@ def test_inclusion_matches_the_odds(spark, scratch):
     texts = scratch.cut(spark.createDataFrame([(d * 1000 + i, f"s{d}", n, rnd.random()) for d in range(draws) for i, n in enumerate(sizes)], "doc_id bigint, source string, n_tokens bigint, u double"))
     rests = {f"s{d}": rest for d in range(draws)}
     for power in (0.5, 0.0, 1.0):
-        got = mixture.pareto_sample(texts, rests, mixture.inclusion_scales(texts, rests, scratch, power), power).collect()
+        scales = mixture.inclusion_scales(texts, rests, scratch, power)
+        got = mixture.pareto_sample(texts, rests, scales, power).collect()
         odds = {r.n_tokens: r.inclusion for r in got}
         assert sum(odds.get(n, 0) * n for n in sizes) == pytest.approx(rest, rel=0.001), "expected tokens"
         tokens = dict.fromkeys(rests, 0)
@@ -209,6 +210,20 @@ def test_inclusion_matches_the_odds(spark, scratch):
             assert seen[n] / (draws * sizes.count(n)) == pytest.approx(pi, abs=0.04), (power, n)
 
 
+def test_long_texts_do_not_spoil_the_share(spark, scratch):
+    """Large texts are drawn first, the smaller ones fill the rest: tokens are met closely, and the odds stay what they are."""
+    rnd = random.Random(9)
+    sizes = [1500] * 6 + [rnd.choice([20, 40, 60]) for _ in range(1000)]
+    draws, rest = 40, 20_000
+    rests = {f"s{d}": rest for d in range(draws)}
+    texts = scratch.cut(spark.createDataFrame([(d * 10_000 + i, f"s{d}", n, rnd.random()) for d in range(draws) for i, n in enumerate(sizes)], "doc_id bigint, source string, n_tokens bigint, u double"))
+    drawn = scratch.cut(mixture.draw(texts, rests, scratch))
+    assert all(abs(r.n - rest) <= 100 for r in drawn.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect())
+    c = mixture.inclusion_scales(texts, rests, scratch)["s0"]
+    for r in drawn.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("k")).collect():
+        assert r.k / (draws * sizes.count(r.n_tokens)) == pytest.approx(min(1, c * r.n_tokens**0.5), abs=0.06)
+
+
 def test_certain_texts_are_taken(spark, scratch):
     texts = scratch.cut(spark.createDataFrame([(1, "s", 1000, 0.999999), (2, "s", 10, 0.5), (3, "s", 10, 0.1), (4, "s", 10, 0.2)], "doc_id bigint, source string, n_tokens bigint, u double"))
     scales = mixture.inclusion_scales(texts, {"s": 1020}, scratch, 1.0)
