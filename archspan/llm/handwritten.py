@@ -1,9 +1,10 @@
 """Generated, minified, vendored and data files among source code (problem 4).
 
 Thresholds on layout statistics, tuned per language: longest and mean line, shares
-of white space, alphanumerics and numeric literals, long encoded runs, and how many
-shapes of lines there are. What layout can't show (a tool's mark in the comments at
-either end of a file, text shared with known third-party files) is added to them.
+of white space, alphanumerics and numeric literals, long encoded runs, and how much
+the shapes of lines repeat. What layout can't show is added as statistics of their own:
+a tool's mark in the comments at either end of a file, a third party's header, and
+the share of text that stands in known third-party files.
 """
 
 from __future__ import annotations
@@ -11,21 +12,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archspan.runtime import spread
+from archspan.runtime import Scratch, spread
 
 #: Per language: mean line and share of white space of minified code, share of numeric literals of data,
-#: share of encoded runs of data, most line shapes per line of generated code.
+#: share of encoded runs of data, most distinct runs of three line shapes of generated code, and share of
+#: lines of the shape of the line before from which code is generated.
 LIMITS: dict[str, dict[str, float]] = {
-    "py": {"mean": 150, "space": 0.12, "numbers": 0.25, "runs": 0.5, "shapes": 0.45},
-    "js": {"mean": 150, "space": 0.09, "numbers": 0.30, "runs": 0.5, "shapes": 0.10},
-    "ts": {"mean": 200, "space": 0.09, "numbers": 0.30, "runs": 0.5, "shapes": 0.10},
-    "css": {"mean": 200, "space": 0.05, "numbers": 0.40, "runs": 0.5, "shapes": 0.02},
+    "py": {"mean": 150, "space": 0.12, "numbers": 0.25, "runs": 0.5, "repeat": 0.60, "adjacent": 0.5},
+    "js": {"mean": 150, "space": 0.09, "numbers": 0.30, "runs": 0.5, "repeat": 0.25, "adjacent": 0.4},
+    "ts": {"mean": 200, "space": 0.09, "numbers": 0.30, "runs": 0.5, "repeat": 0.40, "adjacent": 0.35},
+    "css": {"mean": 200, "space": 0.05, "numbers": 0.40, "runs": 0.5, "repeat": 0.10, "adjacent": 0.6},
 }
-OTHER = {"mean": 200, "space": 0.08, "numbers": 0.30, "runs": 0.5, "shapes": 0.10}
+OTHER = {"mean": 200, "space": 0.08, "numbers": 0.30, "runs": 0.5, "repeat": 0.20, "adjacent": 0.5}
 #: A longer mean line than this is no hand-written code in any language.
 LONG_MEAN = 400
-#: Line shapes are judged from this many lines on.
-SHAPE_LINES = 16
+#: Line shapes are judged from this many lines on, neighbours alone from the lesser number.
+REPEAT_LINES = 16
+ADJACENT_LINES = 8
+#: Share of comment lines, those at either end left out, from which repeated lines are hand-written all the same.
+COMMENTED = 0.05
 #: Share of letters and digits below which long lines are symbols rather than prose.
 WORDY = 0.85
 SHINGLE_LINES = 4
@@ -34,8 +39,9 @@ COPY_SHARE = 0.3
 
 #: The characters of ``\s``; ``trim`` alone takes off only the space.
 _BLANKS = " \t\n\x0b\f\r"
+_ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 _NUMBER = r"(?<![A-Za-z_0-9])-?(?:0[xX][0-9a-fA-F]+|[0-9]+(?:\.[0-9]+)?)(?![A-Za-z_0-9])"
-_RUN = r"[A-Za-z0-9+/=]{40,}|(?:\\x[0-9a-fA-F]{2}){16,}|(?:[0-9a-fA-F]{2}){24,}"
+_RUN = r"[A-Za-z0-9+/=]{40,}|(?:\\x[0-9a-fA-F]{2}){16,}"
 _COMMENT = r"^\s*(?:#|//|/\*|\*|\"\"\"|'''|<!--|;)|^\s*$"
 #: Ways in which tools mark their output, in the comments at the start or end of a file.
 _MADE = "|".join(
@@ -57,6 +63,10 @@ _HAND = r"written by hand|hand-?written|maintained by hand"
 _UPSTREAM = r"upstream copy|vendored (?:copy|from)|copied (?:verbatim )?from (?:upstream|http)|copyright .*\b(?:contributors|authors|developers)\b"
 
 
+def _without(text: Column, characters: str) -> Column:
+    return F.translate(text, characters, "")
+
+
 def _share(text: Column, kept: Column) -> Column:
     return F.try_divide(F.length(text) - F.length(kept), F.length(text))
 
@@ -72,35 +82,54 @@ def _found(lines: Column, pattern: str) -> Column:
 
 
 def layout(files: DataFrame) -> DataFrame:
-    """(file_id, lang, n_lines, max_line, mean_line, space, alnum, numbers, runs, shapes, made, upstream, norm) per file.
+    """(file_id, lang, n_lines, max_line, mean_line, space, alnum, numbers, runs, repeat, adjacent, comments, made, upstream, shingles) per file.
 
-    Line ends of any kind count as one. A null or empty content has no lines and
-    shares of null.
+    A line's shape has every run of letters and digits as one. ``repeat`` is the share of
+    distinct ones among the runs of three shapes, ``adjacent`` the share of lines of the shape before
+    them, ``comments`` the share of comment lines but for those at either end. ``shingles`` hashes runs of lines, without comments and blanks. Line ends
+    of any kind count as one. A null or empty content has no lines and shares of null.
     """
-    text = F.regexp_replace(F.regexp_replace("content", "^\ufeff", ""), r"\r\n?", "\n")
-    base = spread(files.select("file_id", "file_path", "content")).select("file_id", F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)\s*$", 1)).alias("lang"), text.alias("text"))
-    base = base.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S")))
+    text = F.replace(F.replace(F.regexp_replace("content", "^\ufeff", ""), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    base = spread(files.select("file_id", "file_path", "content"), files).select("file_id", F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)\s*$", 1)).alias("lang"), text.alias("text"))
+    shape = F.regexp_replace(F.translate("text", _ALNUM + "_", "a" * 63), "a+", "a")
+    shown = lambda lines: F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(_BLANKS))), lambda x: x != "")
+    base = base.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")).withColumn("shapes", shown(F.split(shape, "\n")))
     lengths = F.transform("lines", lambda x: F.length(x))
-    head, tail = _block(F.col("lines")), _block(F.reverse("lines"))
     total = F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
-    shape = F.transform("lines", lambda x: F.regexp_replace(F.btrim(x, F.lit(_BLANKS)), "[0-9]+", "0"))
+    head, tail = _block(F.col("lines")), _block(F.reverse("lines"))
+    threes = _runs(F.col("shapes"), 3)
+    same = F.size(F.filter("shapes", lambda x, i: (i > 0) & (F.get("shapes", i - 1) == x)))
+    remarks = F.size(F.filter("lines", lambda x: x.rlike(_COMMENT))) - F.size(head) - F.size(tail)
+    norm = F.filter(F.transform("lines", lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: ~x.startswith("#"))
     return base.select(
         "file_id",
         "lang",
         F.size("lines").alias("n_lines"),
         F.array_max(lengths).alias("max_line"),
         F.try_divide(total, F.size("lines")).alias("mean_line"),
-        _share(F.col("text"), F.regexp_replace("text", r"\s+", "")).alias("space"),
-        _share(F.col("text"), F.regexp_replace("text", r"[A-Za-z0-9]+", "")).alias("alnum"),
+        _share(F.col("text"), _without(F.col("text"), _BLANKS)).alias("space"),
+        _share(F.col("text"), _without(F.col("text"), _ALNUM)).alias("alnum"),
         _share(F.col("text"), F.regexp_replace("text", _NUMBER, "")).alias("numbers"),
         _share(F.col("text"), F.regexp_replace("text", _RUN, "")).alias("runs"),
-        F.try_divide(F.size(F.array_distinct(shape)), F.size("lines")).alias("shapes"),
+        F.try_divide(F.size(F.array_distinct(threes)), F.size(threes)).alias("repeat"),
+        F.try_divide(same, F.size("shapes")).alias("adjacent"),
+        F.try_divide(F.greatest(remarks, F.lit(0)), F.size("lines")).alias("comments"),
         ((_found(head, _MADE) & ~_found(head, _HAND)) | (_found(tail, _MADE) & ~_found(tail, _HAND))).alias("made"),
         (_found(head, _UPSTREAM) & ~_found(head, _HAND)).alias("upstream"),
-        F.filter(F.transform("lines", lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: ~x.startswith("#")).alias("norm"),
+        F.when(F.size(norm) > 0, F.array_distinct(_runs(norm, SHINGLE_LINES))).alias("shingles"),
     )
 
 
+def _runs(lines: Column, n: int) -> Column:
+    """Hashes of every run of n lines; fewer lines are one run.
+
+    The array is zipped with itself shifted, so the work is linear in the lines.
+    """
+    last = F.greatest(F.size(lines) - n + 1, F.lit(1))
+    runs = F.arrays_zip(*[F.slice(lines, F.lit(i + 1), last).alias(f"l{i}") for i in range(n)])
+    return F.transform(runs, lambda r: F.xxhash64(F.concat_ws("\n", *[r[f"l{i}"] for i in range(n)])))
+
+
 def _limit(name: str) -> Column:
     picked = F.lit(float(OTHER[name]))
     for lang, limits in LIMITS.items():
@@ -108,48 +137,40 @@ def _limit(name: str) -> Column:
     return picked
 
 
-def _shingles(norm: Column) -> Column:
-    """Hashes of every run of SHINGLE_LINES lines, each once; a shorter file is one run.
-
-    The array is zipped with itself shifted, so the work is linear in the lines.
-    """
-    last = F.greatest(F.size(norm) - SHINGLE_LINES + 1, F.lit(1))
-    runs = F.arrays_zip(*[F.slice(norm, F.lit(i + 1), last).alias(f"l{i}") for i in range(SHINGLE_LINES)])
-    return F.array_distinct(F.transform(runs, lambda r: F.xxhash64(F.concat_ws("\n", *[r[f"l{i}"] for i in range(SHINGLE_LINES)]))))
-
-
 def copied(stats: DataFrame, known: DataFrame) -> DataFrame:
     """(file_id, share): share of a file's line shingles that stand in known third-party files; files without a hit are left out."""
     catalog = layout(known.select(F.lit(0).alias("file_id"), F.col("file_name").alias("file_path"), "content"))
-    hashes = catalog.where(F.size("norm") > 0).select(F.explode(_shingles(F.col("norm"))).alias("h")).distinct()
-    own = stats.where(F.size("norm") > 0).select("file_id", _shingles(F.col("norm")).alias("s"))
-    hits = own.select("file_id", F.size("s").alias("n"), F.explode("s").alias("h")).join(hashes, "h", "left_semi")
+    hashes = catalog.select(F.explode("shingles").alias("h")).distinct()
+    hits = stats.select("file_id", F.size("shingles").alias("n"), F.explode("shingles").alias("h")).join(hashes, "h", "left_semi")
     return hits.groupBy("file_id", "n").agg(F.count(F.lit(1)).alias("hit")).select("file_id", (F.col("hit") / F.col("n")).alias("share"))
 
 
-def judged(files: DataFrame, known: DataFrame) -> DataFrame:
-    """(file_id, reason and the statistics) of every file; reason is null for hand-written source.
+def judged(files: DataFrame, known: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(file_id, reason, layout_reason and the statistics) of every file; both reasons are null for hand-written source.
 
     ``minified``: long mean line and hardly any blanks, or no hand-written line
     length at all. ``data``: numeric literals or encoded runs make up the file.
-    ``generated``: marked by a tool at either end, or ever the same shapes of lines.
-    ``vendored``: third-party by its own header or by shared text. An empty or null
-    content is hand-written (there is nothing to tell).
+    ``generated``: ever the same shapes of lines and hardly a comment, or marked by a tool at either end.
+    ``vendored``: third-party by its own header or by shared text. ``layout_reason`` is
+    the reason by layout thresholds alone. An empty or null content is hand-written
+    (there is nothing to tell).
     """
-    stats = layout(files)
-    share = copied(stats, known)
-    s = stats.drop("norm").join(share, "file_id", "left")
+    scratch = scratch or Scratch(files.sparkSession, "layout")
+    stats = scratch.cut(layout(files))
+    s = stats.drop("shingles").join(copied(stats, known), "file_id", "left")
     minified = ((F.col("mean_line") >= _limit("mean")) & (F.col("space") <= _limit("space")) & (F.col("alnum") <= WORDY)) | (F.col("mean_line") >= LONG_MEAN)
     data = (F.col("numbers") >= _limit("numbers")) | (F.col("runs") >= _limit("runs"))
-    generated = F.col("made") | ((F.col("n_lines") >= SHAPE_LINES) & (F.col("shapes") <= _limit("shapes")))
-    vendored = F.col("upstream") | (F.col("share") >= COPY_SHARE)
-    reason = F.when(data, "data").when(minified, "minified").when(generated, "generated").when(vendored, "vendored")
-    return s.withColumn("reason", reason)
+    repeated = ((F.col("n_lines") >= REPEAT_LINES) & (F.col("repeat") <= _limit("repeat"))) | ((F.col("n_lines") >= ADJACENT_LINES) & (F.col("adjacent") >= _limit("adjacent")))
+    by_layout = F.when(data, "data").when(minified, "minified").when(repeated & (F.col("comments") < COMMENTED), "generated")
+    marked = F.when(F.col("made"), "generated").when(F.col("upstream") | (F.col("share") >= COPY_SHARE), "vendored")
+    # A mark names the reason better than repeated lines do: a copied table of names is vendored.
+    reason = F.when(by_layout.isin("data", "minified"), by_layout).otherwise(F.coalesce(marked, by_layout))
+    return s.withColumn("layout_reason", by_layout).withColumn("reason", reason)
 
 
-def found(files: DataFrame, known: DataFrame) -> DataFrame:
+def found(files: DataFrame, known: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(file_id) of the files that nobody wrote by hand."""
-    return judged(files, known).where(F.col("reason").isNotNull()).select("file_id").distinct()
+    return judged(files, known, scratch).where(F.col("reason").isNotNull()).select("file_id").distinct()
 
 
 def hand_written(files: DataFrame, known: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files by language and reason; reason '' is hand-written source."""
+    """Files by language, reason and reason by layout alone; '' is hand-written source."""
     judged = handwritten.judged(load(spark, sf_dir, "source_files"), load(spark, sf_dir, "thirdparty_files"))
-    return judged.groupBy("lang", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n_files"))
+    return judged.groupBy("lang", *[F.coalesce(c, F.lit("")).alias(c) for c in ("reason", "layout_reason")]).agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def p4_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,14 +269,23 @@ def test_files_by_reason(spark):
     ]
     got = judged(spark, files, [LIB])
     assert got == [None, "generated", "generated", None, None, None, "minified", None, "data", "data", "generated", "vendored", "vendored", "vendored", None, None, None, None]
+    f = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(files)], "file_id bigint, file_path string, content string")
+    layout = {r.file_path: r.layout_reason for r in handwritten.judged(f, spark.createDataFrame([], "file_name string, content string")).join(f, "file_id").collect()}
+    assert {p for p, r in layout.items() if r} == {"a/x.js", "a/data.py", "a/blob.py", "a/stub.py", "a/copy.py", "a/altered.py"}  # LIB is one function eight times
+
+
+def test_generated_code_shows_without_a_mark(spark):
+    fields = "class Migration(migrations.Migration):\n    operations = [\n" + "".join(f"        migrations.AddField(model_name='{m}', name='n{i}', field=models.Char(max_length={i * 7})),\n" for i, m in enumerate(("rows", "pages", "tokens", "state", "quota", "pins", "edges"))) + "    ]\n"
+    types = "".join(f"export interface {n}Spec {{ id: number; {n.lower()}?: string; }}\n" for n in ("Row", "Page", "Token", "Batch", "Rule", "Pin", "Edge", "Quota"))
+    assert judged(spark, [("a/migrations/0004_auto.py", fields), ("a/t.d.ts", types), ("a/hand.py", HAND * 2)]) == ["generated", "generated", None]
 
 
 def test_copy_indented_with_tabs(spark):
     tabs = "\n".join("\t" * ((len(x) - len(x.lstrip())) // 4) + x.lstrip() for x in LIB.split("\n"))
     assert "\n\t" in tabs and judged(spark, [("a/core.py", tabs), ("a/hand.py", HAND.replace("    ", "\t"))], [LIB]) == ["vendored", None]
-    f = spark.createDataFrame([(1, "a.py", "\tx = 1\n\t\n  x  =  2 \n \x0b\n\f# c\n")], "file_id bigint, file_path string, content string")
-    row = handwritten.layout(f).first()
-    assert row.norm == ["x = 1", "x = 2"] and row.n_lines == 3
+    f = spark.createDataFrame([(1, "a.py", "\tx = 1\n\t\n  x  =  2 \n \x0b\n\f# c\n"), (2, "a.py", "x = 1\nx = 2")], "file_id bigint, file_path string, content string")
+    row, plain = handwritten.layout(f).orderBy("file_id").collect()
+    assert row.shingles == plain.shingles and len(row.shingles) == 1 and (row.n_lines, plain.n_lines) == (3, 2)
 
 
 def test_files_empty_tables(spark):
