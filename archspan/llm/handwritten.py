@@ -9,6 +9,8 @@ the share of text that stands in known third-party files.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,8 @@ _BLANKS = " \t\n\x0b\f\r"
 _ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 _NUMBER = r"(?<![A-Za-z_0-9])-?(?:0[xX][0-9a-fA-F]+|[0-9]+(?:\.[0-9]+)?)(?![A-Za-z_0-9])"
 _RUN = r"[A-Za-z0-9+/=]{40,}|(?:\\x[0-9a-fA-F]{2}){16,}"
-_COMMENT = r"^\s*(?:#|//|/\*|\*|\"\"\"|'''|<!--|;)|^\s*$"
+#: Beginnings of comment lines and of docstrings.
+_COMMENT = ("#", "//", "/*", "*", '"""', "'''", "<!--", ";")
 #: Ways in which tools mark their output, in the comments at the start or end of a file.
 _MADE = "|".join(
     (
@@ -71,9 +74,9 @@ def _share(text: Column, kept: Column) -> Column:
     return F.try_divide(F.length(text) - F.length(kept), F.length(text))
 
 
-def _block(lines: Column) -> Column:
-    """The leading lines that are comments or blank."""
-    first_code = F.array_position(F.transform(lines, lambda x: ~x.rlike(_COMMENT)), True).cast("int")
+def _block(lines: Column, remarks: Column) -> Column:
+    """The leading lines that are comments; ``remarks`` flags the comment lines."""
+    first_code = F.array_position(remarks, False).cast("int")
     return F.when(first_code == 0, lines).otherwise(F.slice(lines, F.lit(1), first_code - 1))
 
 
@@ -91,21 +94,26 @@ def layout(files: DataFrame) -> DataFrame:
     """
     text = F.replace(F.replace(F.regexp_replace("content", "^\ufeff", ""), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     base = spread(files.select("file_id", "file_path", "content"), files).select("file_id", F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)\s*$", 1)).alias("lang"), text.alias("text"))
+
+    def shown(whole: Column) -> Column:
+        return F.filter(F.transform(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(_BLANKS))), lambda x: x != "")
+
     shape = F.regexp_replace(F.translate("text", _ALNUM + "_", "a" * 63), "a+", "a")
-    shown = lambda lines: F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(_BLANKS))), lambda x: x != "")
-    base = base.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")).withColumn("shapes", shown(F.split(shape, "\n")))
-    lengths = F.transform("lines", lambda x: F.length(x))
-    total = F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
-    head, tail = _block(F.col("lines")), _block(F.reverse("lines"))
-    threes = _runs(F.col("shapes"), 3)
+    folded = F.regexp_replace("text", r"[ \t\x0b\f]+", " ")
+    base = base.select("*", F.transform(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != ""), lambda x: F.length(x)).alias("lengths"), shown(shape).alias("shapes"), shown(folded).alias("lines"))
+    base = base.withColumn("remarks", F.transform("lines", lambda x: reduce(lambda a, b: a | b, [x.startswith(c) for c in _COMMENT])))
+    base = base.withColumn("head", _block(F.col("lines"), F.col("remarks"))).withColumn("tail", _block(F.reverse("lines"), F.reverse("remarks")))
+    total = F.aggregate("lengths", F.lit(0), lambda a, x: a + x)
+    head, tail = F.col("head"), F.col("tail")
+    base = base.withColumn("threes", _runs(F.col("shapes"), 3)).withColumn("norm", F.filter("lines", lambda x: ~x.startswith("#")))
     same = F.size(F.filter("shapes", lambda x, i: (i > 0) & (F.get("shapes", i - 1) == x)))
-    remarks = F.size(F.filter("lines", lambda x: x.rlike(_COMMENT))) - F.size(head) - F.size(tail)
-    norm = F.filter(F.transform("lines", lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: ~x.startswith("#"))
+    inside = F.size(F.filter("remarks", lambda x: x)) - F.size(head) - F.size(tail)
+    norm, threes = F.col("norm"), F.col("threes")
     return base.select(
         "file_id",
         "lang",
         F.size("lines").alias("n_lines"),
-        F.array_max(lengths).alias("max_line"),
+        F.array_max("lengths").alias("max_line"),
         F.try_divide(total, F.size("lines")).alias("mean_line"),
         _share(F.col("text"), _without(F.col("text"), _BLANKS)).alias("space"),
         _share(F.col("text"), _without(F.col("text"), _ALNUM)).alias("alnum"),
@@ -113,7 +121,7 @@ def layout(files: DataFrame) -> DataFrame:
         _share(F.col("text"), F.regexp_replace("text", _RUN, "")).alias("runs"),
         F.try_divide(F.size(F.array_distinct(threes)), F.size(threes)).alias("repeat"),
         F.try_divide(same, F.size("shapes")).alias("adjacent"),
-        F.try_divide(F.greatest(remarks, F.lit(0)), F.size("lines")).alias("comments"),
+        F.try_divide(F.greatest(inside, F.lit(0)), F.size("lines")).alias("comments"),
         ((_found(head, _MADE) & ~_found(head, _HAND)) | (_found(tail, _MADE) & ~_found(tail, _HAND))).alias("made"),
         (_found(head, _UPSTREAM) & ~_found(head, _HAND)).alias("upstream"),
         F.when(F.size(norm) > 0, F.array_distinct(_runs(norm, SHINGLE_LINES))).alias("shingles"),
