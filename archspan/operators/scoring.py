@@ -140,8 +140,9 @@ def fires_moved(old: DataFrame, new: DataFrame, keys: list[str], top: int = 40)
 
 def confusion(pairs: DataFrame) -> DataFrame:
     """(repo_id, expected, observed, n) per repository and over all (repo_id null)."""
-    sets = pairs.cube("repo_id", "expected", "observed").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
-    return sets.where(F.col("g").isin(0, 4)).select("repo_id", "expected", "observed", "n")
+    per = pairs.groupBy("repo_id", "expected", "observed").agg(F.count(F.lit(1)).alias("n"))
+    all_ = per.groupBy("expected", "observed").agg(F.sum("n").alias("n"))
+    return per.unionByName(all_.select(F.lit(None).cast("string").alias("repo_id"), "expected", "observed", "n"))
 
 
 def recall(confused: DataFrame, label: str) -> DataFrame:
@@ -154,14 +155,33 @@ def recall(confused: DataFrame, label: str) -> DataFrame:
 def rank_auc(scored: DataFrame) -> DataFrame:
     """(n_pos, n_neg, auc): chance that a positive scores above a negative, ties one half.
 
-    Scores are counted per value first, so the running sum is over distinct scores.
+    Scores are counted per value first; the negatives below a score are a two-level
+    prefix sum, over ranges of scores and within each, so that no task holds all scores.
     """
-    freq = scored.groupBy("score").agg(F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(~F.col("positive"), 1)).alias("q"))
-    below = F.coalesce(F.sum("q").over(W.partitionBy(F.lit(1)).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wins = freq.withColumn("below", below).agg(F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("q"))).alias("w"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
+    freq = scored.where(F.col("score").isNotNull()).groupBy("score").agg(F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(~F.col("positive"), 1)).alias("q"))
+    span = freq.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    place = F.floor((F.col("score") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * SCORE_RANGES)
+    dealt = freq.crossJoin(F.broadcast(span)).select("score", "p", "q", place.alias("range"))
+    sums = dealt.groupBy("range").agg(F.sum("q").alias("range_q"))
+    base = sums.select("range", F.coalesce(F.sum("range_q").over(W.partitionBy(F.lit(1)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("q").over(W.partitionBy("range").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    below = dealt.withColumn("within", within).join(base, "range").withColumn("below", F.col("base") + F.col("within"))
+    wins = below.agg(F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("q"))).alias("w"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
     return wins.select("n_pos", "n_neg", F.round(F.try_divide("w", F.col("n_pos") * F.col("n_neg")), 6).alias("auc"))
 
 
+#: Ranges of scores whose counts are prefixed in one task.
+SCORE_RANGES = 4096
+
+
+def zero_loss(scored: DataFrame) -> DataFrame:
+    """One row (threshold, n_kept, dropped_neg, n): the highest threshold that drops no positive, and what it drops; null without positives."""
+    floor = scored.where("positive").agg(F.min("score").alias("threshold"))
+    both = scored.crossJoin(F.broadcast(floor))
+    kept = F.count(F.when(F.col("score") >= F.col("threshold"), 1))
+    return both.agg(F.max("threshold").alias("threshold"), kept.alias("n_kept"), F.count(F.when((F.col("score") < F.col("threshold")) & ~F.col("positive"), 1)).alias("dropped_neg"), F.count(F.lit(1)).alias("n"))
+
+
 def threshold_sweep(scored: DataFrame, steps: int = 19) -> DataFrame:
     """(step, threshold, kept_pos, dropped_neg, precision): thresholds at even parts of the score range, over score counts."""
     freq = scored.groupBy("score").agg(F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(~F.col("positive"), 1)).alias("q"))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from archspan.functions import names
 from archspan.operators import copydiff, grounding, model, scoring, shredding, vectors
-from archspan.operators.violations import Graph  # noqa: F401  (re-exported for callers)
-from archspan.plans import rulecheck
+from archspan.plans import dealt, rulecheck
 from archspan.runtime import Scratch, load
 
 
@@ -326,6 +325,10 @@ SELECT repo_id, adr_no, count(*) FILTER (ing) AS n_gold, count(*) FILTER (ins) A
     "arm_decisions": _EFFECTS + " SELECT repo_id, CASE WHEN max(CASE WHEN effect THEN sign(delta) * CASE WHEN metric IN ('ing_miss', 'ing_fp') THEN -1 ELSE 1 END END) > 0 THEN 'keep' WHEN min(CASE WHEN effect THEN sign(delta) * CASE WHEN metric IN ('ing_miss', 'ing_fp') THEN -1 ELSE 1 END END) < 0 THEN 'cut_candidate' ELSE 'no_movement' END AS decision FROM ff GROUP BY 1",
     "arm_costs": _CELLS + " SELECT repo_id, arm, coalesce(round(avg(parse_seconds), 6), CAST('NaN' AS DOUBLE)) AS parse_seconds, count(*) AS n_runs FROM c GROUP BY 1, 2",
     "cost_medians": _CELLS + " SELECT repo_id, list_sort(list(parse_seconds))[len(list(parse_seconds)) // 2 + 1] AS median, min(parse_seconds) AS least, max(parse_seconds) AS greatest FROM c WHERE parse_seconds IS NOT NULL GROUP BY 1",
+    "fp_split": dealt._SHRED
+    + _RULES.replace("\nWITH g AS", ", g AS", 1)
+    + """, fe AS (SELECT DISTINCT f.report_id, f.item_no, r.repo_id, CAST(regexp_extract(f.x->>'adr_id', '[0-9]+') AS BIGINT) AS adr_no FROM fps f JOIN eval_reports r USING (report_id))
+SELECT repo_id, count(*) FILTER (h) AS has_gold, count(*) FILTER (NOT h) AS zero_gold FROM (SELECT *, EXISTS (SELECT 1 FROM g WHERE g.repo_id = fe.repo_id AND g.adr_no = fe.adr_no) AS h FROM fe) GROUP BY 1""",
     "fires_moved": """WITH e AS (SELECT *, event_id <= (SELECT (min(event_id) + max(event_id)) / 2.0 FROM events) AS old FROM events), c AS (SELECT event_type, user_id, count(*) FILTER (old) AS n_old, count(*) FILTER (NOT old) AS n_new FROM e GROUP BY 1, 2)
 SELECT * FROM c WHERE n_old <> n_new ORDER BY abs(n_new - n_old) DESC, event_type, user_id LIMIT 40""",
     "scope_confusion": _PAIRS + " SELECT * FROM cf",

@@ -95,12 +95,16 @@ def check_found(spark: SparkSession, sf_dir: str, days: int | None = 60) -> Data
     return kept.select("constraint_id", "repo_id", "adr", "predicate", "changed_fqn", "matched_fqn", "status", "evidence", "change_type")
 
 
+def checked(spark: SparkSession, sf_dir: str, scratch: Scratch, days: int | None = 60) -> tuple[violations.Graph, DataFrame, DataFrame]:
+    """(inputs, findings with their provenance, rule matches) of a check."""
+    g = graph(spark, sf_dir, scratch, days)
+    _, kept, matches = violations.check(g, scratch)
+    return g, violations.governed(violations.code_fingerprint(kept, g.nodes), g.edges, g.nodes), matches
+
+
 def check_provenance(spark: SparkSession, sf_dir: str, days: int | None = 60) -> DataFrame:
     """Findings with location, fingerprint, identity, governed file and fan-in."""
-    scratch = Scratch(spark, "check")
-    g = graph(spark, sf_dir, scratch, days)
-    _, kept, _ = violations.check(g, scratch)
-    full = violations.governed(violations.code_fingerprint(kept, g.nodes), g.edges, g.nodes)
+    full = checked(spark, sf_dir, Scratch(spark, "check"), days)[1]
     return full.select("constraint_id", "matched_fqn", "file_path", "line_start", "line_end", "fingerprint", "identity", "short_id", "governed_fqn", "governed_file_path", "fan_in")
 
 
@@ -174,7 +178,7 @@ QUERIES = {f.__name__: f for f in (g_nodes, g_edges, g_rules, g_rule_states, g_r
 _TOOLS = ", ".join(f"'{t}'" for t in model.DEV_TOOLS)
 _B = graph_sql.BASE.replace("{tools}", _TOOLS)
 _FINAL = _B + graph_sql.FINAL
-_PROVENANCE = r""",
+_IDENTIFIED = r""",
 code AS (SELECT repo_id, fqn, file_path, line_start, line_end, nullif(code_hash, '') AS code_hash FROM n),
 hh AS (SELECT k.constraint_id, k.matched_fqn, list(c.code_hash ORDER BY u.i) AS hashes FROM kept k, unnest(range(1, len(k.hops) + 1)) AS u(i) JOIN code c ON c.repo_id = k.repo_id AND c.fqn = k.hops[u.i] AND c.code_hash IS NOT NULL GROUP BY 1, 2),
 fp AS (SELECT k.*, CASE WHEN k.change_type = 'structural' AND b.file_path IS NOT NULL THEN b.file_path ELSE a.file_path END AS file_path,
@@ -184,7 +188,8 @@ fp AS (SELECT k.*, CASE WHEN k.change_type = 'structural' AND b.file_path IS NOT
     CASE WHEN k.predicate LIKE 'prohibits_%' THEN k.changed_fqn ELSE k.matched_fqn END AS governed_fqn
   FROM kept k LEFT JOIN code a ON a.repo_id = k.repo_id AND a.fqn = k.changed_fqn LEFT JOIN code b ON b.repo_id = k.repo_id AND b.fqn = k.matched_fqn LEFT JOIN hh ON hh.constraint_id = k.constraint_id AND hh.matched_fqn = k.matched_fqn),
 fan AS (SELECT repo_id, array_to_string(p[1:i], '.') AS fqn, count(DISTINCT source) AS fan_in FROM (SELECT *, string_split(target, '.') AS p FROM e WHERE kind = 'IMPORTS'), unnest(range(1, len(p) + 1)) AS u(i) GROUP BY 1, 2),
-idn AS (SELECT *, sha256(concat_ws('|', subject, predicate, object, adr, coalesce(fingerprint, 'none'))) AS identity FROM fp)
+idn AS (SELECT *, sha256(concat_ws('|', subject, predicate, object, adr, coalesce(fingerprint, 'none'))) AS identity FROM fp)"""
+_PROVENANCE = _IDENTIFIED + """
 SELECT i.constraint_id, i.matched_fqn, i.file_path, i.line_start, i.line_end, i.fingerprint, i.identity, substr(i.identity, 1, 5) AS short_id, i.governed_fqn, c.file_path AS governed_file_path, coalesce(fan.fan_in, 0) AS fan_in
 FROM idn i LEFT JOIN code c ON c.repo_id = i.repo_id AND c.fqn = i.governed_fqn LEFT JOIN fan ON fan.repo_id = i.repo_id AND fan.fqn = i.governed_fqn"""
 
