@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import builtins
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 
 from archspan.functions import names
 from archspan.operators.model import DEV_TOOLS, ENTRY_POINT_ROOTS
+from archspan.runtime import Scratch
 
 #: Bare names of the language's builtins never resolve to a repository's own names.
 BUILTINS = tuple(sorted(n for n in dir(builtins) if not n.startswith("_")))
@@ -25,11 +27,12 @@ def suffix_index(nodes: DataFrame) -> DataFrame:
 def resolve_suffix(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(repo_id, text, fqn, n): the name that ends with the text (itself, else fewest parts, else least) and how many do.
 
-    ``texts`` holds (repo_id, text). The name is unique where n = 1.
+    ``texts`` holds (repo_id, text). The name is unique where n = 1. The index is
+    reduced to one row per suffix before it meets the texts, so a suffix that very many names have is none the dearer.
     """
-    index = suffix_index(nodes).withColumnRenamed("suffix", "text")
-    order = F.struct((F.col("fqn") != F.col("text")).alias("a"), names.depth("fqn").alias("b"), "fqn")
-    return texts.select("repo_id", "text").distinct().join(index, ["repo_id", "text"]).groupBy("repo_id", "text").agg(F.min(order)["fqn"].alias("fqn"), F.count(F.lit(1)).alias("n"))
+    order = F.struct((F.col("fqn") != F.col("suffix")).alias("a"), names.depth("fqn").alias("b"), "fqn")
+    best = suffix_index(nodes).groupBy("repo_id", "suffix").agg(F.min(order)["fqn"].alias("fqn"), F.count(F.lit(1)).alias("n"))
+    return texts.select("repo_id", "text").distinct().join(best.withColumnRenamed("suffix", "text"), ["repo_id", "text"])
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -110,7 +113,7 @@ def search_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(imported)
 
 
-def name_search(queries: DataFrame, candidates: DataFrame, cap: int = SEARCH_CAP) -> DataFrame:
+def name_search(queries: DataFrame, candidates: DataFrame, scratch: Scratch, cap: int = SEARCH_CAP) -> DataFrame:
     """(query_id, n_exact, n_prefix, n_substring, n_relaxed, refused, truncated, rank, fqn, kind): tiered name search.
 
     ``queries`` holds (query_id, repo_id, query): a stated set, compared with all names
@@ -123,7 +126,7 @@ def name_search(queries: DataFrame, candidates: DataFrame, cap: int = SEARCH_CAP
     c = candidates.withColumn("low", F.lower("fqn"))
     met = q.join(c, "repo_id")
     tier = F.when(F.col("low") == F.col("q"), 1).when(F.col("low").startswith(F.col("q")), 2).when(F.contains("low", "q"), 3).when(F.regexp_like(F.translate("low", ".", "/"), _subsequence(F.col("q"))), 4)
-    hits = met.withColumn("tier", tier).where(F.col("tier").isNotNull()).select("query_id", "tier", "fqn", "kind")
+    hits = scratch.cut(met.withColumn("tier", tier).where(F.col("tier").isNotNull()).select("query_id", "tier", "fqn", "kind"))
     counts = hits.groupBy("query_id").agg(*[F.count(F.when(F.col("tier") == i, 1)).alias(f"c{i}") for i in (1, 2, 3, 4)])
     sharp = F.col("c1") + F.col("c2") > 0
     counts = counts.select("query_id", F.col("c1").alias("n_exact"), F.col("c2").alias("n_prefix"), F.when(sharp, 0).otherwise(F.col("c3")).alias("n_substring"), F.when(sharp | (F.col("c3") > 0), 0).otherwise(F.col("c4")).alias("n_relaxed"))
@@ -147,14 +150,15 @@ def inherited_members(nodes: DataFrame, edges: DataFrame, scratch) -> DataFrame:
 
     classes = nodes.where(F.col("kind") == "class").select("repo_id", F.col("fqn").alias("cls"))
     bases = edges.where(F.col("kind") == "INHERITS").select("repo_id", F.col("source").alias("at"), F.col("target").alias("base"), "ord")
-    frontier = scratch.cut(classes.select("repo_id", "cls", F.col("cls").alias("at"), F.array().cast("array<bigint>").alias("way")))
-    seen = frontier
-    for _ in range(MAX_ROUNDS):
+    frontier, left = scratch.cut_counting(classes.select("repo_id", "cls", F.col("cls").alias("at"), F.array().cast("array<bigint>").alias("way")), F.lit(True))
+    parts = [frontier]
+    while left:
+        if len(parts) > MAX_ROUNDS:
+            raise RuntimeError(f"bases not complete after {MAX_ROUNDS} rounds")
         step = frontier.join(bases, ["repo_id", "at"]).groupBy("repo_id", "cls", F.col("base").alias("at")).agg(F.min(F.concat("way", F.array("ord"))).alias("way"))
-        frontier = scratch.cut(step.join(seen.select("repo_id", "cls", "at"), ["repo_id", "cls", "at"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = scratch.cut(seen.unionByName(frontier))
+        frontier, left = scratch.cut_counting(step.join(reduce(DataFrame.unionByName, parts).select("repo_id", "cls", "at"), ["repo_id", "cls", "at"], "left_anti"), F.lit(True))
+        parts.append(frontier)
+    seen = reduce(DataFrame.unionByName, parts)
     methods = nodes.where(F.col("kind") == "method").select("repo_id", names.parent("fqn").alias("at"), names.last_part("fqn").alias("member"))
     found = seen.join(methods, ["repo_id", "at"]).groupBy("repo_id", "cls", "member").agg(F.min(F.struct(F.size("way").alias("d"), "way", "at")).alias("_m"))
     return found.select("repo_id", "cls", "member", F.col("_m.at").alias("definer"), F.col("_m.d").alias("distance"))

@@ -68,7 +68,7 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches the object of every rule whose id is divisible by 100 among all names of its repository."""
     n, e, _ = _g(spark, sf_dir)
     queries = load(spark, sf_dir, "constraint_edges").where("constraint_id % 100 = 0").select(F.col("constraint_id").alias("query_id"), "repo_id", names.strip_dots_stars(F.trim("object")).alias("query"))
-    return grounding.name_search(queries, grounding.search_candidates(n, e))
+    return grounding.name_search(queries, grounding.search_candidates(n, e), Scratch(spark, "search"))
 
 
 def span_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

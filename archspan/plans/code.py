@@ -27,9 +27,9 @@ def code_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_same_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code hashes that several files share, with the number of files and repositories."""
-    h = code_hashes(spark, sf_dir).join(load(spark, sf_dir, "source_files").select("file_id", "repo_id"), "file_id")
-    return h.groupBy("code_hash").agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("repo_id").alias("n_repos")).where("n_files > 1")
+    """Code hashes that several definitions share, with the number of definitions, files and repositories."""
+    h = code_hashes(spark, sf_dir)
+    return h.groupBy("code_hash").agg(F.count(F.lit(1)).alias("n_definitions"), F.count_distinct("file_id").alias("n_files"), F.count_distinct("repo_id").alias("n_repos")).where("n_definitions > 1")
 
 
 def diff_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +64,7 @@ def stream_daily_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (code_definitions, code_edges, code_hashes, code_same_text, diff_modules, changed_scopes, all_scopes, stream_daily_edges)}
 
-_HASH = r"SELECT file_id, repo_id, sha256(trim(regexp_replace(regexp_replace(content, '(?m)^[ \t]*#.*$', '', 'g'), '[ \t\r\n\x0b\f]+', ' ', 'g'))) AS code_hash FROM source_files"
-
 SQL = {
-    "code_hashes": f"SELECT file_id, code_hash FROM ({_HASH})",
-    "code_same_text": f"SELECT code_hash, count(*) AS n_files, count(DISTINCT repo_id) AS n_repos FROM ({_HASH}) GROUP BY 1 HAVING count(*) > 1",
     "diff_modules": dealt._SNAPS
     + r"""SELECT line_id, to_sha, file_path, count(*) FILTER (change_kind = 'added') AS n_added, count(*) FILTER (change_kind = 'removed') AS n_removed, count(*) FILTER (change_kind = 'changed') AS n_changed,
 regexp_replace(regexp_replace(regexp_replace(file_path, '\.py$', ''), '[/\\]', '.', 'g'), '\.__init__$', '') AS module

@@ -7,6 +7,9 @@ resolved afterwards by joins.
 from __future__ import annotations
 
 import ast
+import hashlib
+import io
+import tokenize
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -110,7 +113,79 @@ def code_edges(facts: DataFrame) -> DataFrame:
     return contains.unionByName(packages).unionByName(imports).unionByName(bases).unionByName(calls).distinct()
 
 
+def _hashes(content: str, module: str) -> Iterator[tuple[str, str]]:
+    """(fqn, hash) of a file and of each definition in it.
+
+    Hashed is the text of the definition without comments (by tokens, so that a mark in a
+    string stays), without its own name and with white space folded: a rename, a new
+    comment or another layout changes nothing.
+    """
+    tree = ast.parse(content)
+    lines = [line.encode() for line in content.splitlines(keepends=True)]
+    at = lambda row, column: (row - 1, len(content_lines[row - 1][:column].encode()))
+    content_lines = content.splitlines(keepends=True)
+    comments: list[tuple[int, int, int]] = []
+    name_after: dict[tuple[int, int], tuple[int, int, int]] = {}
+    keyword = None
+    for t in tokenize.generate_tokens(io.StringIO(content).readline):
+        if t.type == tokenize.COMMENT:
+            row, start = at(*t.start)
+            comments.append((row, start, start + len(t.string.encode())))
+        elif t.type == tokenize.NAME:
+            row, start = at(*t.start)
+            if keyword is not None:
+                name_after[keyword] = (row, start, start + len(t.string.encode()))
+                keyword = None
+            elif t.string in ("def", "class"):
+                keyword = (row, start)
+    by_row: dict[int, list[tuple[int, int]]] = {}
+    for row, start, end in comments:
+        by_row.setdefault(row, []).append((start, end))
+
+    def digest(first: tuple[int, int], last: tuple[int, int], name: tuple[int, int, int] | None) -> str:
+        parts = []
+        for row in range(first[0], min(last[0] + 1, len(lines))):
+            low = first[1] if row == first[0] else 0
+            high = last[1] if row == last[0] else len(lines[row])
+            cuts = sorted(by_row.get(row, []) + ([name[1:]] if name and name[0] == row else []))
+            for start, end in cuts:
+                if start >= low and end <= high:
+                    parts.append(lines[row][low:start])
+                    low = end
+            parts.append(lines[row][low:high])
+        return hashlib.sha256(b" ".join(b"".join(parts).split())).hexdigest()
+
+    yield module, digest((0, 0), (len(lines), 0), None)
+    stack: list[tuple[ast.AST, str]] = [(tree, module)]
+    while stack:
+        node, owner = stack.pop()
+        inner = owner
+        if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+            inner = f"{owner}.{node.name}"
+            first = (node.lineno - 1, node.col_offset)
+            word = first
+            if isinstance(node, ast.AsyncFunctionDef):  # the name follows def, which follows async
+                word = min(k for k in name_after if k > first)
+            yield inner, digest(first, (node.end_lineno - 1, node.end_col_offset), name_after.get(word))
+        stack.extend((child, inner) for child in ast.iter_child_nodes(node))
+
+
+def _read_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple] = []
+        for r in batch.to_pylist():
+            try:
+                out += [(r["file_id"], r["repo_id"], fqn, h) for fqn, h in _hashes((r["content"] or "").lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n"), r["module"])]
+            except (SyntaxError, ValueError, RecursionError, MemoryError, tokenize.TokenError):
+                continue
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))], names=["file_id", "repo_id", "fqn", "code_hash"])
+
+
 def code_hash(files: DataFrame) -> DataFrame:
-    """(file_id, code_hash): SHA-256 of the text without comment lines and with white space folded, so that layout alone changes nothing."""
-    body = F.regexp_replace("content", r"(?m)^[ \t]*#.*$", "")
-    return files.select("file_id", F.sha2(F.trim(F.regexp_replace(body, "[ \\t\\r\\n\\x0b\\f]+", " ")), 256).alias("code_hash"))
+    """(file_id, repo_id, fqn, code_hash) of every ``.py`` file (as a module) and every definition in it; see `_hashes`.
+
+    Files that don't parse have no rows. A name that a file defines twice has two rows.
+    """
+    path = F.regexp_replace(F.regexp_replace(F.trim("file_path"), r"[\\/]+", "/"), r"^\./", "")
+    py = files.where(path.endswith(".py")).select("file_id", "repo_id", names.path_to_fqn(path).alias("module"), "content")
+    return spread(py, files).mapInArrow(_read_hashes, "file_id bigint, repo_id string, fqn string, code_hash string")

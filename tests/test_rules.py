@@ -175,17 +175,57 @@ def test_partitions_change_nothing(spark, scratch):
     assert sorted(raw2.select("constraint_id", "changed_fqn", "matched_fqn", "evidence").collect()) == want and want
 
 
-def test_search_tiers(spark):
+def test_search_tiers(spark, scratch):
     c = spark.createDataFrame([("r", "app.Users", "class"), ("r", "app.users.api", "module"), ("r", "lib.app_users", "module"), ("r", "a.p.p", "module")], "repo_id string, fqn string, kind string")
     q = spark.createDataFrame([(1, "r", "APP.users"), (2, "r", "app_u"), (3, "r", "app"), (4, "r", " "), (5, "r", None), (6, "r", "apsr"), (7, "r", "zzz")], "query_id int, repo_id string, query string")
     got = {}
-    for r in grounding.name_search(q, c).orderBy("query_id", "rank").collect():
+    for r in grounding.name_search(q, c, scratch).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.fqn)
     assert got == {1: ["app.Users", "app.users.api"], 2: ["lib.app_users"], 3: ["app.Users", "app.users.api"], 6: ["app.Users", "app.users.api", "lib.app_users"]}
-    refused = grounding.name_search(q.where("query_id = 6"), c, cap=2).collect()
+    refused = grounding.name_search(q.where("query_id = 6"), c, scratch, cap=2).collect()
     assert [(r.refused, r.n_relaxed, r.fqn) for r in refused] == [(True, 3, None)]
 
 
+def brute_resolved(rows, active):
+    """Resolution as it is stated: first per rule and name, parents over children, pairs of findings, then active rules."""
+    covers = lambda p, f: p == f or (p.endswith(".*") and (f == p[:-2] or f.startswith(p[:-1])))
+    stance = lambda r: "p" if r["predicate"].startswith("prohibits") else "r" if r["predicate"] in ("requires_dependency", "requires_implementation") else ""
+    kept = list({(r["constraint_id"], r["matched_fqn"]): r for r in reversed(rows)}.values())
+    kept = [r for r in kept if not any(q["constraint_id"] == r["constraint_id"] and r["matched_fqn"].startswith(q["matched_fqn"] + ".") for q in kept)]
+    gone = set()
+    for i, a in enumerate(kept):
+        for j, b in enumerate(kept):
+            if i == j or i in gone or j in gone or a["object"] != b["object"] or {stance(a), stance(b)} != {"p", "r"}:
+                continue
+            for x, y, n in ((a, b, i), (b, a, j)):
+                if covers(y["subject"], x["matched_fqn"]) and y["specificity"] > x["specificity"]:
+                    gone.add(n)
+    kept = [r for i, r in enumerate(kept) if i not in gone]
+    over = lambda q, r: q["object"] == r["object"] and covers(q["subject"], r["matched_fqn"])
+    kept = [r for r in kept if not (stance(r) == "p" and any(stance(q) == "r" and q["specificity"] > r["specificity"] and over(q, r) for q in active))]
+    return [r for r in kept if not (stance(r) == "r" and any(stance(q) == "p" and (q["specificity"], q["adr"]) > (r["specificity"], r["adr"]) and over(q, r) for q in active))]
+
+
+def test_resolution_against_pairwise_conflicts(spark):
+    """The outweighing rules alone give what pairwise conflicts and outweighing rules give together."""
+    rnd = random.Random(11)
+    fqns = ["a", "a.b", "a.b.c", "a.d", "e"]
+    predicates = ["prohibits_dependency", "requires_dependency", "prohibits_implementation", "requires_implementation", "requires_object_scope"]
+    schema = "constraint_id bigint, repo_id string, adr string, subject string, predicate string, object string, specificity double, matched_fqn string, phase int, ord1 string, ord2 string, ord3 string"
+    for _ in range(6):
+        active, rows = [], []
+        for i in range(14):
+            subject = rnd.choice(fqns) + rnd.choice(["", ".*"])
+            rule = {"constraint_id": i, "repo_id": "r", "adr": f"{rnd.randint(1, 3):06}", "subject": subject, "predicate": rnd.choice(predicates), "object": rnd.choice(["x", "y"]), "specificity": subject.rstrip(".*").count(".") + 1 + (0.0 if subject.endswith("*") else 1.0)}
+            active.append(rule)
+            rows += [rule | {"matched_fqn": f} for f in fqns if rnd.random() < 0.5]
+        rows = [r | {"phase": 0, "ord1": f"{n:06}", "ord2": "", "ord3": ""} for n, r in enumerate(rows)]
+        found = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+        rules = found.sparkSession.createDataFrame([tuple(r[c] for c in ("constraint_id", "repo_id", "adr", "subject", "predicate", "object", "specificity")) for r in active], "constraint_id bigint, repo_id string, adr string, subject string, predicate string, object string, specificity double")
+        got = violations.outweighed(violations.without_covered_children(violations.deduplicated(found)), rules)
+        assert {(r.constraint_id, r.matched_fqn) for r in got.collect()} == {(r["constraint_id"], r["matched_fqn"]) for r in brute_resolved(rows, active)}
+
+
 def test_rule_scores(spark):
     s = "repo_id string, adr_no bigint, subject string, predicate string, object string, scope string"
     gold = spark.createDataFrame([("r", 1, "a.b.*", "p", "x", None), ("r", 1, "a.c", "p", "y", None), ("r", 2, "q", "p", "z", None)], s)

@@ -1,6 +1,7 @@
 """Readers, writers, source parsing, paths, streams and the registry."""
 
 import ast
+import hashlib
 import importlib
 import json
 import re
@@ -87,10 +88,37 @@ def test_python_code(spark):
     assert python_code.code_edges(python_code.code_facts(df.limit(0))).count() == 0
 
 
-def test_code_hash_ignores_layout(spark):
-    df = spark.createDataFrame([(1, "a = 1\n# note\nb = 2\n"), (2, "a = 1\r\n\r\n  b = 2"), (3, "a = 1\nb = 3\n"), (4, None)], "file_id bigint, content string")
-    h = {r.file_id: r.code_hash for r in python_code.code_hash(df).collect()}
-    assert h[1] == h[2] != h[3] and h[4] is None
+CODE_FILES = "file_id bigint, repo_id string, file_path string, content string"
+
+
+def code_hashes(spark, *contents):
+    df = spark.createDataFrame([(i, "r", "m.py", c) for i, c in enumerate(contents)], CODE_FILES)
+    out = [{} for _ in contents]
+    for r in python_code.code_hash(df).collect():
+        out[r.file_id][r.fqn.removeprefix("m").removeprefix(".")] = r.code_hash
+    return out
+
+
+def test_code_hash_ignores_layout_comments_and_names(spark):
+    one, layout, other, none = code_hashes(spark, "a = 1\n# note\nb = 2\n", "a = 1\r\n\r\nb  =  2", "a = 1\nb = 3\n", None)
+    assert one[""] == layout[""] != other[""] and set(none) == {""}
+    base = "import os\n\nclass K(Base):\n    def f(self, x):\n        return x + 1\n\n    async def g(self):\n        s = 'é # no comment'\n        return s\n"
+    a, renamed, remark, string, edited, bad = code_hashes(
+        spark,
+        base,
+        base.replace("def f(", "def better(").replace("class K", "class Q"),
+        base.replace("x + 1", "x + 1  # trailing").replace("    async", "    # é above\n    async"),
+        base.replace("# no comment", "# another"),
+        base.replace("x + 1", "x + 2"),
+        "def broken(:\n",
+    )
+    assert set(a) == {"", "K", "K.f", "K.g"} and bad == {}
+    assert renamed["Q.better"] == a["K.f"] and renamed["Q.g"] == a["K.g"] and renamed["Q"] != a["K"]  # the class holds its methods' names
+    assert remark == a
+    assert string["K.f"] == a["K.f"] and string["K.g"] != a["K.g"] and string["K"] != a["K"]
+    assert edited["K.g"] == a["K.g"] and edited["K.f"] != a["K.f"]
+    want = hashlib.sha256(b"def (self, x): return x + 1").hexdigest()
+    assert a["K.f"] == want and a["K.g"] == hashlib.sha256("async def (self): s = 'é # no comment' return s".encode()).hexdigest()
 
 
 def test_paths(spark):
