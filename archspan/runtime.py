@@ -76,11 +76,15 @@ class Scratch:
         self._written.append((back, path))
         return back
 
-    def cut_counting(self, df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
-        """``cut``, and how many rows meet the condition, counted by the job that writes."""
+    def cut_counts(self, df: DataFrame, *conditions: Column) -> tuple[DataFrame, list[int]]:
+        """``cut``, and how many rows meet each condition, counted by the job that writes."""
         seen = Observation()
-        back = self.cut(df.observe(seen, F.count(F.when(condition, 1)).alias("n")))
-        return back, seen.get["n"]
+        back = self.cut(df.observe(seen, *[F.count(F.when(c, 1)).alias(f"n{i}") for i, c in enumerate(conditions)]))
+        return back, [seen.get[f"n{i}"] for i in range(len(conditions))]
+
+    def cut_counting(self, df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+        back, (n,) = self.cut_counts(df, condition)
+        return back, n
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables of this run that nothing reads any more."""

@@ -349,6 +349,7 @@ def test_snapshots_random(spark, scratch, fork):
     got = snapshots.changes(spark.createDataFrame(data, SNAP), scratch)
     out = got.collect()
     assert len(out) == len(set(out)) and set(map(tuple, out)) == brute_changes(data)
+    assert set(map(tuple, snapshots.changes(spark.createDataFrame(data, SNAP), scratch, broadcast_snapshots=0).collect())) == set(map(tuple, out))
 
 
 def test_snapshots_empty(spark, scratch):
