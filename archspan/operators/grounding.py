@@ -84,6 +84,12 @@ def validate_rules(rules: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
     return r.select("constraint_id", F.when(F.col("s_in") & F.col("known").isNull(), "subject").when(F.col("o_in") & (F.col("label") == "unknown"), "object").otherwise("ok").alias("verdict"))
 
 
+def scopes_under(nodes: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(repo_id, fqn) of the nodes at or under any prefix; ``prefixes`` holds (repo_id, top)."""
+    up = nodes.select("repo_id", "fqn", F.explode(names.ancestors("fqn")).alias("top"))
+    return up.join(prefixes.where(F.length("top") > 0).select("repo_id", "top").distinct(), ["repo_id", "top"], "left_semi").select("repo_id", "fqn").distinct()
+
+
 def externalised(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
     """(repo_id, fqn, kind, role): placeholders for import targets and rule ends that no node names; patterns count as their base."""
     ends = rules.select("repo_id", F.explode(F.array("subject", "object")).alias("fqn")).select("repo_id", names.base("fqn").alias("fqn"))
@@ -113,13 +119,13 @@ def search_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(imported)
 
 
-def name_search(queries: DataFrame, candidates: DataFrame, scratch: Scratch, cap: int = SEARCH_CAP) -> DataFrame:
+def name_search(queries: DataFrame, candidates: DataFrame, scratch: Scratch, cap: int | None = SEARCH_CAP) -> DataFrame:
     """(query_id, n_exact, n_prefix, n_substring, n_relaxed, refused, truncated, rank, fqn, kind): tiered name search.
 
     ``queries`` holds (query_id, repo_id, query): a stated set, compared with all names
     of its repository. Tiers without case: exact and prefix together, else substring,
     else characters in order. A query without exact or prefix hit and more than
-    ``cap`` hits is refused (one row without name); otherwise the first ``cap`` by tier and name come out. Queries
+    ``cap`` hits is refused (one row without name); otherwise the first ``cap`` by tier and name come out. With None all hits come out and none is refused. Queries
     without a hit, empty or null give no rows.
     """
     q = queries.select("query_id", "repo_id", F.lower(F.trim("query")).alias("q")).where(F.length("q") > 0)
@@ -130,6 +136,7 @@ def name_search(queries: DataFrame, candidates: DataFrame, scratch: Scratch, cap
     counts = hits.groupBy("query_id").agg(*[F.count(F.when(F.col("tier") == i, 1)).alias(f"c{i}") for i in (1, 2, 3, 4)])
     sharp = F.col("c1") + F.col("c2") > 0
     counts = counts.select("query_id", F.col("c1").alias("n_exact"), F.col("c2").alias("n_prefix"), F.when(sharp, 0).otherwise(F.col("c3")).alias("n_substring"), F.when(sharp | (F.col("c3") > 0), 0).otherwise(F.col("c4")).alias("n_relaxed"))
+    cap = (1 << 31) - 1 if cap is None else cap
     total = F.col("n_exact") + F.col("n_prefix") + F.col("n_substring") + F.col("n_relaxed")
     counts = counts.withColumn("refused", (F.col("n_exact") + F.col("n_prefix") == 0) & (total > cap)).withColumn("truncated", total > cap)
     top = F.when(F.col("n_exact") + F.col("n_prefix") > 0, 2).when(F.col("n_substring") > 0, 3).otherwise(4)
@@ -164,13 +171,14 @@ def inherited_members(nodes: DataFrame, edges: DataFrame, scratch) -> DataFrame:
     return found.select("repo_id", "cls", "member", F.col("_m.at").alias("definer"), F.col("_m.d").alias("distance"))
 
 
-def span_overlaps(hits: DataFrame, nodes: DataFrame, top_k: int = 5) -> DataFrame:
+def span_overlaps(hits: DataFrame, nodes: DataFrame, top_k: int | None = 5) -> DataFrame:
     """(hit_id, fqn, kind, rank): nodes whose lines overlap a hit's in the same file, by first line, the first ``top_k``.
 
-    ``hits`` holds (hit_id, repo_id, file_path, first_line, last_line). The top k is the search's page size.
+    ``hits`` holds (hit_id, repo_id, file_path, first_line, last_line). The top k is the search's page size, None for all.
     """
     path = F.regexp_replace(F.regexp_replace(F.trim("file_path"), r"[\\/]+", "/"), r"^\./", "")
     h = hits.select("hit_id", "repo_id", path.alias("path"), "first_line", "last_line")
     n = nodes.where(F.col("file_path").isNotNull()).select("repo_id", path.alias("path"), "fqn", "kind", "line_start", "line_end")
     met = h.join(n, ["repo_id", "path"]).where((F.col("line_start") <= F.col("last_line")) & (F.col("line_end") >= F.col("first_line")))
-    return met.withColumn("rank", F.row_number().over(W.partitionBy("hit_id").orderBy("line_start", "fqn"))).where(F.col("rank") <= top_k).select("hit_id", "fqn", "kind", "rank")
+    ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("hit_id").orderBy("line_start", "fqn")))
+    return (ranked if top_k is None else ranked.where(F.col("rank") <= top_k)).select("hit_id", "fqn", "kind", "rank")

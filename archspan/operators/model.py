@@ -95,15 +95,15 @@ def importer_counts(edges: DataFrame) -> DataFrame:
     return up.groupBy("repo_id", "fqn").agg(F.count_distinct("source").alias("fan_in"))
 
 
-def children(edges: DataFrame, nodes: DataFrame, cap: int = 150) -> DataFrame:
+def children(edges: DataFrame, nodes: DataFrame, cap: int | None = 150) -> DataFrame:
     """(repo_id, fqn, child, kind, child_no, truncated): CONTAINS children that are nodes, in edge order, the first ``cap`` per parent.
 
-    The cap is the listing's page size; ``truncated`` tells that there are more.
+    The cap is the listing's page size (None lists all); ``truncated`` tells that there are more.
     """
     from pyspark.sql import Window as W
 
     kids = edges.where(F.col("kind") == "CONTAINS").select("repo_id", F.col("source").alias("fqn"), F.col("target").alias("child"), "ord").groupBy("repo_id", "fqn", "child").agg(F.min("ord").alias("ord"))
     known = kids.join(nodes.select("repo_id", F.col("fqn").alias("child"), "kind"), ["repo_id", "child"])
     w = W.partitionBy("repo_id", "fqn")
-    numbered = known.withColumn("child_no", F.row_number().over(w.orderBy("ord"))).withColumn("truncated", F.count(F.lit(1)).over(w) > cap)
-    return numbered.where(F.col("child_no") <= cap).select("repo_id", "fqn", "child", "kind", "child_no", "truncated")
+    numbered = known.withColumn("child_no", F.row_number().over(w.orderBy("ord"))).withColumn("truncated", F.count(F.lit(1)).over(w) > cap if cap is not None else F.lit(False))
+    return (numbered if cap is None else numbered.where(F.col("child_no") <= cap)).select("repo_id", "fqn", "child", "kind", "child_no", "truncated")

@@ -8,8 +8,20 @@ from pyspark.sql import Window as W
 
 from archspan.functions import names
 
-#: Which way is better, per metric of the arm comparison.
-DIRECTION = {"ing_exact": 1, "ing_partial": 1, "ing_miss": -1, "ing_fp": -1, "det_exact": 1}
+#: Metrics of the arm comparison: their place in a report and which way is better; 0 is shown but moves no decision.
+METRICS = {
+    "ing_exact": ("ingestion.exact", 1),
+    "ing_partial": ("ingestion.partial", 1),
+    "ing_miss": ("ingestion.miss", -1),
+    "ing_fp": ("ingestion.false_positives", -1),
+    "ing_total": ("ingestion.total", 0),
+    "presence_exact": ("ingestion.class_split.presence.exact", 1),
+    "presence_miss": ("ingestion.class_split.presence.miss", -1),
+    "scope_exact": ("ingestion.class_split.scope.exact", 1),
+    "scope_miss": ("ingestion.class_split.scope.miss", -1),
+    "det_exact": ("detection.exact", 1),
+    "det_total": ("detection.total", 0),
+}
 
 
 def _related(a: Column, b: Column, x: Column, y: Column) -> Column:
@@ -78,15 +90,15 @@ def cells(reports: DataFrame) -> DataFrame:
     def at(path: str) -> Column:
         return F.coalesce(F.get_json_object("payload", f"$.{path}"), F.get_json_object("payload", f"$.report.{path}"))
 
-    metrics = {"ing_exact": "ingestion.exact", "ing_partial": "ingestion.partial", "ing_miss": "ingestion.miss", "ing_fp": "ingestion.false_positives", "det_exact": "detection.exact"}
+    metrics = {m: path for m, (path, _) in METRICS.items()}
     valid = reports.where(F.expr("try_parse_json(payload) IS NOT NULL")).select("repo_id", at("arm").alias("arm"), at("run_index").cast("int").alias("run_index"), "written_at", "report_id", *[at(p).cast("double").alias(m) for m, p in metrics.items()], at("cost.parse_seconds").cast("double").alias("parse_seconds"))
     keep = [*metrics, "parse_seconds"]
     return valid.groupBy("repo_id", "arm", "run_index").agg(F.max_by(F.struct(*keep), F.struct("written_at", "report_id")).alias("_c")).select("repo_id", "arm", "run_index", "_c.*")
 
 
 def long_cells(cells_: DataFrame) -> DataFrame:
-    """(repo_id, arm, run_index, metric, value)."""
-    return cells_.select("repo_id", "arm", "run_index", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in DIRECTION])).alias("_m")).select("repo_id", "arm", "run_index", "_m.*")
+    """(repo_id, arm, run_index, metric, value) of the metrics that a run carries."""
+    return cells_.select("repo_id", "arm", "run_index", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])).alias("_m")).select("repo_id", "arm", "run_index", "_m.*").where("value IS NOT NULL")
 
 
 def arm_effects(long: DataFrame) -> DataFrame:
@@ -108,7 +120,7 @@ def arm_effects(long: DataFrame) -> DataFrame:
 def arm_decision(effects: DataFrame) -> DataFrame:
     """(repo_id, decision): keep if an effect improves a metric, else cut_candidate if one worsens, else no_movement."""
     way = F.lit(0)
-    for m, d in DIRECTION.items():
+    for m, (_, d) in METRICS.items():
         way = F.when(F.col("metric") == m, F.lit(d)).otherwise(way)
     gain = F.when(F.col("effect"), F.signum("delta") * way)
     return effects.groupBy("repo_id").agg(F.max(gain).alias("up"), F.min(gain).alias("down")).select("repo_id", F.when(F.col("up") > 0, "keep").when(F.col("down") < 0, "cut_candidate").otherwise("no_movement").alias("decision"))
@@ -130,12 +142,12 @@ def upper_median(df: DataFrame, value: str, *by: str) -> DataFrame:
     return placed.groupBy(*by).agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col(value))).alias("median"), F.min(value).alias("least"), F.max(value).alias("greatest"))
 
 
-def fires_moved(old: DataFrame, new: DataFrame, keys: list[str], top: int = 40) -> DataFrame:
-    """Keys whose number of rows differs, with both counts, the ``top`` by size of change (a top-k report)."""
+def fires_moved(old: DataFrame, new: DataFrame, keys: list[str], top: int | None = 40) -> DataFrame:
+    """Keys whose number of rows differs, with both counts, the ``top`` by size of change (a top-k report), or all with None."""
     a = old.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_old"))
     b = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_new"))
     both = a.join(b, keys, "full").fillna(0, ["n_old", "n_new"]).where("n_old <> n_new")
-    return both.orderBy(F.abs(F.col("n_new") - F.col("n_old")).desc(), *keys).limit(top)
+    return both if top is None else both.orderBy(F.abs(F.col("n_new") - F.col("n_old")).desc(), *keys).limit(top)
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
@@ -174,6 +186,17 @@ def rank_auc(scored: DataFrame) -> DataFrame:
 SCORE_RANGES = 4096
 
 
+def reason_bucket(justification: Column, case_type: Column) -> Column:
+    """Why a finding was dismissed, from the reviewer's words, else from the kind of case."""
+    why = F.lower(F.coalesce(justification, F.lit("")))
+    return (
+        F.when(why.contains("pre-existing") | why.contains("preexisting"), "pre-existing")
+        .when(why.contains("not a known violation") | why.contains("known violation set"), "not-in-known-set")
+        .when(case_type.isin("compliant_probe", "clean_merged_commit"), "case-metadata")
+        .otherwise("other")
+    )
+
+
 def zero_loss(scored: DataFrame) -> DataFrame:
     """One row (threshold, n_kept, dropped_neg, n): the highest threshold that drops no positive, and what it drops; null without positives."""
     floor = scored.where("positive").agg(F.min("score").alias("threshold"))

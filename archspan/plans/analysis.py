@@ -269,13 +269,16 @@ _FPS = f""", fps AS (SELECT DISTINCT s.repo_id, s.adr_no, s.subject, s.predicate
 _PAIRS = _RULES + """, pr AS (SELECT x.repo_id, x.adr_no, x.scope AS expected, coalesce(y.scope, 'none') AS observed FROM (SELECT repo_id, adr_no, subject, predicate, object, min(scope) AS scope FROM g GROUP BY ALL) x
   LEFT JOIN (SELECT repo_id, adr_no, subject, predicate, object, min(scope) AS scope FROM s GROUP BY ALL) y USING (repo_id, adr_no, subject, predicate, object)),
 cf AS (SELECT repo_id, expected, observed, count(*) AS n FROM pr GROUP BY GROUPING SETS ((repo_id, expected, observed), (expected, observed)))"""
+_PATHS = {"ing_exact": "ingestion.exact", "ing_partial": "ingestion.partial", "ing_miss": "ingestion.miss", "ing_fp": "ingestion.false_positives", "ing_total": "ingestion.total", "presence_exact": "ingestion.class_split.presence.exact"}
+_PATHS |= {"presence_miss": "ingestion.class_split.presence.miss", "scope_exact": "ingestion.class_split.scope.exact", "scope_miss": "ingestion.class_split.scope.miss", "det_exact": "detection.exact", "det_total": "detection.total", "parse_seconds": "cost.parse_seconds"}
+_METRICS = ", ".join(m for m in _PATHS if m != "parse_seconds")
 _AT = "coalesce(payload->>'$.{p}', payload->>'$.report.{p}')"
 _CELLS = "WITH v AS (SELECT repo_id, " + ", ".join(
     [f"{_AT.format(p='arm')} AS arm", f"CAST({_AT.format(p='run_index')} AS INT) AS run_index", "written_at", "report_id"]
-    + [f"CAST({_AT.format(p=p)} AS DOUBLE) AS {m}" for m, p in {"ing_exact": "ingestion.exact", "ing_partial": "ingestion.partial", "ing_miss": "ingestion.miss", "ing_fp": "ingestion.false_positives", "det_exact": "detection.exact", "parse_seconds": "cost.parse_seconds"}.items()]
+    + [f"CAST({_AT.format(p=p)} AS DOUBLE) AS {m}" for m, p in _PATHS.items()]
 ) + """ FROM eval_reports WHERE json_valid(payload)),
-c AS (SELECT repo_id, arm, run_index, ing_exact, ing_partial, ing_miss, ing_fp, det_exact, parse_seconds FROM (SELECT DISTINCT * FROM v) QUALIFY row_number() OVER (PARTITION BY repo_id, arm, run_index ORDER BY written_at DESC, report_id DESC) = 1),
-lg AS (SELECT repo_id, arm, run_index, metric, value FROM (UNPIVOT c ON ing_exact, ing_partial, ing_miss, ing_fp, det_exact INTO NAME metric VALUE value))"""
+c AS (SELECT repo_id, arm, run_index, """ + _METRICS + """, parse_seconds FROM (SELECT DISTINCT * FROM v) QUALIFY row_number() OVER (PARTITION BY repo_id, arm, run_index ORDER BY written_at DESC, report_id DESC) = 1),
+lg AS (SELECT repo_id, arm, run_index, metric, value FROM (UNPIVOT c ON """ + _METRICS + """ INTO NAME metric VALUE value))"""
 _EFFECTS = _CELLS + """, a AS (SELECT repo_id, metric, avg(value) AS mean_on, max(value) - min(value) AS floor FROM lg WHERE arm = 'node_on' GROUP BY 1, 2),
 b AS (SELECT repo_id, metric, avg(value) AS mean_off FROM lg WHERE arm = 'node_off' GROUP BY 1, 2),
 sg AS (SELECT x.repo_id, x.metric, count(*) FILTER (x.value > y.value) AS ups, count(*) FILTER (x.value < y.value) AS downs FROM lg x JOIN lg y ON x.repo_id = y.repo_id AND x.metric = y.metric AND x.run_index = y.run_index AND x.arm = 'node_on' AND y.arm = 'node_off' GROUP BY 1, 2),
@@ -322,7 +325,7 @@ SELECT *, count(*) AS n FROM (SELECT *, 'left' AS side FROM (SELECT * FROM a EXC
 SELECT repo_id, adr_no, count(*) FILTER (ing) AS n_gold, count(*) FILTER (ins) AS n_store, count(*) FILTER (NOT ins) AS n_missing, count(*) FILTER (NOT ing) AS n_extra, count(*) FILTER (NOT ins) = 0 AND count(*) FILTER (NOT ing) = 0 AS matches FROM z GROUP BY 1, 2""",
     "arm_cells": _CELLS + " SELECT * FROM c",
     "arm_effects": _EFFECTS + " SELECT repo_id, metric, round(mean_on, 6) AS mean_on, round(mean_off, 6) AS mean_off, round(floor, 6) AS floor, round(delta, 6) AS delta, n_consistent, effect FROM ff",
-    "arm_decisions": _EFFECTS + " SELECT repo_id, CASE WHEN max(CASE WHEN effect THEN sign(delta) * CASE WHEN metric IN ('ing_miss', 'ing_fp') THEN -1 ELSE 1 END END) > 0 THEN 'keep' WHEN min(CASE WHEN effect THEN sign(delta) * CASE WHEN metric IN ('ing_miss', 'ing_fp') THEN -1 ELSE 1 END END) < 0 THEN 'cut_candidate' ELSE 'no_movement' END AS decision FROM ff GROUP BY 1",
+    "arm_decisions": _EFFECTS + " SELECT repo_id, CASE WHEN max(CASE WHEN effect THEN sign(delta) * CASE WHEN metric IN ('ing_miss', 'ing_fp', 'presence_miss', 'scope_miss') THEN -1 WHEN metric IN ('ing_total', 'det_total') THEN 0 ELSE 1 END END) > 0 THEN 'keep' WHEN min(CASE WHEN effect THEN sign(delta) * CASE WHEN metric IN ('ing_miss', 'ing_fp', 'presence_miss', 'scope_miss') THEN -1 WHEN metric IN ('ing_total', 'det_total') THEN 0 ELSE 1 END END) < 0 THEN 'cut_candidate' ELSE 'no_movement' END AS decision FROM ff GROUP BY 1",
     "arm_costs": _CELLS + " SELECT repo_id, arm, coalesce(round(avg(parse_seconds), 6), CAST('NaN' AS DOUBLE)) AS parse_seconds, count(*) AS n_runs FROM c GROUP BY 1, 2",
     "cost_medians": _CELLS + " SELECT repo_id, list_sort(list(parse_seconds))[len(list(parse_seconds)) // 2 + 1] AS median, min(parse_seconds) AS least, max(parse_seconds) AS greatest FROM c WHERE parse_seconds IS NOT NULL GROUP BY 1",
     "fp_split": dealt._SHRED

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archspan.functions import names
-from archspan.operators import model, snapshots
+from archspan.operators import grounding, model, snapshots
 from archspan.plans import dealt
 from archspan.runtime import Scratch, load
 from archspan.sources import python_code
@@ -48,9 +48,7 @@ def changed_scopes(spark: SparkSession, sf_dir: str, days: int | None = 10) -> D
     if days is not None:
         end = late.agg(F.max("recorded_at").alias("end"))
         late = late.crossJoin(F.broadcast(end)).where(F.col("recorded_at") >= F.col("end") - F.expr(f"INTERVAL {days} DAYS"))
-    late = late.select("repo_id", names.base(F.trim("subject")).alias("top")).where("length(top) > 0").distinct()
-    up = n.select("repo_id", "fqn", F.explode(names.ancestors("fqn")).alias("top"))
-    return up.join(late, ["repo_id", "top"], "left_semi").select("repo_id", "fqn").distinct()
+    return grounding.scopes_under(n, late.select("repo_id", names.base(F.trim("subject")).alias("top")))
 
 
 def all_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,13 @@ def guard_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_by(guards.where("kwarg IS NOT NULL").select("repo_id", "kwarg", reviews.bound_field("kwarg").alias("field")), "repo_id", "kwarg", "field")
 
 
+def dismissal_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule lines by repository and the bucket of their justification."""
+    lines = load(spark, sf_dir, "wire_records").where("family = 'constraint'")
+    why = F.coalesce(F.get_json_object("payload", "$.justification"), F.get_json_object("payload", "$.rationale"))
+    return count_by(lines.select("repo_id", scoring.reason_bucket(why, F.lit(None).cast("string")).alias("bucket")), "repo_id", "bucket")
+
+
 def arm_case_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean seconds per case over all cases of an arm's runs, each run counted once by its last report."""
     tables = shredding.flat_tables(load(spark, sf_dir, "eval_reports"), Scratch(spark, "costs"))
@@ -150,7 +157,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         *(check_snapshots, check_dismissals, check_open, update_summary, scope_candidates, diff_names, diff_renames, fire_classes, gold_expansion),
-        *(provenance_classes, zero_loss, wire_rules_parsed, guard_fields, arm_case_costs),
+        *(provenance_classes, zero_loss, wire_rules_parsed, guard_fields, dismissal_reasons, arm_case_costs),
     )
 }
 
@@ -208,6 +215,8 @@ SELECT constraint_id, subject_grounded, object_grounded, CASE WHEN subject_groun
     "wire_rules_parsed": r"""WITH w AS (SELECT stream_id, file_no, json_extract_string(payload, '$.subject') AS s, json_extract_string(payload, '$.predicate') AS p, json_extract_string(payload, '$.object') AS o, json_extract_string(payload, '$.scope') AS c, json_valid(payload) AND starts_with(ltrim(payload), '{') AS ok FROM wire_records WHERE family = 'constraint')
 SELECT stream_id, file_no, CASE WHEN c = 'tooling' THEN 'tooling' ELSE 'runtime' END AS scope, CASE WHEN NOT ok THEN 'not_an_object' WHEN coalesce(s, '') = '' OR coalesce(o, '') = '' THEN 'missing_subject_or_object' WHEN coalesce(p, '') NOT IN ('prohibits_dependency', 'prohibits_implementation', 'requires_dependency', 'requires_implementation', 'requires_object_scope') THEN 'unknown_predicate'
 WHEN c = 'none' THEN 'none_scope' WHEN s = o THEN 'self_loop' ELSE '' END AS dropped, coalesce(c = 'none', false) AND ok AND coalesce(s, '') <> '' AND coalesce(o, '') <> '' AND coalesce(p, '') IN ('prohibits_dependency', 'prohibits_implementation', 'requires_dependency', 'requires_implementation', 'requires_object_scope') AS audited, count(*) AS n FROM w GROUP BY ALL""",
+    "dismissal_reasons": """SELECT repo_id, CASE WHEN contains(w, 'pre-existing') OR contains(w, 'preexisting') THEN 'pre-existing' WHEN contains(w, 'not a known violation') OR contains(w, 'known violation set') THEN 'not-in-known-set' ELSE 'other' END AS bucket, count(*) AS n
+FROM (SELECT repo_id, lower(coalesce(json_extract_string(payload, '$.justification'), json_extract_string(payload, '$.rationale'), '')) AS w FROM wire_records WHERE family = 'constraint') GROUP BY 1, 2""",
     "guard_fields": f"""WITH k AS (SELECT repo_id, replace(split_part(g.predicate, ' ', 1), '.', '__') AS kwarg FROM (SELECT repo_id, unnest(guards) AS g FROM fqn_nodes))
 SELECT repo_id, kwarg, coalesce(list_filter(list_reverse(string_split(kwarg, '__')), lambda x: lower(x) NOT IN ({_LOOKUPS}))[1], string_split(kwarg, '__')[1]) AS field, count(*) AS n FROM k WHERE kwarg IS NOT NULL GROUP BY ALL""",
     "arm_case_costs": dealt._SHRED

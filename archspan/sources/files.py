@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from archspan.runtime import count_by
 
 GOLD_SCHEMA = "adr_id string, adr_path string, note string, constraints array<struct<subject:string,predicate:string,object:string,justification:string,scope:string>>"
-TRACE_SCHEMA = "adr_id string, edges array<struct<subject:string,object:string,predicate:string,scope:string>>, hit_cap boolean, parse_failed boolean, wall_seconds double"
+_EDGE = "struct<subject:string,object:string,predicate:string,scope:string>"
+TRACE_SCHEMA = (
+    "adr_id string, edges array<struct<subject:string,object:string,predicate:string,scope:string,provenance:struct<subject:array<string>,object:array<string>>>>, hit_cap boolean, parse_failed boolean, wall_seconds double, "
+    f"parse_dropped array<struct<reason:string,item:string>>, none_verdict_edges array<{_EDGE}>, pre_validation_edges array<{_EDGE}>, usage map<string,bigint>, tool_calls array<struct<name:string,arguments:string,result_fqns:array<string>>>"
+)
 #: Files of tests: below a folder tests or test, or test_*.py and *_test.py.
 TESTS = r"(^|/)tests?/|(^|/)(test_[^/]*|[^/]*_test\.py)$"
 

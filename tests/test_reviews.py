@@ -85,3 +85,36 @@ def test_zero_loss_and_auc(spark, monkeypatch):
     for ranges in (4096, 2):
         monkeypatch.setattr(scoring, "SCORE_RANGES", ranges)
         assert scoring.rank_auc(scored).first().auc == (3.5 + 4) / 8
+
+
+def test_json_in_answers(spark):
+    from archspan.functions import text
+
+    answers = {
+        "Here:\n```json\n[1, 2]\n```\nbye": "[1, 2]",
+        'So {"a": [1]} it is': "[1]",
+        'So {"a": {"b": 1}} and {"c": 2}': '{"a": {"b": 1}}',
+        "[1, [2]": "[1, [2]",
+        " none ": "none",
+        "": "",
+    }
+    df = spark.createDataFrame([(a,) for a in answers] + [(None,)], "a string")
+    got = {r.a: r.j for r in df.select("a", text.extract_json("a").alias("j")).collect()}
+    assert got == answers | {None: None}
+
+
+def test_page_sizes_can_be_lifted(spark, scratch):
+    from archspan.operators import grounding, model
+
+    nodes = spark.createDataFrame([("r", "m", "module"), *(("r", f"m.f{i:03}", "function") for i in range(200))], "repo_id string, fqn string, kind string")
+    edges = spark.createDataFrame([("r", "m", f"m.f{i:03}", "CONTAINS", i) for i in range(200)], "repo_id string, source string, target string, kind string, ord bigint")
+    assert model.children(edges, nodes).count() == 150 and model.children(edges, nodes, None).count() == 200
+    q = spark.createDataFrame([(1, "r", "f1"), (2, "r", "m.f")], "query_id int, repo_id string, query string")
+    found = grounding.name_search(q, nodes, scratch, None).groupBy("query_id").agg(F.count("fqn").alias("n"), F.max("truncated").alias("t")).collect()
+    assert {r.query_id: (r.n, r.t) for r in found} == {1: (100, False), 2: (200, False)}
+
+
+def test_reason_buckets(spark):
+    data = [("It was Pre-Existing", None), ("not a known violation here", "x"), (None, "compliant_probe"), ("", "injected"), ("preexisting", "compliant_probe")]
+    got = spark.createDataFrame(data, "w string, c string").select(scoring.reason_bucket(F.col("w"), F.col("c")).alias("b")).collect()
+    assert [r.b for r in got] == ["pre-existing", "not-in-known-set", "case-metadata", "other", "pre-existing"]
