@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import io
+import re
 import tokenize
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archspan.functions import names
+from archspan.operators import grounding
 from archspan.runtime import spread
 
 FACTS = "file_id bigint, repo_id string, module string, fact string, owner string, name string, kind string, line_start int, line_end int"
@@ -31,13 +33,19 @@ def _text(node: ast.AST) -> str | None:
     return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
 
 
-def _facts(tree: ast.Module, module: str, package: bool) -> Iterator[tuple]:
-    """(fact, owner, name, kind, first line, last line) in document order."""
+def _facts(tree: ast.Module, module: str, package: bool, lines: list[str]) -> Iterator[tuple]:
+    """(fact, owner, name, kind, first line, last line) in document order.
+
+    The owner of a call is the definition around it. A call on self, cls or a name that the function around
+    it assigns is of kind ``shadowed``, as its first name tells nothing.
+    """
     yield "def", module, module, "module", 1, max([1, *(getattr(n, "end_lineno", 1) or 1 for n in tree.body)])
-    stack = [(child, module, "module") for child in reversed(tree.body)]
+    stack = [(child, module, "module", "") for child in reversed(tree.body)]
     while stack:
-        node, owner, above = stack.pop()
+        node, owner, above, scope = stack.pop()
         inner, kind = owner, above
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            scope = "\n".join(lines[node.lineno - 1 : node.end_lineno])
         if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
             kind = "class" if isinstance(node, ast.ClassDef) else "method" if above == "class" else "function"
             inner = f"{owner}.{node.name}"
@@ -54,8 +62,11 @@ def _facts(tree: ast.Module, module: str, package: bool) -> Iterator[tuple]:
             for a in node.names:
                 yield "import", module, f"{base}.{a.name}" if base else a.name, a.asname or a.name, node.lineno, node.lineno
         elif isinstance(node, ast.Call) and _text(node.func):
-            yield "call", owner, _text(node.func), "", node.lineno, node.lineno
-        stack.extend((child, inner, kind if inner != owner else above) for child in reversed(list(ast.iter_child_nodes(node))))
+            name = _text(node.func)
+            root = name.split(".")[0]
+            hidden = root in ("self", "cls") or re.search(rf"\b{re.escape(root)}\s*=(?!=)", scope)
+            yield "call", owner, name, "shadowed" if hidden else "", node.lineno, node.lineno
+        stack.extend((child, inner, kind if inner != owner else above, scope) for child in reversed(list(ast.iter_child_nodes(node))))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,10 +75,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for r in batch.to_pylist():
             try:
-                tree = ast.parse((r["content"] or "").lstrip("﻿"))
+                text = (r["content"] or "").lstrip("\ufeff")
+                tree = ast.parse(text)
             except (SyntaxError, ValueError, RecursionError, MemoryError):
                 continue
-            rows += [(r["file_id"], r["repo_id"], r["module"], *f) for f in _facts(tree, r["module"], bool(r["package"]))]
+            rows += [(r["file_id"], r["repo_id"], r["module"], *f) for f in _facts(tree, r["module"], bool(r["package"]), text.splitlines())]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
@@ -91,26 +103,36 @@ def code_edges(facts: DataFrame) -> DataFrame:
     """(repo_id, source, target, kind) of CONTAINS, IMPORTS, INHERITS and CALLS, distinct.
 
     An import names the imported member where that is defined in the repository,
-    else its module if that is, else itself. Bases and calls resolve through the
-    module's imports and its own definitions, and calls only to defined names.
+    else its module if that is, else itself. Calls and bases resolve by the suffix index
+    of the repository's names (itself, else fewest parts, else least). A dotted call
+    that doesn't is taken for its first name, unless that is shadowed; a base that doesn't
+    goes through the module's imports. What resolves to nothing is no edge.
     """
-    known = definitions(facts).select("repo_id", F.col("fqn").alias("known")).distinct()
+    defined = definitions(facts).select("repo_id", "fqn").distinct()
+    known = defined.withColumnRenamed("fqn", "known")
     contains = facts.where("fact = 'def' AND owner <> name").select("repo_id", F.col("owner").alias("source"), F.col("name").alias("target"), F.lit("CONTAINS").alias("kind"))
     up = definitions(facts).where("kind = 'module'").select("repo_id", names.parent("fqn").alias("source"), F.col("fqn").alias("target"), F.lit("CONTAINS").alias("kind"))
     packages = up.join(known.withColumnRenamed("known", "source"), ["repo_id", "source"], "left_semi")
     imported = facts.where("fact = 'import'").select("repo_id", "module", "name", F.col("kind").alias("alias"), names.parent("name").alias("above"))
     a = known.withColumnRenamed("known", "name").withColumn("full", F.col("name"))
     b = known.withColumnRenamed("known", "above").withColumn("part", F.col("above"))
-    resolved = imported.join(a, ["repo_id", "name"], "left").join(b, ["repo_id", "above"], "left").withColumn("target", F.coalesce("full", "part", "name"))
-    imports = resolved.select("repo_id", F.col("module").alias("source"), "target", F.lit("IMPORTS").alias("kind"))
-    uses = facts.where("fact IN ('base', 'call')").select("repo_id", "module", "fact", "owner", "name", F.substring_index("name", ".", 1).alias("alias"))
-    rest = F.when(F.col("name") == F.col("alias"), "").otherwise(F.expr("substring(name, length(alias) + 1)"))
-    via = uses.join(resolved.select("repo_id", "module", "alias", F.coalesce("full", "name").alias("root")).distinct(), ["repo_id", "module", "alias"], "left")
-    full = F.when(F.col("root").isNotNull(), F.concat("root", rest)).otherwise(F.concat("module", F.lit("."), F.col("name")))
-    named = via.withColumn("target", full).join(known.withColumnRenamed("known", "target").withColumn("own", F.lit(True)), ["repo_id", "target"], "left")
-    calls = named.where("fact = 'call' AND own").select("repo_id", F.col("owner").alias("source"), "target", F.lit("CALLS").alias("kind"))
-    bases = named.where("fact = 'base' AND (own OR root IS NOT NULL)").select("repo_id", F.col("owner").alias("source"), "target", F.lit("INHERITS").alias("kind"))
-    return contains.unionByName(packages).unionByName(imports).unionByName(bases).unionByName(calls).distinct()
+    resolved = imported.join(a, ["repo_id", "name"], "left").join(b, ["repo_id", "above"], "left")
+    imports = resolved.select("repo_id", F.col("module").alias("source"), F.coalesce("full", "part", "name").alias("target"), F.lit("IMPORTS").alias("kind"))
+
+    first = F.substring_index("name", ".", 1)
+    uses = facts.where("fact IN ('base', 'call')").select("repo_id", "module", "fact", "owner", "name", "kind", first.alias("root"))
+    asked = uses.select("repo_id", F.explode(F.array("name", "root")).alias("text")).distinct()
+    by_suffix = grounding.resolve_suffix(asked, defined).select("repo_id", "text", "fqn")
+    named = uses.join(by_suffix.select("repo_id", F.col("text").alias("name"), F.col("fqn").alias("whole")), ["repo_id", "name"], "left")
+    calls = named.where("fact = 'call'").join(by_suffix.select("repo_id", F.col("text").alias("root"), F.col("fqn").alias("of_root")), ["repo_id", "root"], "left")
+    target = F.coalesce("whole", F.when((F.col("name") != F.col("root")) & (F.col("kind") != "shadowed"), F.col("of_root")))
+    called = calls.select("repo_id", F.col("owner").alias("source"), target.alias("target"), F.lit("CALLS").alias("kind")).where("target IS NOT NULL")
+    aliases = imported.select("repo_id", "module", F.col("alias").alias("root"), F.when(F.col("alias") == F.substring_index("name", ".", 1), F.when(F.col("above").isNull() | (names.last_part("name") != F.col("alias")), F.col("alias")).otherwise(F.col("name"))).otherwise(F.col("name")).alias("bound"))
+    aliases = aliases.groupBy("repo_id", "module", "root").agg(F.min("bound").alias("bound"))
+    rest = F.when(F.col("name") == F.col("root"), "").otherwise(F.expr("substring(name, length(root) + 1)"))
+    bases = named.where("fact = 'base'").join(aliases, ["repo_id", "module", "root"], "left")
+    inherited = bases.select("repo_id", F.col("owner").alias("source"), F.coalesce("whole", F.concat("bound", rest)).alias("target"), F.lit("INHERITS").alias("kind")).where("target IS NOT NULL")
+    return contains.unionByName(packages).unionByName(imports).unionByName(inherited).unionByName(called).distinct()
 
 
 def _hashes(content: str, module: str) -> Iterator[tuple[str, str]]:

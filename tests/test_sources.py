@@ -88,6 +88,18 @@ def test_python_code(spark):
     assert python_code.code_edges(python_code.code_facts(df.limit(0))).count() == 0
 
 
+def test_calls_resolve_by_suffix(spark):
+    files = {
+        "a/user.py": "class User(models.Model):\n    def find(self):\n        pass\n",
+        "b/user.py": "class Admin:\n    def len(self):\n        pass\n",
+        "c.py": "from x.db import models\nimport y.z as q\n\nclass K(models.Base, q.T):\n    pass\n\ndef go():\n    User.objects.create()\n    User.find()\n    len([])\n    unknown.thing()\n\ndef hidden():\n    User = other()\n    User.objects.create()\n",
+    }
+    df = spark.createDataFrame([(i, "r", p, c) for i, (p, c) in enumerate(files.items())], CODE_FILES)
+    edges = {(r.source, r.target, r.kind) for r in python_code.code_edges(python_code.code_facts(df)).collect()}
+    assert {e for e in edges if e[2] == "CALLS"} == {("c.go", "a.user.User", "CALLS"), ("c.go", "a.user.User.find", "CALLS")}
+    assert {e for e in edges if e[2] == "INHERITS"} == {("c.K", "x.db.models.Base", "INHERITS"), ("c.K", "y.z.T", "INHERITS")}
+
+
 CODE_FILES = "file_id bigint, repo_id string, file_path string, content string"
 
 
