@@ -39,55 +39,60 @@ def dropped_links(links: DataFrame) -> DataFrame:
 
 
 def numbered(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, parent, repo_id, fqn): nodes at either end of a link, with written ids; parent is null at a root."""
+    """(id, parent, repo_id, fqn, parent_fqn): nodes at either end of a link, with written ids; parent is null at a root."""
     ends = links.select("repo_id", F.explode(F.array("fqn", "parent")).alias("fqn")).distinct()
     ids = scratch.cut(ends.withColumn("id", F.monotonically_increasing_id()))
-    parents = ids.select("repo_id", F.col("fqn").alias("parent"), F.col("id").alias("parent_id"))
-    withp = ids.join(_kept(links), ["repo_id", "fqn"], "left").join(parents, ["repo_id", "parent"], "left")
-    return scratch.cut(withp.select("id", F.col("parent_id").alias("parent"), "repo_id", "fqn"))
+    parents = ids.select("repo_id", F.col("fqn").alias("parent_fqn"), F.col("id").alias("parent"))
+    withp = ids.join(_kept(links).withColumnRenamed("parent", "parent_fqn"), ["repo_id", "fqn"], "left").join(parents, ["repo_id", "parent_fqn"], "left")
+    return scratch.cut(withp.select("id", "parent", "repo_id", "fqn", "parent_fqn"))
 
 
-def _upward(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, ptr, size): ptr is null where the node's root was reached, size is then the size of the subtree.
+def _upward(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, size) of every node that has anything below it, and the ids of unprocessed nodes.
 
-    In round k ``ptr`` is the ancestor 2^k links up (null above a root) and ``size``
-    counts the subtree down to 2^k - 1 links; adding the sizes of the nodes that
-    point at a node doubles its reach. A round in which no further node reaches its
-    root ends the loop: all that is left circles.
+    In round k the open nodes are those whose ancestor 2^k links up exists (``ptr``), and
+    ``size`` counts their subtree down to 2^k - 1 links; adding the sizes of the nodes
+    that point at a node doubles its reach. A node whose pointer is not open itself
+    comes past its root and is done; what it gains later is only noted. A round in
+    which no node gets done ends the loop: all that is left circles.
     """
-    open_ = F.col("ptr").isNotNull()
-    state, left = scratch.cut_counting(nodes.select("id", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("size")), open_)
+    state, left = scratch.cut_counting(nodes.where(F.col("parent").isNotNull()).select("id", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("size")), F.lit(True))
+    gains = []
     while left:
-        gained = state.where(open_).groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain"))
-        far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
-        jumped = state.where(open_).join(far, "ptr").select("id", F.col("ptr2").alias("ptr"), "size")
-        grown = state.where(~open_).unionByName(jumped).join(gained, "id", "left").select("id", "ptr", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
-        new, now = scratch.cut_counting(grown, open_)
+        gained = scratch.cut(state.groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain")))
+        gains.append(gained)
+        jumped = state.join(state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2")), "ptr").select("id", F.col("ptr2").alias("ptr"), "size")
+        grown = jumped.join(gained, "id", "left").select("id", "ptr", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
+        new, now = scratch.cut_counting(grown, F.lit(True))
         scratch.drop(state)
         state = new
         if now == left:
             break
         left = now
-    return state
+    noted = gains[0] if gains else nodes.select("id", F.lit(0).cast("bigint").alias("gain")).where("false")
+    for more in gains[1:]:
+        noted = noted.unionByName(more)
+    return noted.groupBy("id").agg((F.sum("gain") + 1).alias("size")), state.select("id")
 
 
 def _offsets(placed: DataFrame) -> DataFrame:
-    """(id, parent, offset): size of the siblings before a node, by a two-level prefix sum.
+    """(id, offset): size of the siblings before a node, by a two-level prefix sum.
 
-    Siblings are dealt into blocks by hash; block sums are prefixed per parent and
-    sizes within a block, so a parent with a third of all nodes fills many tasks.
+    The siblings of a parent that has very many are dealt into blocks by hash; block sums are
+    prefixed per parent and sizes within a block, so a parent with a third of all nodes fills many tasks.
     """
-    kids = placed.where(F.col("parent").isNotNull())
-    blocks = kids.groupBy("parent").agg(F.ceil(F.count(F.lit(1)) / SIBLINGS_PER_BLOCK).alias("n_blocks"))
-    dealt = kids.select("id", "parent", "size").join(blocks, "parent").withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks"))
-    sums = dealt.groupBy("parent", "block").agg(F.sum("size").alias("block_size"))
-    prefix = sums.withColumn("base", F.coalesce(F.sum("block_size").over(W.partitionBy("parent").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("block_size")
-    within = F.coalesce(F.sum("size").over(W.partitionBy("parent", "block").orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("within", within).join(prefix, ["parent", "block"]).select("id", "parent", (F.col("base") + F.col("within")).alias("offset"))
+    kids = placed.where(F.col("parent").isNotNull()).select("id", "parent", "size")
+    many = kids.groupBy("parent").agg(F.ceil(F.count(F.lit(1)) / SIBLINGS_PER_BLOCK).alias("n_blocks")).where("n_blocks > 1")
+    dealt = kids.join(many, "parent", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("n_blocks")), F.lit(0)))
+    sums = dealt.where("n_blocks > 1").groupBy("parent", "block").agg(F.sum("size").alias("block_size"))
+    prefix = sums.select("parent", "block", F.sum("block_size").over(W.partitionBy("parent").orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("base"))
+    within = F.sum("size").over(W.partitionBy("parent", "block").orderBy("id").rowsBetween(W.unboundedPreceding, -1))
+    whole = dealt.withColumn("within", within).join(prefix, ["parent", "block"], "left")
+    return whole.select("id", (F.coalesce("base", F.lit(0)) + F.coalesce("within", F.lit(0))).alias("offset"))
 
 
 def _downward(placed: DataFrame, scratch: Scratch, paths: bool) -> DataFrame:
-    """(id, lft, depth, root, path): preorder position within the tree, links up to the root, the root's FQN and, if asked, the names on the way.
+    """(id, size, lft, depth, root, path): preorder position within the tree, links up to the root, the root's FQN and, if asked, the names on the way.
 
     lft is the sum of 1 + offset over the links up to the root. Each round writes
     only the nodes that are still on their way; those that arrived stay where they are.
@@ -95,13 +100,13 @@ def _downward(placed: DataFrame, scratch: Scratch, paths: bool) -> DataFrame:
     open_ = F.col("ptr").isNotNull()
     top = F.col("parent").isNull()
     path = F.array("fqn") if paths else F.lit(None).cast("array<string>")
-    begin = placed.join(_offsets(placed).select("id", "offset"), "id", "left")
-    start = begin.select("id", F.col("parent").alias("ptr"), F.when(top, F.lit(0).cast("bigint")).otherwise(F.col("offset") + 1).alias("lft"), F.when(top, 0).otherwise(1).alias("depth"), F.when(top, F.col("fqn")).alias("root"), path.alias("path"))
+    begin = placed.join(_offsets(placed), "id", "left")
+    start = begin.select("id", "size", F.col("parent").alias("ptr"), F.when(top, F.lit(0).cast("bigint")).otherwise(F.col("offset") + 1).alias("lft"), F.when(top, 0).otherwise(1).alias("depth"), F.when(top, F.col("fqn")).alias("root"), path.alias("path"))
     last, left = scratch.cut_counting(start, open_)
     done = last.where(~open_)
     while left:
         far = done.unionByName(last.where(open_)).select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("lft").alias("lft2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"), F.col("path").alias("path2"))
-        moved = last.where(open_).join(far, "ptr").select("id", F.col("ptr2").alias("ptr"), (F.col("lft") + F.col("lft2")).alias("lft"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("root2").alias("root"), F.concat("path2", "path").alias("path"))
+        moved = last.where(open_).join(far, "ptr").select("id", "size", F.col("ptr2").alias("ptr"), (F.col("lft") + F.col("lft2")).alias("lft"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("root2").alias("root"), F.concat("path2", "path").alias("path"))
         last, left = scratch.cut_counting(moved, open_)
         done = done.unionByName(last.where(~open_))
     return done.drop("ptr")
@@ -119,13 +124,14 @@ def hierarchy(links: DataFrame, scratch: Scratch, paths: bool = False) -> DataFr
     give an empty table.
     """
     nodes = numbered(links, scratch)
-    sizes = _upward(nodes, scratch)
-    placed = scratch.cut(nodes.select("id", "parent", "fqn").join(sizes.where(F.col("ptr").isNull()).drop("ptr"), "id"))
+    sizes, stuck = _upward(nodes, scratch)
+    kept = nodes.join(stuck, "id", "left_anti") if stuck.head(1) else nodes
+    placed = scratch.cut(kept.select("id", "parent", "fqn").join(sizes, "id", "left").fillna(1, ["size"]))
     order = _downward(placed, scratch, paths)
-    known = placed.select("id", "size").join(order, "id").select("id", "root", "depth", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_descendants"), F.lit(False).alias("on_cycle"), "path")
-    lost = sizes.where(F.col("ptr").isNotNull()).select("id", F.lit("").alias("root"), F.lit(-1).alias("depth"), *[F.lit(None).cast("bigint").alias(c) for c in ("lft", "rgt", "n_descendants")], F.lit(True).alias("on_cycle"), F.lit(None).cast("array<string>").alias("path"))
-    above = _kept(links)
-    return nodes.select("id", "repo_id", "fqn").join(known.unionByName(lost), "id").join(above, ["repo_id", "fqn"], "left").select("repo_id", "fqn", "parent", "root", "depth", "lft", "rgt", "n_descendants", "on_cycle", "path")
+    known = order.select("id", "root", "depth", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_descendants"), F.lit(False).alias("on_cycle"), "path")
+    lost = stuck.select("id", F.lit("").alias("root"), F.lit(-1).alias("depth"), *[F.lit(None).cast("bigint").alias(c) for c in ("lft", "rgt", "n_descendants")], F.lit(True).alias("on_cycle"), F.lit(None).cast("array<string>").alias("path"))
+    named = nodes.select("id", "repo_id", "fqn", F.col("parent_fqn").alias("parent"))
+    return named.join(known.unionByName(lost), "id").select("repo_id", "fqn", "parent", "root", "depth", "lft", "rgt", "n_descendants", "on_cycle", "path")
 
 
 def descendant_pairs(tree: DataFrame) -> DataFrame:
