@@ -90,12 +90,19 @@ def scopes_under(nodes: DataFrame, prefixes: DataFrame) -> DataFrame:
     return up.join(prefixes.where(F.length("top") > 0).select("repo_id", "top").distinct(), ["repo_id", "top"], "left_semi").select("repo_id", "fqn").distinct()
 
 
-def externalised(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
-    """(repo_id, fqn, kind, role): placeholders for import targets and rule ends that no node names; patterns count as their base."""
+def externalised(nodes: DataFrame, edges: DataFrame, rules: DataFrame, dev_packages: DataFrame | None = None) -> DataFrame:
+    """(repo_id, fqn, kind, role): placeholders for import targets and rule ends that no node names; patterns count as their base.
+
+    A development tool is one of the known tools, or of the repository's own ``dev_packages`` (repo_id, package).
+    """
     ends = rules.select("repo_id", F.explode(F.array("subject", "object")).alias("fqn")).select("repo_id", names.base("fqn").alias("fqn"))
     used = edges.where(F.col("kind") == "IMPORTS").select("repo_id", names.base("target").alias("fqn")).unionByName(ends).where(F.length("fqn") > 0).distinct()
-    role = F.when(F.substring_index("fqn", ".", 1).isin(*DEV_TOOLS), "dev_tool").otherwise("unknown")
-    return used.join(nodes.select("repo_id", "fqn").distinct(), ["repo_id", "fqn"], "left_anti").select("repo_id", "fqn", F.lit("external").alias("kind"), role.alias("role"))
+    outside = used.join(nodes.select("repo_id", "fqn").distinct(), ["repo_id", "fqn"], "left_anti").withColumn("package", F.substring_index("fqn", ".", 1))
+    tool = F.col("package").isin(*DEV_TOOLS)
+    if dev_packages is not None:
+        outside = outside.join(dev_packages.select("repo_id", "package", F.lit(True).alias("_own")).distinct(), ["repo_id", "package"], "left")
+        tool = tool | F.coalesce("_own", F.lit(False))
+    return outside.select("repo_id", "fqn", F.lit("external").alias("kind"), F.when(tool, "dev_tool").otherwise("unknown").alias("role"))
 
 
 def materialised(rules: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -118,3 +118,21 @@ def test_reason_buckets(spark):
     data = [("It was Pre-Existing", None), ("not a known violation here", "x"), (None, "compliant_probe"), ("", "injected"), ("preexisting", "compliant_probe")]
     got = spark.createDataFrame(data, "w string, c string").select(scoring.reason_bucket(F.col("w"), F.col("c")).alias("b")).collect()
     assert [r.b for r in got] == ["pre-existing", "not-in-known-set", "case-metadata", "other", "pre-existing"]
+
+
+def test_dev_packages(spark, tmp_path):
+    from archspan.operators import grounding
+    from archspan.sources import dependencies
+
+    toml = '[project.optional-dependencies]\ndev = ["Fake-Lint>=2", "x.y"]\nweb = ["flask"]\n'
+    cfg = "[options.extras_require]\ntest =\n    py-thing ==1\n    other\nweb = django\n"
+    configs = spark.createDataFrame([("a", "pyproject.toml", toml), ("a", "setup.cfg", cfg), ("b", "sub/setup.cfg", cfg), ("b", "pyproject.toml", "[project]\nname='b'\n"), ("c", "pyproject.toml", "broken ["), ("d", "setup.cfg", None)], "repo_id string, file_path string, content string")
+    own = dependencies.dev_packages(configs)
+    assert rows(own) == [("a", "fake_lint"), ("a", "x_y"), ("b", "other"), ("b", "py_thing")]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "pyproject.toml").write_text(toml)
+    assert dependencies.read_configs(spark, str(tmp_path)).count() == 1
+    edges = spark.createDataFrame([("a", "m", "fake_lint.core", "IMPORTS"), ("b", "m", "fake_lint.core", "IMPORTS"), ("b", "m", "pytest", "IMPORTS")], "repo_id string, source string, target string, kind string")
+    nodes = spark.createDataFrame([("a", "m"), ("b", "m")], "repo_id string, fqn string")
+    rules = spark.createDataFrame([], "repo_id string, subject string, object string")
+    assert rows(grounding.externalised(nodes, edges, rules, own)) == [("a", "fake_lint.core", "external", "dev_tool"), ("b", "fake_lint.core", "external", "unknown"), ("b", "pytest", "external", "dev_tool")]
