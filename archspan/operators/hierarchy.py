@@ -16,17 +16,23 @@ from pyspark.sql import Window as W
 
 from archspan.runtime import Scratch
 
+#: Open nodes of a round (some 50 bytes each) are broadcast up to this number, so that a round near the end shuffles no finished nodes.
+BROADCAST_NODES = 100_000
 #: Siblings per prefix-sum block, about; a parent with more children is split into blocks.
 SIBLINGS_PER_BLOCK = 4096
 
 
 def contains_links(edges: DataFrame) -> DataFrame:
-    """(repo_id, parent, fqn) of CONTAINS edges (kind without case and outer blanks), distinct.
+    """(repo_id, parent, fqn) of CONTAINS edges (kind without case and outer blanks), as often as they are there.
 
     Rows with a null repo_id, source or target are ignored.
     """
     kind = F.lower(F.trim("kind")) == "contains"
-    return edges.where(kind).select("repo_id", F.col("source").alias("parent"), F.col("target").alias("fqn")).dropna().distinct()
+    return edges.where(kind).select("repo_id", F.col("source").alias("parent"), F.col("target").alias("fqn")).dropna()
+
+
+def _near(df: DataFrame, n: int, broadcast_nodes: int) -> DataFrame:
+    return F.broadcast(df) if n <= broadcast_nodes else df
 
 
 def _kept(links: DataFrame) -> DataFrame:
@@ -47,7 +53,7 @@ def numbered(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(withp.select("id", "parent", "repo_id", "fqn", "parent_fqn"))
 
 
-def _upward(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _upward(nodes: DataFrame, scratch: Scratch, broadcast_nodes: int) -> tuple[DataFrame, DataFrame]:
     """(id, size) of every node that has anything below it, and the ids of unprocessed nodes.
 
     In round k the open nodes are those whose ancestor 2^k links up exists (``ptr``), and
@@ -61,8 +67,9 @@ def _upward(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     while left:
         gained = scratch.cut(state.groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain")))
         gains.append(gained)
-        jumped = state.join(state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2")), "ptr").select("id", F.col("ptr2").alias("ptr"), "size")
-        grown = jumped.join(gained, "id", "left").select("id", "ptr", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
+        far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
+        jumped = state.join(_near(far, left, broadcast_nodes), "ptr").select("id", F.col("ptr2").alias("ptr"), "size")
+        grown = jumped.join(_near(gained, left, broadcast_nodes), "id", "left").select("id", "ptr", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
         new, now = scratch.cut_counting(grown, F.lit(True))
         scratch.drop(state)
         state = new
@@ -91,7 +98,7 @@ def _offsets(placed: DataFrame) -> DataFrame:
     return whole.select("id", (F.coalesce("base", F.lit(0)) + F.coalesce("within", F.lit(0))).alias("offset"))
 
 
-def _downward(placed: DataFrame, scratch: Scratch, paths: bool) -> DataFrame:
+def _downward(placed: DataFrame, scratch: Scratch, paths: bool, broadcast_nodes: int) -> DataFrame:
     """(id, size, lft, depth, root, path): preorder position within the tree, links up to the root, the root's FQN and, if asked, the names on the way.
 
     lft is the sum of 1 + offset over the links up to the root. Each round writes
@@ -106,13 +113,13 @@ def _downward(placed: DataFrame, scratch: Scratch, paths: bool) -> DataFrame:
     done = last.where(~open_)
     while left:
         far = done.unionByName(last.where(open_)).select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("lft").alias("lft2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"), F.col("path").alias("path2"))
-        moved = last.where(open_).join(far, "ptr").select("id", "size", F.col("ptr2").alias("ptr"), (F.col("lft") + F.col("lft2")).alias("lft"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("root2").alias("root"), F.concat("path2", "path").alias("path"))
+        moved = _near(last.where(open_), left, 0 if paths else broadcast_nodes).join(far, "ptr").select("id", "size", F.col("ptr2").alias("ptr"), (F.col("lft") + F.col("lft2")).alias("lft"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("root2").alias("root"), F.concat("path2", "path").alias("path"))
         last, left = scratch.cut_counting(moved, open_)
         done = done.unionByName(last.where(~open_))
     return done.drop("ptr")
 
 
-def hierarchy(links: DataFrame, scratch: Scratch, paths: bool = False) -> DataFrame:
+def hierarchy(links: DataFrame, scratch: Scratch, paths: bool = False, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """(repo_id, fqn, parent, root, depth, lft, rgt, n_descendants, on_cycle, path) per FQN at either end of a link.
 
     lft is the preorder position in the node's tree and rgt the last position below
@@ -124,10 +131,10 @@ def hierarchy(links: DataFrame, scratch: Scratch, paths: bool = False) -> DataFr
     give an empty table.
     """
     nodes = numbered(links, scratch)
-    sizes, stuck = _upward(nodes, scratch)
+    sizes, stuck = _upward(nodes, scratch, broadcast_nodes)
     kept = nodes.join(stuck, "id", "left_anti") if stuck.head(1) else nodes
     placed = scratch.cut(kept.select("id", "parent", "fqn").join(sizes, "id", "left").fillna(1, ["size"]))
-    order = _downward(placed, scratch, paths)
+    order = _downward(placed, scratch, paths, broadcast_nodes)
     known = order.select("id", "root", "depth", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_descendants"), F.lit(False).alias("on_cycle"), "path")
     lost = stuck.select("id", F.lit("").alias("root"), F.lit(-1).alias("depth"), *[F.lit(None).cast("bigint").alias(c) for c in ("lft", "rgt", "n_descendants")], F.lit(True).alias("on_cycle"), F.lit(None).cast("array<string>").alias("path"))
     named = nodes.select("id", "repo_id", "fqn", F.col("parent_fqn").alias("parent"))

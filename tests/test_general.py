@@ -162,6 +162,8 @@ def test_hierarchy_random(spark, scratch, seed):
     assert {(r.parent, r.fqn) for r in hierarchy.dropped_links(hierarchy.contains_links(edges)).collect()} == {(p, c) for p, c in links if parent[c] != p}
     got = {r.fqn: r for r in tree.collect()}
     assert {k: (r.root, r.depth) for k, r in got.items()} == want
+    shuffled = hierarchy.hierarchy(hierarchy.contains_links(edges), scratch, paths=True, broadcast_nodes=0)
+    assert {r.fqn: (r.root, r.depth, r.n_descendants, r.path) for r in shuffled.collect()} == {k: (r.root, r.depth, r.n_descendants, r.path) for k, r in got.items()}
     above = {}
     for k in want:
         if want[k][1] >= 0:
