@@ -134,6 +134,8 @@ def _column(element: _Element, levels: tuple[str, ...], leaf: str, rep: int, at:
         yield from _column(item, levels, leaf, rep if i == 0 else at + 1, at + 1)
 
 
+#: Output rows are sent on from this number.
+FLUSH_ROWS = 100_000
 COLUMN = "report_id bigint, levels string, leaf string, depth int, seq bigint, rep int, def int, value string"
 
 
@@ -146,9 +148,14 @@ def shred(reports: DataFrame, leaves: list[tuple[tuple[str, ...], str]] | None =
     that is defined only above it.
     """
 
+    types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+
+    def packed(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[c.split()[0] for c in COLUMN.split(", ")])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in types]
             for report_id, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     report = _element(json.loads(payload), outermost=True)
@@ -164,8 +171,10 @@ def shred(reports: DataFrame, leaves: list[tuple[tuple[str, ...], str]] | None =
                     for seq, (rep, defined, value) in enumerate(_column(report, levels, leaf, 0, 0)):
                         for to, x in zip(out, (report_id, name, leaf, depth, seq, rep, defined, value), strict=True):
                             to.append(x)
-            types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[c.split()[0] for c in COLUMN.split(", ")])
+                if len(out[0]) >= FLUSH_ROWS:
+                    yield packed(out)
+                    out = [[] for _ in types]
+            yield packed(out)
 
     return reports.select("report_id", "payload").distinct().mapInArrow(read, COLUMN)
 

@@ -21,6 +21,8 @@ from archspan.functions import names
 from archspan.operators import grounding
 from archspan.runtime import spread
 
+#: Output rows are sent on from this number.
+FLUSH_ROWS = 100_000
 FACTS = "file_id bigint, repo_id string, module string, fact string, owner string, name string, kind string, line_start int, line_end int"
 
 
@@ -69,6 +71,10 @@ def _facts(tree: ast.Module, module: str, package: bool, lines: list[str]) -> It
         stack.extend((child, inner, kind if inner != owner else above, scope) for child in reversed(list(ast.iter_child_nodes(node))))
 
 
+def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("file_id", pa.int64()), ("repo_id", pa.string()), ("module", pa.string()), ("fact", pa.string()), ("owner", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())])
     for batch in batches:
@@ -80,7 +86,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             except (SyntaxError, ValueError, RecursionError, MemoryError):
                 continue
             rows += [(r["file_id"], r["repo_id"], r["module"], *f) for f in _facts(tree, r["module"], bool(r["package"]), text.splitlines())]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+            if len(rows) >= FLUSH_ROWS:
+                yield _packed(rows, schema)
+                rows = []
+        yield _packed(rows, schema)
 
 
 def code_facts(files: DataFrame) -> DataFrame:
