@@ -30,6 +30,13 @@ def scope_snapshots(findings: DataFrame, edges: DataFrame, modules: DataFrame) -
     return met.fillna(-1, ["item_no"]).select("constraint_id", "changed_fqn", "matched_fqn", "snapshot_no", "scope", "fqn", "item_no", "kind", "target")
 
 
+def hop_files(findings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(constraint_id, changed_fqn, matched_fqn, object_fqn, hop_no, target, file_path): the hops of each finding's path in order, with the file of the name they lead to."""
+    hops = findings.where(F.size("hops") > 0).select("constraint_id", "repo_id", "changed_fqn", "matched_fqn", F.col("ord3").alias("object_fqn"), F.posexplode("hops").alias("hop_no", "target"))
+    files = nodes.select("repo_id", F.col("fqn").alias("target"), "file_path")
+    return hops.join(files, ["repo_id", "target"], "left").select("constraint_id", "changed_fqn", "matched_fqn", "object_fqn", "hop_no", "target", "file_path")
+
+
 def _rows(snapshots: DataFrame) -> DataFrame:
     """The row that holds per line, sha and FQN: the one with the highest row_no."""
     keep = [F.col(c) for c in ("from_sha", "kind", "file_path", "code_hash")]

@@ -232,6 +232,12 @@ def dismissals(violations: DataFrame) -> DataFrame:
     return violations.where(F.col("fingerprint").isNotNull()).select("repo_id", "short_id", F.col("identity").alias("identity_hash"), "subject", "predicate", "object", F.col("adr").alias("adr_id"), F.col("fingerprint").alias("code_fingerprint"), "matched_fqn", "governed_fqn")
 
 
+def merged_dismissals(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored dismissals with the new ones merged in by repository and identity: a new one replaces the stored one."""
+    fresh = new.dropDuplicates(["repo_id", "identity_hash"])
+    return stored.join(fresh.select("repo_id", "identity_hash"), ["repo_id", "identity_hash"], "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
 def not_dismissed(violations: DataFrame, dismissed: DataFrame) -> DataFrame:
     """Findings whose identity no fingerprinted dismissal of the repository bears."""
     known = dismissed.where(F.col("code_fingerprint").isNotNull()).select("repo_id", F.col("identity_hash").alias("identity")).distinct()

@@ -18,6 +18,12 @@ def check_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.scope_snapshots(full, g.edges, g.modules)
 
 
+def check_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hops of each finding's path with their files."""
+    g, full, _ = rulecheck.checked(spark, sf_dir, Scratch(spark, "check"))
+    return reviews.hop_files(full, g.nodes)
+
+
 def _dismissed(full: DataFrame, gold: DataFrame) -> DataFrame:
     """Dismissals of the findings of rules that the gold doesn't hold."""
     held = copydiff.normal_rules(copydiff.gold_rules(gold)).select("repo_id", F.lpad(F.col("adr_no").cast("string"), 6, "0").alias("adr"), "subject", "predicate", "object").distinct()
@@ -156,7 +162,7 @@ def arm_case_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        *(check_snapshots, check_dismissals, check_open, update_summary, scope_candidates, diff_names, diff_renames, fire_classes, gold_expansion),
+        *(check_snapshots, check_hops, check_dismissals, check_open, update_summary, scope_candidates, diff_names, diff_renames, fire_classes, gold_expansion),
         *(provenance_classes, zero_loss, wire_rules_parsed, guard_fields, dismissal_reasons, arm_case_costs),
     )
 }
@@ -176,6 +182,7 @@ SQL = {
 sn AS (SELECT *, 0 AS snapshot_no, 'changed' AS scope, changed_fqn AS fqn FROM k UNION ALL SELECT k.*, 1, 'enclosing_module', m.module FROM k JOIN mods m ON m.repo_id = k.repo_id AND m.fqn = k.changed_fqn WHERE m.module <> k.changed_fqn),
 oe AS (SELECT repo_id, source, kind, target, CAST(row_number() OVER (PARTITION BY repo_id, source ORDER BY ord) - 1 AS INT) AS item_no FROM e WHERE kind IN ('IMPORTS', 'CALLS', 'INHERITS'))
 SELECT constraint_id, changed_fqn, matched_fqn, snapshot_no, scope, fqn, coalesce(item_no, -1) AS item_no, oe.kind, oe.target FROM sn LEFT JOIN oe ON oe.repo_id = sn.repo_id AND oe.source = sn.fqn""",
+    "check_hops": rulecheck._FINAL + " SELECT k.constraint_id, k.changed_fqn, k.matched_fqn, k.ord3 AS object_fqn, CAST(u.i - 1 AS INT) AS hop_no, k.hops[u.i] AS target, n.file_path FROM kept k, unnest(range(1, len(k.hops) + 1)) AS u(i) LEFT JOIN n ON n.repo_id = k.repo_id AND n.fqn = k.hops[u.i]",
     "check_dismissals": _CHECKED + " SELECT * FROM dm",
     "check_open": _CHECKED + " SELECT constraint_id, repo_id, matched_fqn, identity FROM op",
     "update_summary": _CHECKED

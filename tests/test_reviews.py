@@ -136,3 +136,15 @@ def test_dev_packages(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "m"), ("b", "m")], "repo_id string, fqn string")
     rules = spark.createDataFrame([], "repo_id string, subject string, object string")
     assert rows(grounding.externalised(nodes, edges, rules, own)) == [("a", "fake_lint.core", "external", "dev_tool"), ("b", "fake_lint.core", "external", "unknown"), ("b", "pytest", "external", "dev_tool")]
+
+
+def test_hop_files_and_merged_dismissals(spark):
+    from archspan.operators import violations
+
+    found = spark.createDataFrame([(1, "r", "a", "a", "c", ["b", "c"]), (2, "r", "z", "z", "", None)], "constraint_id bigint, repo_id string, changed_fqn string, matched_fqn string, ord3 string, hops array<string>")
+    nodes = spark.createDataFrame([("r", "b", "b.py"), ("q", "c", "c.py")], "repo_id string, fqn string, file_path string")
+    assert rows(reviews.hop_files(found, nodes)) == [(1, "a", "a", "c", 0, "b", "b.py"), (1, "a", "a", "c", 1, "c", None)]
+    schema = "repo_id string, identity_hash string, code_fingerprint string"
+    stored = spark.createDataFrame([("r", "1", "old"), ("q", "1", "old"), ("r", "2", None)], schema)
+    new = spark.createDataFrame([("r", "1", "new"), ("r", "1", "new"), ("r", "3", "new")], schema)
+    assert rows(violations.merged_dismissals(stored, new)) == [("q", "1", "old"), ("r", "1", "new"), ("r", "2", None), ("r", "3", "new")]
