@@ -258,18 +258,14 @@ def check(g: Graph, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     live = model.enforced(g.rules)
     g = Graph(g.nodes, g.edges, live, g.changed)
-    g.dev, g.modules = scratch.cut(g.dev), scratch.cut(g.modules)
-    matches = scratch.cut(reach.rule_matches(live, g.nodes))
-    grouped = scratch.cut(groups(g, matches))
+    g.dev, g.modules, matches = scratch.cut_all(g.dev, g.modules, reach.rule_matches(live, g.nodes))
+    grouped, typed = scratch.cut_all(groups(g, matches), reach.steps(g.edges, g.dev))
     objs = scratch.cut(group_objects(g, matches, grouped))
-    typed = scratch.cut(reach.steps(g.edges, g.dev))
     sets = reach.reverse_sets(reach.at_or_under(objs, g.edges), typed, scratch)
-    inner = scratch.cut(reach.inner_steps(sets, typed))
     of_group = grouped.select("constraint_id", "g", "family")
-    asked = scratch.cut(_requires_subjects(g, matches).join(of_group, "constraint_id"))
     barred = live.where(F.col("predicate").startswith("prohibits_")).select("constraint_id")
     subjects = matches.where(F.col("side") == "subject").select("constraint_id", "repo_id", F.col("fqn").alias("start"), F.col("status").alias("subject_status")).join(barred, "constraint_id", "left_semi").join(of_group, "constraint_id")
-    subjects = scratch.cut(subjects)
+    inner, asked, subjects = scratch.cut_all(reach.inner_steps(sets, typed), _requires_subjects(g, matches).join(of_group, "constraint_id"), subjects)
     starts = asked.select("g", "repo_id", "start").unionByName(subjects.select("g", "repo_id", "start")).distinct()
     arrived = scratch.cut(reach.arriving(starts, sets, inner, g.modules))
     begin = subjects.select("g", "repo_id", "start").distinct().join(arrived, ["g", "start"], "left_semi")

@@ -25,12 +25,7 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str, scratch: Scratch, days: int | None = 60) -> violations.Graph:
     """The written inputs of a check; requires rules are judged at the names loaded in the last ``days``, or at all."""
-    return violations.Graph(
-        scratch.cut(_nodes(spark, sf_dir)),
-        scratch.cut(_edges(spark, sf_dir)),
-        scratch.cut(_rules(spark, sf_dir)),
-        scratch.cut(model.changed_nodes(load(spark, sf_dir, "fqn_nodes"), days)),
-    )
+    return violations.Graph(*scratch.cut_all(_nodes(spark, sf_dir), _edges(spark, sf_dir), _rules(spark, sf_dir), model.changed_nodes(load(spark, sf_dir, "fqn_nodes"), days)))
 
 
 def g_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

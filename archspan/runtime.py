@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -64,14 +65,26 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._written: list[tuple[DataFrame, str]] = []
+        self._n = 0
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` and reads it back, so later plans start from files."""
-        path = f"{self.root}/{len(self._written):03d}"
+        return self._write(df, self._next())
+
+    def cut_all(self, *tables: DataFrame) -> list[DataFrame]:
+        """``cut`` of several tables that don't need each other, as jobs that run side by side."""
+        paths = [self._next() for _ in tables]
+        with ThreadPoolExecutor(len(tables)) as pool:
+            return list(pool.map(self._write, tables, paths))
+
+    def _next(self) -> str:
+        self._n += 1
+        return f"{self.root}/{self._n:03d}"
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
-        if not self._written:
-            root, files = self._at(self.root)
-            files.deleteOnExit(root)
+        target, files = self._at(path)
+        files.deleteOnExit(target)
         back = self.spark.read.schema(df.schema).parquet(path)
         self._written.append((back, path))
         return back
