@@ -47,58 +47,6 @@ def steps(edges: DataFrame, dev: DataFrame) -> DataFrame:
     return open_.select("repo_id", "family", F.col("source").alias("node"), "target", "kind", "ord")
 
 
-def at_or_under(objects: DataFrame, edges: DataFrame) -> DataFrame:
-    """(g, repo_id, family, node): ends of edges that are an object of the group or lie under it; ``objects`` holds (g, repo_id, family, object_fqn)."""
-    ends = edges.select("repo_id", F.explode(F.array("source", "target")).alias("node")).distinct()
-    under = ends.select("repo_id", "node", F.explode(names.ancestors("node")).alias("object_fqn"))
-    return objects.join(under, ["repo_id", "object_fqn"]).select("g", "repo_id", "family", "node").distinct()
-
-
-def reverse_sets(seeds: DataFrame, typed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(g, repo_id, family, node, dep): per group all nodes from which a search can come to a seed.
-
-    A search descends from its start by CONTAINS and then follows dependency edges
-    alone, so backwards a node is reached by dependency edges (``dep``), and from
-    there on by CONTAINS (not ``dep``). One search for all groups and all starts.
-    """
-    back = scratch.cut(typed.select("repo_id", "family", F.col("target").alias("node"), F.col("node").alias("up"), (F.col("kind") != "CONTAINS").alias("dep_edge")).distinct())
-    key = ["g", "repo_id", "family", "node", "dep"]
-    frontier, left = scratch.cut_counting(seeds.withColumn("dep", F.lit(True)), F.lit(True))
-    parts = [frontier]
-    rounds = 0
-    while left:
-        now, reached = frontier, None
-        for _ in range(UNROLL):
-            step = now.join(back, ["repo_id", "family", "node"]).where(F.col("dep") | ~F.col("dep_edge"))
-            now = step.select("g", "repo_id", "family", F.col("up").alias("node"), F.col("dep_edge").alias("dep")).distinct()
-            reached = now if reached is None else reached.unionByName(now)
-        known = _union(parts)
-        frontier, left = scratch.cut_counting(reached.distinct().join(known, key, "left_anti"), F.lit(True))
-        parts = _merged([*parts, frontier], scratch)
-        rounds += 1
-        if rounds > MAX_ROUNDS:
-            raise RuntimeError(f"reverse search not complete after {MAX_ROUNDS} rounds")
-    return _union(parts)
-
-
-def inner_steps(sets: DataFrame, typed: DataFrame) -> DataFrame:
-    """(g, node, target, kind, ord): per group the edges on the way to its seeds."""
-    ends = sets.groupBy("g", "repo_id", "family", F.col("node").alias("target")).agg(F.max("dep").alias("dep"))
-    return typed.join(ends, ["repo_id", "family", "target"]).where(F.col("dep") | (F.col("kind") == "CONTAINS")).select("g", "node", "target", "kind", "ord")
-
-
-def arriving(starts: DataFrame, sets: DataFrame, inner: DataFrame, modules: DataFrame) -> DataFrame:
-    """The (g, start) of ``starts`` (g, repo_id, start) whose search comes to a seed by an edge at least, no path needed.
-
-    A start inside a module also sees the module's own edges, except those into the module itself.
-    """
-    own = sets.where(~F.col("dep")).select("g", "node").unionByName(inner.where("kind <> 'CONTAINS'").select("g", "node")).distinct()
-    direct = starts.join(own.withColumnRenamed("node", "start"), ["g", "start"], "left_semi").select("g", "start")
-    inside = starts.join(modules.select("repo_id", F.col("fqn").alias("start"), F.col("module").alias("node")), ["repo_id", "start"])
-    via = inside.join(inner.where("kind <> 'CONTAINS'").select("g", "node", "target"), ["g", "node"]).where(~names.at_or_under("target", "node")).select("g", "start")
-    return direct.unionByName(via).distinct()
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from archspan.functions import names
-from archspan.operators import model, reach
+from archspan.operators import model, reach, search
 from archspan.runtime import Scratch
 
 RULE = ["constraint_id", "repo_id", "adr", "subject", "predicate", "object", "specificity"]
@@ -68,7 +68,7 @@ def prohibited(g: Graph, matches: DataFrame, subjects: DataFrame, objs: DataFram
     reached = paths.select("g", "start", "target", "len", "path", F.explode(names.ancestors("target")).alias("object_fqn"))
     met = reached.join(objs.where(~F.col("is_dev")).select("g", "object_fqn", "object_status"), ["g", "object_fqn"]).join(subjects, ["g", "start"])
     hits = scratch.cut(met.join(g.rules.select(*[c for c in RULE if c != "repo_id"]), "constraint_id"))
-    hits = hits.join(_excused(hits, g, matches), ["constraint_id", "start", "object_fqn", "target"], "left_anti")
+    hits = hits.join(_excused(hits, g, matches, scratch), ["constraint_id", "start", "object_fqn", "target"], "left_anti")
     rest = ["target", "len", "path", "g", "repo_id", "family", "subject_status", "object_status", *[c for c in RULE if c not in ("constraint_id", "repo_id")]]
     chosen = hits.groupBy("constraint_id", "start", "object_fqn").agg(F.min_by(F.struct(*rest), F.struct("len", "path", "target")).alias("_h")).select("constraint_id", "start", "object_fqn", "_h.*")
     walked = _with_hops(scratch.cut(chosen), g.edges).join(g.modules.select("repo_id", F.col("fqn").alias("start"), "module"), ["repo_id", "start"], "left")
@@ -100,16 +100,19 @@ def _with_hops(hits: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.join(hops, ["constraint_id", "start", "object_fqn"])
 
 
-def _excused(hits: DataFrame, g: Graph, matches: DataFrame) -> DataFrame:
+def _excused(hits: DataFrame, g: Graph, matches: DataFrame, scratch: Scratch) -> DataFrame:
     """Paths of two or more edges whose every later source is itself required to depend on the object."""
     active = g.rules.join(matches.select("constraint_id").distinct(), "constraint_id", "left_semi")
     needs = active.where(F.col("predicate").isin("requires_dependency", "requires_implementation")).select("repo_id", reach.family_of("predicate").alias("family"), F.col("subject").alias("src_pattern"), F.col("object").alias("obj_pattern")).distinct()
-    relevant = hits.where("len > 1").join(needs.select("repo_id", "family").distinct(), ["repo_id", "family"], "left_semi")
+    long = hits.where("len > 1")
+    objects = long.select("repo_id", "family", "object_fqn").distinct().select("*", F.explode(names.matching_patterns("object_fqn")).alias("obj_pattern"))
+    allowed = scratch.cut(objects.join(needs, ["repo_id", "family", "obj_pattern"]).select("repo_id", "family", "object_fqn", "src_pattern").distinct())
+    relevant = long.join(allowed, ["repo_id", "family", "object_fqn"], "left_semi")
     steps = relevant.select("constraint_id", "repo_id", "family", "start", "object_fqn", "target", "len", F.posexplode(F.slice("path", F.lit(2), F.size("path"))).alias("at", "ord"))
     via = steps.join(g.edges.select("repo_id", "ord", "source"), ["repo_id", "ord"])
     asked = via.select("repo_id", "family", "object_fqn", "source").distinct()
-    keyed = asked.select("*", F.explode(names.matching_patterns("object_fqn")).alias("obj_pattern")).select("*", F.explode(names.matching_patterns("source")).alias("src_pattern"))
-    covered = keyed.join(needs, ["repo_id", "family", "obj_pattern", "src_pattern"], "left_semi").select("repo_id", "family", "object_fqn", "source").distinct()
+    keyed = asked.select("*", F.explode(names.matching_patterns("source")).alias("src_pattern"))
+    covered = keyed.join(allowed, ["repo_id", "family", "object_fqn", "src_pattern"], "left_semi").select("repo_id", "family", "object_fqn", "source").distinct()
     ok = via.join(covered, ["repo_id", "family", "object_fqn", "source"], "left_semi").groupBy("constraint_id", "start", "object_fqn", "target", "len").agg(F.count(F.lit(1)).alias("_c"))
     return ok.where(F.col("_c") == F.col("len") - 1).select("constraint_id", "start", "object_fqn", "target")
 
@@ -252,25 +255,31 @@ def orphan_rules(rules_: DataFrame, matches: DataFrame) -> DataFrame:
 def check(g: Graph, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings before resolution, findings after it, rule matches).
 
-    One reverse search from the objects of all rules tells what reaches them, which
+    Each step of the resolution is written, as the next reads it several times.
+    """
+    raw, matches = unresolved(g, scratch)
+    active = model.enforced(g.rules).join(matches.select("constraint_id").distinct(), "constraint_id", "left_semi")
+    rows = scratch.cut(without_covered_children(scratch.cut(deduplicated(raw))))
+    return raw, scratch.cut(outweighed(rows, active)), matches
+
+
+def unresolved(g: Graph, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(findings before resolution, rule matches).
+
+    Per group of rules a reverse search from the objects tells what reaches them, which
     settles the requires rules; the forward search for the paths of prohibits rules
-    then stays on the edges of the reverse search.
+    then stays on the nodes of the reverse search (`search.searched`).
     """
     live = model.enforced(g.rules)
     g = Graph(g.nodes, g.edges, live, g.changed)
     g.dev, g.modules, matches = scratch.cut_all(g.dev, g.modules, reach.rule_matches(live, g.nodes))
-    grouped, typed = scratch.cut_all(groups(g, matches), reach.steps(g.edges, g.dev))
-    objs = scratch.cut(group_objects(g, matches, grouped))
-    sets = reach.reverse_sets(reach.at_or_under(objs, g.edges), typed, scratch)
+    grouped = scratch.cut(groups(g, matches))
     of_group = grouped.select("constraint_id", "g", "family")
     barred = live.where(F.col("predicate").startswith("prohibits_")).select("constraint_id")
     subjects = matches.where(F.col("side") == "subject").select("constraint_id", "repo_id", F.col("fqn").alias("start"), F.col("status").alias("subject_status")).join(barred, "constraint_id", "left_semi").join(of_group, "constraint_id")
-    inner, asked, subjects = scratch.cut_all(reach.inner_steps(sets, typed), _requires_subjects(g, matches).join(of_group, "constraint_id"), subjects)
-    starts = asked.select("g", "repo_id", "start").unionByName(subjects.select("g", "repo_id", "start")).distinct()
-    arrived = scratch.cut(reach.arriving(starts, sets, inner, g.modules))
-    begin = subjects.select("g", "repo_id", "start").distinct().join(arrived, ["g", "start"], "left_semi")
-    paths = reach.first_paths(begin, inner, ["g"], g.modules, scratch)
+    objs, asked, subjects = scratch.cut_all(group_objects(g, matches, grouped), _requires_subjects(g, matches).join(of_group, "constraint_id"), subjects)
+    starts = asked.select("g", "repo_id", "family", "start", F.lit(False).alias("walk")).unionByName(subjects.select("g", "repo_id", "family", "start", F.lit(True).alias("walk")))
+    found = scratch.cut(search.searched(objs, starts, g.edges, g.dev, g.modules))
+    arrived, paths = found.where("target IS NULL").select("g", "start"), found.where("target IS NOT NULL")
     raw = scratch.cut(prohibited(g, matches, subjects, objs, paths, scratch).unionByName(required(asked, objs, arrived)).unionByName(unscoped(g, matches)))
-    active = live.join(matches.select("constraint_id").distinct(), "constraint_id", "left_semi")
-    kept = outweighed(without_covered_children(deduplicated(raw)), active)
-    return raw, kept, matches
+    return raw, matches

@@ -80,7 +80,7 @@ def g_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def check_raw(spark: SparkSession, sf_dir: str, days: int | None = 60) -> DataFrame:
     scratch = Scratch(spark, "check")
-    raw, _, _ = violations.check(graph(spark, sf_dir, scratch, days), scratch)
+    raw, _ = violations.unresolved(graph(spark, sf_dir, scratch, days), scratch)
     return raw.select("constraint_id", "changed_fqn", "matched_fqn", "status", "evidence", "change_type")
 
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from archspan.functions import names
-from archspan.operators import grounding, model, reach, scoring, vectors, violations
+from archspan.operators import grounding, model, reach, scoring, search, vectors, violations
 from archspan.plans import code, rulecheck
+from archspan.runtime import Scratch
 
 NODE = "repo_id string, fqn string, kind string, file_path string, line_start int, line_end int, role string, code_hash string, object_parameters array<string>, guards array<struct<symbol:string,scopes_object:boolean,covers:array<string>>>"
 EDGE = "repo_id string, source string, target string, kind string, ord bigint"
@@ -163,6 +164,39 @@ def test_a_rule_between_two_packages_makes_no_pairs(spark, scratch):
     assert {(r.changed_fqn, r.evidence.split(" via ")[0].split()[-1]) for r in raw.collect()} == {("a.m1", "b.m7"), ("a.m1", "b.m8"), ("a.m2", "b.m8")}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_search_of_a_check_against_rounds(spark, scratch, seed, monkeypatch):
+    """Every first path to every name, in several blocks of groups, is the one that the search in rounds finds."""
+    monkeypatch.setattr(search, "GROUPS", 9)
+    rnd = random.Random(seed)
+    names_ = ["p", *(f"p.m{i}" for i in range(3)), *(f"p.m{i}.f{j}" for i in range(3) for j in range(2)), "x", "x.y", "z"]
+    kinds = {n: "package" if n == "p" else "module" if n.count(".") == 1 or len(n) == 1 else "function" for n in names_}
+    edges = [(n.rpartition(".")[0], n, "CONTAINS") for n in names_ if "." in n] + [(rnd.choice(names_), rnd.choice(names_), rnd.choice(["IMPORTS", "CALLS", "INHERITS", "CONTAINS", "OTHER"])) for _ in range(30)]
+    edges = list(dict.fromkeys(edges))
+    rnd.shuffle(edges)
+    g = build(spark, [node(n, kinds[n], role="dev_tool" if n == "z" else "internal") for n in names_], edges, [])
+    keys = [(i, "r", f, n) for i, (f, n) in enumerate((f, n) for f in model.FAMILIES for n in names_)]
+    objs = spark.createDataFrame(keys, "g bigint, repo_id string, family string, object_fqn string")
+    starts = spark.createDataFrame([(i, r, f, n, True) for i, r, f, _ in keys for n in [*names_, "gone"]], "g bigint, repo_id string, family string, start string, walk boolean")
+    found = search.searched(objs, starts, g.edges, g.dev, g.modules).collect()
+    of = {i: (f, o) for i, _, f, o in keys}
+    got = {(*of[r.g], r.start, r.target): r.path for r in found if r.target is not None}
+    assert {(*of[r.g], r.start) for r in found if r.target is None} == {k[:3] for k in got}
+    rounds = reach.first_paths(starts.select("repo_id", "family", "start"), reach.steps(g.edges, g.dev), ["repo_id", "family"], g.modules, scratch).collect()
+    assert got == {(r.family, o, r.start, r.target): r.path for r in rounds for o in names_ if r.target == o or r.target.startswith(o + ".")} and got
+
+
+def test_tables_of_a_check_do_not_grow_with_depth(spark):
+    """A round of jobs per few steps filled the driver with plans; the number of written tables must not depend on the graph."""
+    made = []
+    for depth in (3, 40):
+        scratch = Scratch(spark, "test")
+        raw, _ = findings(spark, scratch, [node(f"m{i}") for i in range(depth)], [(f"m{i}", f"m{i + 1}", "IMPORTS") for i in range(depth - 1)], [("1", "m0", "prohibits_dependency", f"m{depth - 1}", None)])
+        assert [r.evidence.count("IMPORTS") for r in raw.collect()] == [depth - 1]
+        made.append(scratch._n)
+    assert made[0] == made[1]
+
+
 def test_partitions_change_nothing(spark, scratch):
     nodes = [node(f"m{i}") for i in range(8)]
     edges = [(f"m{i}", f"m{(i * 3 + d) % 8}", k) for i in range(8) for d, k in ((1, "IMPORTS"), (2, "CALLS"))]
