@@ -114,6 +114,26 @@ def test_page_sizes_can_be_lifted(spark, scratch):
     assert {r.query_id: (r.n, r.t) for r in found} == {1: (100, False), 2: (200, False)}
 
 
+def test_search_compares_characters_only_where_no_name_contains_the_query(spark, scratch, monkeypatch):
+    from archspan.operators import grounding
+
+    nodes = spark.createDataFrame([("r", f, "module") for f in ("app.core", "app.co-re", "App.Core.io", "x.acr", "b.öre")], "repo_id string, fqn string, kind string")
+    q = spark.createDataFrame([(1, "r", "app.core"), (2, "r", "acr"), (3, "r", "a/e"), (4, "r", "ap.ce"), (5, "r", "a-e"), (6, "s", "app")], "query_id int, repo_id string, query string")
+    written, real = [], scratch.cut
+    monkeypatch.setattr(scratch, "cut", lambda df: written.append(real(df)) or written[-1])
+    found = {}
+    for r in grounding.name_search(q, nodes, scratch).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.n_exact, r.n_prefix, r.n_substring, r.n_relaxed, r.fqn))
+    assert found == {
+        1: [(1, 1, 0, 0, "app.core"), (1, 1, 0, 0, "App.Core.io")],
+        2: [(0, 0, 1, 0, "x.acr")],
+        3: [(0, 0, 0, 3, f) for f in ("App.Core.io", "app.co-re", "app.core")],
+        4: [(0, 0, 0, 3, f) for f in ("App.Core.io", "app.co-re", "app.core")],
+    }
+    compared = next(t for t in written if "pattern" in t.columns)
+    assert sorted(r.query_id for r in compared.collect()) == [3, 4, 5, 6]
+
+
 def test_reason_buckets(spark):
     data = [("It was Pre-Existing", None), ("not a known violation here", "x"), (None, "compliant_probe"), ("", "injected"), ("preexisting", "compliant_probe")]
     got = spark.createDataFrame(data, "w string, c string").select(scoring.reason_bucket(F.col("w"), F.col("c")).alias("b")).collect()
