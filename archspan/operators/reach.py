@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archspan.functions import names
+from archspan.operators import orphans
 from archspan.operators.model import FAMILIES
 from archspan.runtime import Scratch
 
@@ -16,21 +17,30 @@ from archspan.runtime import Scratch
 MAX_ROUNDS = 2000
 #: Steps followed per written round.
 UNROLL = 4
+PATTERN = ["repo_id", "pattern"]
 
 
 def family_of(predicate: Column | str) -> Column:
     return F.regexp_extract(names.col(predicate), r"_(dependency|implementation)$", 1)
 
 
-def rule_matches(rules: DataFrame, nodes: DataFrame) -> DataFrame:
+def rule_matches(rules: DataFrame, nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(constraint_id, repo_id, side, fqn, status): nodes that the subject or object pattern of a rule matches.
 
     Only rules with a match on both sides come out. Names are turned into the
-    patterns that match them, so the join is an equality.
+    patterns that match them, so the join is an equality. With ``scratch`` the
+    patterns of names that no rule has are left out by a Bloom filter of the rules'
+    patterns, if that is small enough to be broadcast, and the hits are written.
     """
     keys = nodes.select("repo_id", "fqn", F.explode(names.matching_patterns("fqn")).alias("pattern"))
     sides = rules.select("constraint_id", "repo_id", F.explode(F.array(F.struct(F.lit("subject").alias("side"), F.col("subject").alias("pattern")), F.struct(F.lit("object").alias("side"), F.col("object").alias("pattern")))).alias("_s")).select("constraint_id", "repo_id", "_s.*")
+    if scratch:
+        asked, n = scratch.cut_counting(sides.select(*PATTERN).distinct(), F.lit(True))
+        words, blocks = orphans.bloom_filter(asked, PATTERN, n)
+        if blocks <= orphans.BROADCAST_WORDS:
+            keys = orphans.probe(keys, words, blocks, PATTERN).where("maybe").drop("maybe")
     hits = sides.join(keys, ["repo_id", "pattern"]).select("constraint_id", "repo_id", "side", "fqn", F.when(F.col("pattern") == F.col("fqn"), "EXACT").otherwise("WILDCARD").alias("status"))
+    hits = scratch.cut(hits) if scratch else hits
     both = hits.groupBy("constraint_id").agg(F.count_distinct("side").alias("_n")).where("_n = 2").select("constraint_id")
     return hits.join(both, "constraint_id", "left_semi")
 

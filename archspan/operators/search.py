@@ -18,10 +18,16 @@ from archspan.operators.reach import SEED
 #: Groups that a task searches for, about; each block of groups gets the edges of its repository.
 GROUPS = 2000
 FOUND = "g bigint, start string, target string, len int, path array<bigint>"
+KINDS = ("CONTAINS", "IMPORTS", "CALLS", "INHERITS")
 
 
 def searched(objs: DataFrame, starts: DataFrame, edges: DataFrame, dev: DataFrame, modules: DataFrame) -> DataFrame:
-    """(g, start, target, len, path): which starts come to an object of their group, and their paths to it.
+    """(g, start, target, len, path): the rows of `found_and_edges` without the edges."""
+    return found_and_edges(objs, starts, edges, dev, modules).where("g IS NOT NULL").drop("edge")
+
+
+def found_and_edges(objs: DataFrame, starts: DataFrame, edges: DataFrame, dev: DataFrame, modules: DataFrame) -> DataFrame:
+    """(g, start, target, len, path, edge): which starts come to an object of their group, and their paths to it.
 
     ``objs`` holds (g, repo_id, family, object_fqn) and ``starts`` (g, repo_id, family, start, walk).
     A start that comes to an object, or to a name under one, by an edge at least
@@ -29,12 +35,13 @@ def searched(objs: DataFrame, starts: DataFrame, edges: DataFrame, dev: DataFram
     breadth-first order, to each of these names (`reach.first_paths`). Development
     tools are not entered. The searches of a block of groups run in one task, over integer arrays
     of the repository's edges; so the number of jobs depends neither on depth nor on size.
+    Each block also gives the edges of its paths, in rows that hold ``edge`` (repo_id, ord, source, kind, target) alone,
+    so that nobody has to look for them among all edges; another block may give the same edge.
     """
     n_blocks = objs.groupBy("repo_id").agg(F.ceil(F.count_distinct("g") / GROUPS).cast("int").alias("n_blocks"))
-    imports = F.col("kind") == "IMPORTS"
     kinds = sorted({k for ks in FAMILIES.values() for k in ks})
     open_ = edges.where(F.col("kind").isin(*kinds)).join(dev.select("repo_id", F.col("fqn").alias("target")), ["repo_id", "target"], "left_anti")
-    dealt = open_.join(F.broadcast(n_blocks), "repo_id").select("repo_id", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "source", "target", F.when(F.col("kind") == "CONTAINS", 0).when(imports, 1).otherwise(2).cast("byte").alias("kind"), "ord")
+    dealt = open_.join(F.broadcast(n_blocks), "repo_id").select("repo_id", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "source", "target", (F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")) - 1).cast("byte").alias("kind"), "ord")
     none = F.lit(None).cast("string")
     asked = objs.select("repo_id", "g", "family", F.lit(True).alias("is_object"), F.lit(False).alias("walk"), F.col("object_fqn").alias("fqn"), none.alias("module")).unionByName(
         starts.groupBy("repo_id", "g", "family", F.col("start").alias("fqn")).agg(F.max("walk").alias("walk")).join(modules.select("repo_id", "fqn", "module"), ["repo_id", "fqn"], "left").withColumn("is_object", F.lit(False))
@@ -43,11 +50,12 @@ def searched(objs: DataFrame, starts: DataFrame, edges: DataFrame, dev: DataFram
     spark = edges.sparkSession
     n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     left, right = (x.repartition(n, "repo_id", "block").groupBy("repo_id", "block") for x in (dealt, blocks))
-    return left.cogroup(right).applyInArrow(_search, FOUND)
+    return left.cogroup(right).applyInArrow(_search, f"{FOUND}, edge struct<repo_id: string, ord: bigint, source: string, kind: string, target: string>")
 
 
 def _search(edges: pa.Table, asked: pa.Table) -> pa.Table:
     out: tuple[list, ...] = ([], [], [], [], [])
+    repo = edges["repo_id"][0].as_py() if edges.num_rows else None
     graph = Graph(edges.select(["source", "target", "kind", "ord"]))
     del edges
     groups: dict[tuple[int, str], tuple[list, list]] = {}
@@ -65,7 +73,10 @@ def _search(edges: pa.Table, asked: pa.Table) -> pa.Table:
                     for column, value in zip(out, (g, *row)):
                         column.append(value)
     types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64()))
-    return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=["g", "start", "target", "len", "path"])
+    rows = [pa.array(c, t) for c, t in zip(out, types)]
+    edge = graph.edges(repo, rows[-1].flatten().to_numpy(zero_copy_only=False))
+    columns = [pa.concat_arrays([r, pa.nulls(len(edge), r.type)]) for r in rows]
+    return pa.table([*columns, pa.concat_arrays([pa.nulls(len(rows[0]), edge.type), edge])], names=["g", "start", "target", "len", "path", "edge"])
 
 
 class Graph:
@@ -86,6 +97,15 @@ class Graph:
         at = bisect_left(self.names, name)
         return at if at < len(self.names) and self.names[at] == name else -1
 
+    def edges(self, repo: str | None, path_ords: np.ndarray) -> pa.StructArray:
+        """The edges with these ords, each once; those of a module's edges may be lowered by SEED."""
+        ords = np.unique(np.where(path_ords < 0, path_ords + SEED, path_ords).astype(np.int64))
+        order = np.argsort(self.ord)
+        at = order[np.searchsorted(self.ord, ords, sorter=order)]
+        names, kinds = pa.array(self.names, pa.string()), pa.array(KINDS, pa.string())
+        columns = [pa.array([repo] * len(ords), pa.string()), pa.array(ords, pa.int64()), names.take(pa.array(self.source[at])), kinds.take(pa.array(self.kind[at])), names.take(pa.array(self.target[at]))]
+        return pa.StructArray.from_arrays(columns, names=["repo_id", "ord", "source", "kind", "target"])
+
     def under(self, name: str) -> range:
         return range(bisect_left(self.names, name + "."), bisect_left(self.names, name + "/"))
 

@@ -58,20 +58,20 @@ def group_objects(g: Graph, matches: DataFrame, grouped: DataFrame) -> DataFrame
     return objs.join(grouped.select("g", "family").distinct(), "g").join(tools, ["repo_id", "object_fqn"], "left").fillna(False, ["is_dev"])
 
 
-def prohibited(g: Graph, matches: DataFrame, subjects: DataFrame, objs: DataFrame, paths: DataFrame, scratch: Scratch) -> DataFrame:
+def prohibited(g: Graph, matches: DataFrame, subjects: DataFrame, objs: DataFrame, paths: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Violations of prohibits rules: the first unexcused path per subject and object.
 
     ``subjects`` holds (constraint_id, g, repo_id, family, start, subject_status) and
-    ``paths`` (g, start, target, len, path). Paths meet the objects above their target
+    ``paths`` (g, start, target, len, path), and ``edges`` at least those of the paths. Paths meet the objects above their target
     first and then the rules of their start, so no subject meets an object it has no path to.
     """
     reached = paths.select("g", "start", "target", "len", "path", F.explode(names.ancestors("target")).alias("object_fqn"))
     met = reached.join(objs.where(~F.col("is_dev")).select("g", "object_fqn", "object_status"), ["g", "object_fqn"]).join(subjects, ["g", "start"])
     hits = scratch.cut(met.join(g.rules.select(*[c for c in RULE if c != "repo_id"]), "constraint_id"))
-    hits = hits.join(_excused(hits, g, matches, scratch), ["constraint_id", "start", "object_fqn", "target"], "left_anti")
+    hits = hits.join(_excused(hits, g, matches, edges, scratch), ["constraint_id", "start", "object_fqn", "target"], "left_anti")
     rest = ["target", "len", "path", "g", "repo_id", "family", "subject_status", "object_status", *[c for c in RULE if c not in ("constraint_id", "repo_id")]]
     chosen = hits.groupBy("constraint_id", "start", "object_fqn").agg(F.min_by(F.struct(*rest), F.struct("len", "path", "target")).alias("_h")).select("constraint_id", "start", "object_fqn", "_h.*")
-    walked = _with_hops(scratch.cut(chosen), g.edges).join(g.modules.select("repo_id", F.col("fqn").alias("start"), "module"), ["repo_id", "start"], "left")
+    walked = _with_hops(scratch.cut(chosen), edges).join(g.modules.select("repo_id", F.col("fqn").alias("start"), "module"), ["repo_id", "start"], "left")
     report = F.coalesce("module", "start")
     decisive = F.filter("hops", lambda h: h["kind"] != "CONTAINS")
     owner = F.when(F.get("hops", F.lit(0))["kind"] == "CONTAINS", F.coalesce(F.get(decisive, F.lit(0))["source"], report)).otherwise(report)
@@ -100,7 +100,7 @@ def _with_hops(hits: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.join(hops, ["constraint_id", "start", "object_fqn"])
 
 
-def _excused(hits: DataFrame, g: Graph, matches: DataFrame, scratch: Scratch) -> DataFrame:
+def _excused(hits: DataFrame, g: Graph, matches: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Paths of two or more edges whose every later source is itself required to depend on the object."""
     active = g.rules.join(matches.select("constraint_id").distinct(), "constraint_id", "left_semi")
     needs = active.where(F.col("predicate").isin("requires_dependency", "requires_implementation")).select("repo_id", reach.family_of("predicate").alias("family"), F.col("subject").alias("src_pattern"), F.col("object").alias("obj_pattern")).distinct()
@@ -109,7 +109,7 @@ def _excused(hits: DataFrame, g: Graph, matches: DataFrame, scratch: Scratch) ->
     allowed = scratch.cut(objects.join(needs, ["repo_id", "family", "obj_pattern"]).select("repo_id", "family", "object_fqn", "src_pattern").distinct())
     relevant = long.join(allowed, ["repo_id", "family", "object_fqn"], "left_semi")
     steps = relevant.select("constraint_id", "repo_id", "family", "start", "object_fqn", "target", "len", F.posexplode(F.slice("path", F.lit(2), F.size("path"))).alias("at", "ord"))
-    via = steps.join(g.edges.select("repo_id", "ord", "source"), ["repo_id", "ord"])
+    via = steps.join(edges.select("repo_id", "ord", "source"), ["repo_id", "ord"])
     asked = via.select("repo_id", "family", "object_fqn", "source").distinct()
     keyed = asked.select("*", F.explode(names.matching_patterns("source")).alias("src_pattern"))
     covered = keyed.join(allowed, ["repo_id", "family", "object_fqn", "src_pattern"], "left_semi").select("repo_id", "family", "object_fqn", "source").distinct()
@@ -268,18 +268,20 @@ def unresolved(g: Graph, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
     Per group of rules a reverse search from the objects tells what reaches them, which
     settles the requires rules; the forward search for the paths of prohibits rules
-    then stays on the nodes of the reverse search (`search.searched`).
+    then stays on the nodes of the reverse search (`search.found_and_edges`).
     """
     live = model.enforced(g.rules)
     g = Graph(g.nodes, g.edges, live, g.changed)
-    g.dev, g.modules, matches = scratch.cut_all(g.dev, g.modules, reach.rule_matches(live, g.nodes))
+    g.dev, matches = scratch.cut_all(g.dev, reach.rule_matches(live, g.nodes, scratch))
     grouped = scratch.cut(groups(g, matches))
     of_group = grouped.select("constraint_id", "g", "family")
     barred = live.where(F.col("predicate").startswith("prohibits_")).select("constraint_id")
     subjects = matches.where(F.col("side") == "subject").select("constraint_id", "repo_id", F.col("fqn").alias("start"), F.col("status").alias("subject_status")).join(barred, "constraint_id", "left_semi").join(of_group, "constraint_id")
     objs, asked, subjects = scratch.cut_all(group_objects(g, matches, grouped), _requires_subjects(g, matches).join(of_group, "constraint_id"), subjects)
     starts = asked.select("g", "repo_id", "family", "start", F.lit(False).alias("walk")).unionByName(subjects.select("g", "repo_id", "family", "start", F.lit(True).alias("walk")))
-    found = scratch.cut(search.searched(objs, starts, g.edges, g.dev, g.modules))
-    arrived, paths = found.where("target IS NULL").select("g", "start"), found.where("target IS NOT NULL")
-    raw = scratch.cut(prohibited(g, matches, subjects, objs, paths, scratch).unionByName(required(asked, objs, arrived)).unionByName(unscoped(g, matches)))
+    g.modules = scratch.cut(model.enclosing_modules(g.nodes, starts.select("repo_id", F.col("start").alias("fqn"))))
+    found = scratch.cut(search.found_and_edges(objs, starts, g.edges, g.dev, g.modules))
+    arrived, paths = found.where("g IS NOT NULL AND target IS NULL").select("g", "start"), found.where("target IS NOT NULL").drop("edge")
+    used = scratch.cut(found.where("edge IS NOT NULL").select("edge.*").distinct())
+    raw = scratch.cut(prohibited(g, matches, subjects, objs, paths, used, scratch).unionByName(required(asked, objs, arrived)).unionByName(unscoped(g, matches)))
     return raw, matches

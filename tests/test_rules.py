@@ -186,6 +186,31 @@ def test_search_of_a_check_against_rounds(spark, scratch, seed, monkeypatch):
     assert got == {(r.family, o, r.start, r.target): r.path for r in rounds for o in names_ if r.target == o or r.target.startswith(o + ".")} and got
 
 
+def test_search_gives_the_edges_of_its_paths(spark):
+    """Hops and excuses need the edges on paths only, not a look at all edges of all repositories."""
+    nodes = [node("p"), node("p.f", "function"), *(node(x) for x in "abcd")]
+    edges = [("p", "a", "IMPORTS"), ("a", "b", "CALLS"), ("b", "c", "INHERITS"), ("d", "a", "IMPORTS"), ("p", "p.f", "CONTAINS"), ("c", "d", "CALLS")]
+    g = build(spark, nodes, edges, [])
+    objs = spark.createDataFrame([(1, "r", "dependency", "c")], "g bigint, repo_id string, family string, object_fqn string")
+    starts = spark.createDataFrame([(1, "r", "dependency", x, True) for x in ("p.f", "b")], "g bigint, repo_id string, family string, start string, walk boolean")
+    args = (objs, starts, g.edges, g.dev, g.modules)
+    found = search.found_and_edges(*args).collect()
+    assert sorted(tuple(r.edge) for r in found if r.edge) == [("r", i, *(edges[i][j] for j in (0, 2, 1))) for i in range(3)]
+    assert all((r.edge is None) != (r.g is None) for r in found)
+    assert sorted(map(repr, search.searched(*args).collect())) == sorted(repr(r).replace(", edge=None", "") for r in found if r.g)
+
+
+def test_rule_matches_leave_out_patterns_that_no_rule_has(spark, scratch):
+    rnd = random.Random(1)
+    names_ = [f"{a}.{b}{i}.{c}" for a in "pq" for b in "xy" for i in range(30) for c in "fg"]
+    patterns = [*rnd.sample(names_, 8), *(f"p.x{i}.*" for i in range(5)), "q.*", "p.none.*"]
+    g = build(spark, [node(n, "function") for n in names_] + [node(x) for x in ("p", "p.x1", "q")], [], [(str(i), rnd.choice(patterns), "prohibits_dependency", rnd.choice(patterns), None) for i in range(40)])
+    written = reach.rule_matches(g.rules, g.nodes, scratch)
+    assert sorted(written.collect()) == sorted(reach.rule_matches(g.rules, g.nodes).collect()) and written.count()
+    some = g.nodes.where("fqn LIKE 'p.x1.%'")
+    assert [tuple(r) for r in model.enclosing_modules(g.nodes, some).sort("fqn").collect()] == [("r", f"p.x1.{c}", "p.x1") for c in "fg"]
+
+
 def test_tables_of_a_check_do_not_grow_with_depth(spark):
     """A round of jobs per few steps filled the driver with plans; the number of written tables must not depend on the graph."""
     made = []
