@@ -11,6 +11,10 @@ from archspan.plans import graph_sql
 from archspan.runtime import Scratch, load
 
 
+#: What a check reads of a node.
+NODE = ("node_id", "repo_id", "fqn", "kind", "file_path", "line_start", "line_end", "role", "code_hash", "object_parameters", "guards", "loaded_at", "deleted_at")
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.current_nodes(load(spark, sf_dir, "fqn_nodes"))
 
@@ -25,7 +29,9 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str, scratch: Scratch, days: int | None = 60) -> violations.Graph:
     """The written inputs of a check; requires rules are judged at the names loaded in the last ``days``, or at all."""
-    return violations.Graph(*scratch.cut_all(_nodes(spark, sf_dir), _edges(spark, sf_dir), _rules(spark, sf_dir), model.changed_nodes(load(spark, sf_dir, "fqn_nodes"), days)))
+    nodes, changed = model.nodes_and_changes(load(spark, sf_dir, "fqn_nodes").select(*NODE), scratch, days)
+    edges, rules = scratch.cut_all(_edges(spark, sf_dir), _rules(spark, sf_dir))
+    return violations.Graph(nodes, edges, rules, changed)
 
 
 def g_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

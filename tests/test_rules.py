@@ -83,6 +83,20 @@ def test_whole_check_judges_nodes_of_any_age(spark, tmp_path):
     assert sorted(r.fqn for r in code.all_scopes(spark, str(tmp_path)).collect()) == sorted(times)
 
 
+@pytest.mark.parametrize("days", (60, None))
+def test_nodes_and_changes_come_from_one_pass(spark, days):
+    rnd = random.Random(3)
+    at = [f"2024-0{m}-0{d} 00:00:00" for m in range(1, 8) for d in (1, 2)]
+    rows = [(i, rnd.choice(["r", "s", None]), rnd.choice(["a", "a.b", "c", None, "d"]), rnd.choice(["module", "function"]), rnd.choice(at), rnd.choice([None, None, at[0]])) for i in range(40)]
+    rows += [(100, "r", "gone", "module", "2024-09-30 00:00:00", at[0]), (101, "t", "new", "module", None, None)]
+    nodes = spark.createDataFrame(rows, "node_id bigint, repo_id string, fqn string, kind string, loaded_at string, deleted_at string").selectExpr("node_id", "repo_id", "fqn", "kind", "cast(loaded_at AS timestamp_ntz) AS loaded_at", "cast(deleted_at AS timestamp_ntz) AS deleted_at")
+    own = Scratch(spark, "test")
+    current, changed = model.nodes_and_changes(nodes, own, days)
+    assert own._n == 1
+    for got, want in ((current, model.current_nodes(nodes)), (changed, model.changed_nodes(nodes, days))):
+        assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect())) and want.count()
+
+
 def test_object_scope(spark, scratch):
     cover = lambda *c, scopes=True: ("g", scopes, list(c))
     nodes = [
