@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from archspan.operators import reviews, scoring
+from archspan.plans import analysis, reviewing, rulecheck
 
 SNAP = "row_no bigint, line_id bigint, from_sha string, to_sha string, fqn string, kind string, file_path string, code_hash string"
 
@@ -168,3 +169,17 @@ def test_hop_files_and_merged_dismissals(spark):
     stored = spark.createDataFrame([("r", "1", "old"), ("q", "1", "old"), ("r", "2", None)], schema)
     new = spark.createDataFrame([("r", "1", "new"), ("r", "1", "new"), ("r", "3", "new")], schema)
     assert rows(violations.merged_dismissals(stored, new)) == [("q", "1", "old"), ("r", "1", "new"), ("r", "2", None), ("r", "3", "new")]
+
+
+def test_provenance_classes_read_nodes_and_edges_once(spark, tmp_path, monkeypatch):
+    day = "timestamp_ntz '2024-01-01 00:00:00'"
+    spark.sql(f"SELECT id AS node_id, 'r' AS repo_id, element_at(array('a', 'a.b', 'x'), cast(id + 1 AS int)) AS fqn, if(id = 2, 'external', 'module') AS kind, {day} AS loaded_at, cast(null AS timestamp_ntz) AS deleted_at FROM range(3)").write.parquet(f"{tmp_path}/fqn_nodes.parquet")
+    spark.sql(f"SELECT * FROM VALUES (1L, 'r', 'a', 'a.b', 'contains '), (2L, 'r', 'a.b', 'y.z', 'Imports'), (3L, 'r', null, 'w', 'IMPORTS') AS t(ord, repo_id, source, target, kind)").write.parquet(f"{tmp_path}/dep_edges.parquet")
+    spark.sql("SELECT * FROM VALUES (100L, 'r', 'a', 'y.z'), (200L, 'r', 'a', 'w'), (300L, 'r', 'x', 'a.c') AS t(constraint_id, repo_id, subject, object)").write.parquet(f"{tmp_path}/constraint_edges.parquet")
+    read = []
+    plain = analysis.load
+    for module in (analysis, rulecheck, reviewing):
+        monkeypatch.setattr(module, "load", lambda s, d, table: (read.append(table), plain(s, d, table))[1])
+    got = rows(reviewing.provenance_classes(spark, str(tmp_path)))
+    assert got == [(100, False, True, "B/C"), (200, False, False, "A"), (300, False, False, "other")]
+    assert read.count("fqn_nodes") == read.count("dep_edges") == 1
